@@ -1,4 +1,315 @@
-"""The registered queries by name, and their SQL."""
+"""The registered queries by name, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.config import EXTENSIONS, ZERO_MATCH, Settings
+from siftline.functions import text as tx
+from siftline.functions import tokenize as tk
+from siftline.operators import post, rank
+from siftline.operators.chunk import chunks
+from siftline.operators.index import Index, postings, with_ids, with_terms
+from siftline.operators.render import render
+from siftline.sources.files import name_status
+from siftline.streaming.sync import changes, resynced
+
+from . import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+SMALL = Settings(chunk_lines=10, overlap=3, near_lines=7)
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL of the tokenizer, chunker and scorer ------------------------------------------------------------------
+
+_TOK = """flatten(list_transform(regexp_extract_all({x}, '[A-Za-z_][A-Za-z0-9_]*|[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{9FFF}}]+'), lambda w: CASE
+  WHEN regexp_matches(w, '^[A-Za-z_]') THEN list_concat([lower(w)], CASE WHEN contains(w, '_') OR regexp_matches(w, '[a-z][A-Z]')
+    THEN list_transform(regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda p: lower(p)) ELSE []::VARCHAR[] END)
+  WHEN length(w) <= 1 THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, i::INT, 2)) END))"""
+_FTS = "list_filter(flatten(list_transform({x}, lambda t: string_split(t, '_'))), lambda t: t <> '')"
+_PATH = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
+_LINES = "SELECT filepath, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM corpus"
+
+
+def _chunk_sql(size: int, overlap: int, snap: bool) -> str:
+    end = f"least(s + {size}, n)"
+    if snap:
+        end = f"CASE WHEN {end} < n THEN coalesce(list_min(list_filter(range({end}, least({end} + 10, n)), lambda i: trim(ls[i + 1], ' ' || chr(9)) = '')) + 1, {end}) ELSE {end} END"
+    return f"""lines AS ({_LINES}), starts AS (
+      SELECT filepath, ls, len(ls) AS n, unnest(range(0, len(ls), {size - overlap})) AS s FROM lines),
+    ends AS (SELECT *, {end} AS e FROM starts),
+    chunks AS (
+      SELECT filepath, (s + 1)::INT AS start_line, e::INT AS end_line, array_to_string(ls[s + 1 : e], chr(10)) AS raw_snippet
+      FROM ends WHERE s = 0 OR s IN (SELECT x.s + {size - overlap} FROM ends x WHERE x.filepath = ends.filepath AND x.e < x.n))"""
+
+
+def _whole(corpus: str) -> str:
+    """A corpus as one chunk a file."""
+    return f"corpus AS ({fx.SQL[corpus]}), chunks AS (SELECT filepath, 1 AS start_line, 1 AS end_line, text AS raw_snippet FROM corpus)"
+
+
+def _terms_sql() -> str:
+    body = f"list_concat({_TOK.format(x='filepath')}, {_TOK.format(x='raw_snippet')})"
+    return f"terms AS (SELECT filepath, start_line, end_line, raw_snippet, {_PATH.format(x='filepath')} AS p, {_FTS.format(x=body)} AS b FROM chunks)"
+
+
+def _score_sql(queries: dict[int, list[tuple[str, ...]]], mode: str = "OR") -> str:
+    """``scored``: (q, filepath, start_line, end_line, raw_snippet, score)."""
+    lists = ", ".join(f"({q}, {i}, [{', '.join(repr(t) for t in p)}])" for q, ps in queries.items() for i, p in enumerate(ps))
+    count = "CASE WHEN len(ph) = 1 THEN len(list_filter({x}, lambda t: t = ph[1])) ELSE len(list_filter(range(1, len({x}) - len(ph) + 2), lambda i: {x}[i : i + len(ph) - 1] = ph)) END"
+    having = "HAVING count(DISTINCT c.ph) = (SELECT count(DISTINCT w.ph) FROM asked w WHERE w.q = c.q)" if mode == "AND" else ""
+    return f"""{_terms_sql()}, stats AS (SELECT count(*) AS n, avg(len(p) + len(b)) AS avgdl FROM terms),
+    asked(q, i, ph) AS (VALUES {lists}),
+    phrases AS (SELECT DISTINCT ph FROM asked),
+    tf AS (SELECT * FROM (SELECT filepath, start_line, ph, len(p) + len(b) AS dl, 3.0::DOUBLE * {count.format(x='p')} + {count.format(x='b')} AS tf
+      FROM terms, phrases WHERE list_has_any(list_concat(p, b), ph)) WHERE tf > 0),
+    df AS (SELECT ph, count(*) AS df FROM tf GROUP BY ph),
+    idf AS (SELECT ph, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END AS idf FROM df, stats),
+    c AS (SELECT asked.q, tf.ph, filepath, start_line, idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS part
+      FROM tf JOIN asked ON asked.ph = tf.ph JOIN idf ON idf.ph = tf.ph, stats),
+    sums AS (SELECT q, filepath, start_line, -sum(part) AS score FROM c GROUP BY q, filepath, start_line {having}),
+    scored AS (SELECT sums.*, terms.end_line, terms.raw_snippet FROM sums JOIN terms USING (filepath, start_line)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9), filepath || '#' || lpad(start_line::VARCHAR, 9, '0')) AS rank FROM scored)"""
+
+
+def _phrases(queries: dict[int, str]) -> dict[int, list[tuple[str, ...]]]:
+    return {q: tk.query_phrases(t) for q, t in queries.items()}
+
+
+def _index(spark: SparkSession, sf_dir: str, corpus: str, settings: Settings | None = None) -> Index:
+    text = getattr(fx, corpus)(spark, sf_dir)
+    if settings:
+        return Index.of(chunks(text, settings))
+    return Index.of(text.select("filepath", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("text").alias("raw_snippet")))
+
+
+def _searched(name: str, corpus: str, texts: dict[int, str], k: int, mode: str = "OR") -> None:
+    """Register a search over whole files of a corpus."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = rank.search(_index(spark, sf_dir, corpus), texts, k, mode, diversify=False)
+        return hits.select("q", "rank", "filepath", F.round("score", 6).alias("score"))
+
+    run.__name__ = name
+    query(f"WITH {_whole(corpus)}, {_score_sql(_phrases(texts), mode)} SELECT q, rank::INT AS rank, filepath, round(score, 6) AS score FROM ranked WHERE rank <= {k}")(run)
+
+
+# Predicates and tokens -------------------------------------------------------------------------------------
+
+_ENDS = ", ".join(f"'{e}'" for e in EXTENSIONS)
+
+
+@query(f"""WITH p AS (SELECT doc_id, ['a/b.py', 'x/.md', 'y/K.BLADE.PHP', 'z/n.bin', 'q/f.tsx', 'r.txt', 'dir.py/none'][(doc_id % 7 + 1)::INT] AS filepath FROM documents),
+n AS (SELECT *, lower(string_split(filepath, '/')[-1]) AS name FROM p)
+SELECT doc_id, filepath, len(list_filter([{_ENDS}], lambda e: ends_with(name, e) AND length(name) > length(e))) > 0 AS indexed FROM n""")
+def q01_extension_predicate(spark, sf_dir):
+    names = F.array(*map(F.lit, ["a/b.py", "x/.md", "y/K.BLADE.PHP", "z/n.bin", "q/f.tsx", "r.txt", "dir.py/none"]))
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int")).alias("filepath"))
+    return d.select("doc_id", "filepath", tx.matches_extension(F.col("filepath")).alias("indexed"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]+'))::INT AS n_words FROM documents")
+def q02_word_scan(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", F.size(tk.word_scan(F.col("text"))).alias("n_words"))
+
+
+def _token_query(name: str, corpus: str) -> None:
+    def run(spark, sf_dir):
+        return getattr(fx, corpus)(spark, sf_dir).select("filepath", F.array_join(tk.tokens(F.col("text")), " ").alias("tokens"))
+
+    run.__name__ = name
+    query(f"WITH corpus AS ({fx.SQL[corpus]}) SELECT filepath, array_to_string({_TOK.format(x='text')}, ' ') AS tokens FROM corpus")(run)
+
+
+_token_query("q03_identifier_split", "idents")
+_token_query("q04_cjk_bigrams", "cjk")
+
+
+@query(f"WITH corpus AS ({fx.SQL['docs']}) SELECT filepath, array_to_string({_PATH.format(x='filepath')}, ' ') AS terms FROM corpus")
+def q05_path_terms(spark, sf_dir):
+    return fx.docs(spark, sf_dir).select("filepath", F.array_join(tk.path_terms(F.col("filepath")), " ").alias("terms"))
+
+
+@query(f"WITH corpus AS ({fx.SQL['files']}), lines AS ({_LINES}) SELECT filepath, len(ls)::INT AS n_lines FROM lines")
+def q06_line_counts(spark, sf_dir):
+    return fx.files(spark, sf_dir).select("filepath", F.size(tx.lines(F.col("text"))).alias("n_lines"))
+
+
+# Chunks ----------------------------------------------------------------------------------------------------
+
+
+def _chunk_query(name: str, size: int, overlap: int, snap: bool, text: bool = False) -> None:
+    def run(spark, sf_dir):
+        out = chunks(fx.files(spark, sf_dir), Settings(chunk_lines=size, overlap=overlap), snap)
+        last = [F.sha2("raw_snippet", 256).alias("sha256")] if text else []
+        return out.select("filepath", "start_line", "end_line", *last)
+
+    run.__name__ = name
+    query(f"WITH corpus AS ({fx.SQL['files']}), {_chunk_sql(size, overlap, snap)} SELECT filepath, start_line, end_line{', sha256(raw_snippet) AS sha256' if text else ''} FROM chunks")(run)
+
+
+_chunk_query("q07_chunk_bounds", 80, 20, False)
+_chunk_query("q08_chunk_bounds_snapped", 80, 20, True)
+_chunk_query("q09_chunk_bounds_small", 10, 3, True)
+_chunk_query("q10_chunk_text", 80, 20, True, text=True)
+
+# Statistics ------------------------------------------------------------------------------------------------
+
+
+def _doc_terms(spark, sf_dir):
+    d = fx.docs(spark, sf_dir).select("filepath", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("text").alias("raw_snippet"))
+    return with_terms(with_ids(d))
+
+
+@query(f"WITH {_whole('docs')}, {_terms_sql()}, t AS (SELECT DISTINCT filepath, unnest(list_concat(p, b)) AS term FROM terms) SELECT term, count(*) AS df FROM t GROUP BY term")
+def q11_term_df(spark, sf_dir):
+    return postings(_doc_terms(spark, sf_dir)).groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
+
+
+@query(f"WITH {_whole('docs')}, {_terms_sql()} SELECT count(*) AS n_chunks, round(avg(len(p) + len(b)), 6) AS avg_length FROM terms")
+def q12_corpus_stats(spark, sf_dir):
+    return _doc_terms(spark, sf_dir).agg(F.count("*").alias("n_chunks"), F.round(F.avg(F.size("path_terms") + F.size("body_terms")), 6).alias("avg_length"))
+
+
+@query(f"WITH {_whole('docs')}, {_terms_sql()} SELECT filepath, len(p)::INT AS path_terms, len(b)::INT AS body_terms FROM terms")
+def q13_chunk_lengths(spark, sf_dir):
+    return _doc_terms(spark, sf_dir).select("filepath", F.size("path_terms").alias("path_terms"), F.size("body_terms").alias("body_terms"))
+
+
+# Searches --------------------------------------------------------------------------------------------------
+
+_searched("q14_bm25_single_term", "docs", {0: "token"}, 20)
+_searched("q15_bm25_or", "docs", {0: "ention thand thand worthless"}, 20)
+_searched("q16_bm25_and", "docs", {0: "the token of"}, 20, "AND")
+_searched("q17_bm25_common_terms", "docs", {0: "the of"}, 20)
+_searched("q18_bm25_phrase", "idents", {0: "blue_steel red_copper", 1: "getUserName almond"}, 20)
+_searched("q19_bm25_path_boost", "docs", {0: "src7 token"}, 20)
+_searched("q31_bm25_web", "web", {0: "example casino net"}, 20)
+_searched("q32_bm25_chat", "chat", {0: "thing the chat"}, 20)
+_searched("q33_bm25_batch", "docs", {i: t for i, t in enumerate(["token", "the and", "src3 en", "que las", "der und die", "ention", "idiot loser", "MIT license", "nothingmatchesthis", "de la"])}, 10)
+
+_MULTI = {0: "token the", 1: "thand ention", 2: "src7"}
+
+
+@query(f"WITH corpus AS ({fx.SQL['files']}), {_chunk_sql(80, 20, True)}, {_score_sql(_phrases({0: 'token the'}))} SELECT rank::INT AS rank, filepath, start_line, end_line, round(score, 6) AS score, sha256(raw_snippet) AS sha256 FROM ranked WHERE rank <= 20")
+def q20_chunk_search(spark, sf_dir):
+    hits = rank.search(_index(spark, sf_dir, "files", Settings()), {0: "token the"}, 20, diversify=False)
+    return hits.select("rank", "filepath", "start_line", "end_line", F.round("score", 6).alias("score"), F.sha2("raw_snippet", 256).alias("sha256"))
+
+
+@query(f"""WITH RECURSIVE corpus AS ({fx.SQL['files']}), {_chunk_sql(10, 3, True)}, {_score_sql(_phrases({0: 'token the'}))},
+pool AS (SELECT * FROM ranked WHERE rank <= 30),
+walk AS (
+  SELECT 0::BIGINT AS step, []::STRUCT(f VARCHAR, s INT, r BIGINT)[] AS kept
+  UNION ALL
+  SELECT step + 1, CASE WHEN len(list_filter(kept, lambda k: k.f = pool.filepath AND abs(k.s - pool.start_line) < 7)) > 0 THEN kept
+    ELSE list_append(kept, struct_pack(f := pool.filepath, s := pool.start_line, r := pool.rank)) END
+  FROM walk JOIN pool ON pool.rank = step + 1),
+fin AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM walk ORDER BY step DESC LIMIT 1))
+SELECT row_number() OVER (ORDER BY pool.rank)::INT AS rank, filepath, start_line, round(score, 6) AS score FROM pool JOIN fin ON fin.k.r = pool.rank QUALIFY row_number() OVER (ORDER BY pool.rank) <= 10""")
+def q21_diversified_search(spark, sf_dir):
+    hits = rank.search(_index(spark, sf_dir, "files", SMALL), {0: "token the"}, 10, settings=SMALL)
+    return hits.select("rank", "filepath", "start_line", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_whole('docs')}, {_score_sql(_phrases(_MULTI))}, hits AS (SELECT * FROM ranked WHERE rank <= 20),
+f AS (SELECT filepath, sum(1.0::DOUBLE / (60 + rank)) AS fusion, min(score) AS score, min(q * 1000 + rank) AS place, count(*) AS n_matched FROM hits GROUP BY filepath)
+SELECT row_number() OVER (ORDER BY round(fusion, 12) DESC, place)::INT AS rank, filepath, round(score, 6) AS score, round(fusion, 9) AS fusion_score, n_matched::INT AS n_matched
+FROM f QUALIFY row_number() OVER (ORDER BY round(fusion, 12) DESC, place) <= 5""")
+def q22_fused_search(spark, sf_dir):
+    hits = rank.search(_index(spark, sf_dir, "docs"), _MULTI, 20)
+    out = post.fused(hits, _MULTI, 5)
+    return out.select("rank", "filepath", F.round("score", 6).alias("score"), F.round("fusion_score", 9).alias("fusion_score"), F.size("matched_queries").alias("n_matched"))
+
+
+_JUDGED = {0: "token", 1: "idiot loser", 2: "the", 3: "src7 token"}
+
+
+@query(f"""WITH {_whole('docs')}, {_score_sql(_phrases(_JUDGED))},
+t AS (SELECT q, count(*) AS n, max(score) FILTER (rank = 1) AS x, max(score) FILTER (rank = 2) AS y FROM ranked WHERE rank <= 10 GROUP BY q)
+SELECT q::INT AS q, CASE WHEN n = 1 THEN 'single' WHEN abs(x) / abs(y) >= 1.5 THEN 'dominant' ELSE 'close_contest' END AS label,
+round(x, 6) AS top_score, round(y - x, 6) AS score_gap, n < 4 OR x > -1.0 AS hint FROM t""")
+def q23_confidence(spark, sf_dir):
+    hits = rank.search(_index(spark, sf_dir, "docs"), _JUDGED, 10, diversify=False)
+    n = hits.groupBy("q").agg(F.count("*").alias("n"))
+    out = post.confidence(hits).join(n, "q")
+    return out.select("q", "label", F.round("top_score", 6).alias("top_score"), F.round("score_gap", 6).alias("score_gap"), post.needs_hint(F.col("n"), F.col("top_score"), 10).alias("hint"))
+
+
+# Snapshots -------------------------------------------------------------------------------------------------
+
+
+def _snapshots(spark, sf_dir):
+    d = fx.docs(spark, sf_dir).join(fx.read(spark, sf_dir, "documents").select(F.format_string("docs/%s/%s_%s.md", "lang", "source", F.col("doc_id").cast("string")).alias("filepath"), "doc_id"), "filepath")
+    i = F.col("doc_id")
+    hashed = lambda df: df.select("filepath", F.lit(1.0).alias("mtime"), F.sha2("text", 256).alias("file_hash"), "text")
+    new = d.where(i % 7 != 0).withColumn("text", F.when(i % 5 == 0, F.concat("text", F.lit("\nchanged"))).otherwise(F.col("text")))
+    return hashed(d.where(i % 11 != 0)), hashed(new)
+
+
+_NEW = "SELECT doc_id, 'docs/' || lang || '/' || source || '_' || doc_id || '.md' AS filepath, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'changed' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0"
+
+
+@query("""SELECT 'docs/' || lang || '/' || source || '_' || doc_id || '.md' AS filepath,
+CASE WHEN doc_id % 11 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'deleted' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS action
+FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 7 = 0)""")
+def q24_snapshot_diff(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return changes(old, new)
+
+
+_STATUS = ["D\told.py", "R100\ta.py\tb.py", "C75\tc.py\td.py", "M\te.py", "A\tf.py", "T\tg.py", "X\th.py", "M i.py"]
+
+
+@query("SELECT * FROM (VALUES ('old.py', 'deleted'), ('a.py', 'deleted'), ('b.py', 'changed'), ('d.py', 'changed'), ('e.py', 'changed'), ('f.py', 'changed'), ('g.py', 'changed'), ('h.py', 'changed'), ('i.py', 'changed')) t(filepath, action)")
+def q25_name_status(spark, sf_dir):
+    return name_status(spark.createDataFrame([(x,) for x in _STATUS], "line string"))
+
+
+@query(f"WITH corpus AS (SELECT filepath, text FROM ({_NEW})), {_chunk_sql(80, 20, True)} SELECT filepath, start_line, end_line, sha256(raw_snippet) AS sha256 FROM chunks")
+def q26_sync_is_rebuild(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    out = resynced(chunks(old), changes(old, new), new)
+    return out.select("filepath", "start_line", "end_line", F.sha2("raw_snippet", 256).alias("sha256"))
+
+
+@query(f"WITH corpus AS ({fx.SQL['files']}), {_chunk_sql(80, 20, True)} SELECT filepath, count(*) AS n_chunks FROM chunks GROUP BY filepath")
+def q27_chunk_counts(spark, sf_dir):
+    return chunks(fx.files(spark, sf_dir)).groupBy("filepath").agg(F.count("*").alias("n_chunks"))
+
+
+# Answers ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(1, least(length(text), 101) + 1)) AS i FROM documents),
+s AS (SELECT doc_id, i, text, sum(strlen(substr(text, i::INT, 1))) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c)
+SELECT d.doc_id, coalesce(max(substr(s.text, 1, s.i::INT)), '') AS cut FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id AND upto <= 101 GROUP BY d.doc_id""")
+def q28_byte_truncation(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", tx.truncated(F.col("text"), 101).alias("cut"))
+
+
+@query()
+def q29_markdown(spark, sf_dir):
+    rows = rank.search(_index(spark, sf_dir, "docs"), {0: "token"}, 5).orderBy("rank").collect()
+    hits = [{k: r[k] for k in ("filepath", "start_line", "end_line", "raw_snippet", "score")} for r in rows]
+    return spark.createDataFrame([("token", render(hits, "markdown", 4000, "token", 5))], "query string, answer string")
+
+
+@query(f"SELECT 'qqzzxx' AS query, 'zero_match' AS status, '{ZERO_MATCH}' AS message")
+def q30_zero_match(spark, sf_dir):
+    hits = rank.search(_index(spark, sf_dir, "docs"), {0: "qqzzxx"}, 5).agg(F.count("*").alias("n"))
+    return hits.where("n = 0").select(F.lit("qqzzxx").alias("query"), F.lit("zero_match").alias("status"), F.lit(ZERO_MATCH).alias("message"))

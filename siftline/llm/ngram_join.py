@@ -7,10 +7,11 @@ hash in each. Classes of the same size and the same low tokens form one group, w
 rare low tokens, always more than a prefix of them, bring together all groups whose prefixes lie in (0); the
 others (``short``) post their prefix of (1) as well, and (2) where that is not enough, among themselves.
 
-Candidates are verified on whole texts. First each list links its groups to the next larger, and a group
-its members to its first, which is linear; after joining what these links connect, only pairs of a list
-that lie in different components remain and are verified, so no link is lost and large groups of copies
-cost no square.
+Candidates are verified on whole texts. First each list links its groups to the one among them that shares
+most tokens with others (in a group of edited copies that is the text they stem from), and a group its
+members to its first, which is linear; after joining what these links connect, only pairs of a list that lie
+in different components remain and are verified, so no link is lost and large groups of copies cost no
+square.
 
 Defined cases: null texts and texts without words have no set and link with nothing; fewer than n words
 count as one shingle; rows without an id get no component; rows of one id count as one document; the
@@ -115,50 +116,48 @@ def _lists(rows: pa.Table | pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.nd
     return token[new], g[new], s[new]
 
 
-def shared(postings: DataFrame, n_buckets: int, heavy: int | None, percent: int) -> DataFrame:
-    """The lists of two and more groups: ``kind`` 0 a posting (token, g, s), 1 a link to the next larger (g, other), 2 heavy tokens of a group (g, count in ``other``)."""
+def shared(postings: DataFrame, n_buckets: int, heavy: int | None) -> DataFrame:
+    """The lists of two and more groups: a row for each posting (token, g, s); and, with no token, a row with the number of heavy tokens (``s``) of a group ``g``."""
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         token, g, s = _lists(rows)
         start = np.flatnonzero(np.diff(token, prepend=token[0] ^ A.U(1)) != 0)
         count = np.diff(np.append(start, len(token)))
         many = np.repeat(count, count)
-        out = []
+        listed = (many > 1) & (many < (heavy or 1 << 62))
+        out = [pd.DataFrame({"token": pd.array(token[listed].astype(np.int64), "Int64"), "g": g[listed], "s": s[listed]})]
         if heavy is not None:
             who, times = np.unique(g[many >= heavy], return_counts=True)
-            out.append(pd.DataFrame({"kind": 2, "token": 0, "g": who, "s": 0, "other": times}))
-        listed = (many > 1) & (many < (heavy or 1 << 62))
-        out.append(pd.DataFrame({"kind": 0, "token": token[listed].astype(np.int64), "g": g[listed], "s": s[listed], "other": 0}))
-        nxt = np.flatnonzero(listed[:-1] & (token[1:] == token[:-1]) & (100 * s[:-1].astype(np.int64) >= percent * s[1:].astype(np.int64)))
-        pairs = np.unique(np.sort(np.stack([g[nxt], g[nxt + 1]], 1), axis=1), axis=0)
-        out.append(pd.DataFrame({"kind": 1, "token": 0, "g": pairs[:, 0], "s": 0, "other": pairs[:, 1]}))
-        return pd.concat(out).astype({"kind": "int32", "token": "int64", "g": "int64", "s": "int32", "other": "int64"})
+            out.append(pd.DataFrame({"token": pd.array([None] * len(who), "Int64"), "g": who, "s": times.astype(np.int32)}))
+        return pd.concat(out)
 
-    return postings.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(judge, "kind int, token long, g long, s int, other long")
+    return postings.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(judge, "token long, g long, s int")
 
 
-def short_postings(docs: DataFrame, short: DataFrame, k: int, n_buckets: int, percent: int) -> DataFrame:
+def short_postings(texts: DataFrame, short: DataFrame, k: int, n_buckets: int, percent: int) -> DataFrame:
     """The postings of tokens (1), and (2) where needed, of the groups in ``short`` (cid, gk, rare)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = A.flat(batch.column("text"))
-            gk, rare = batch.column("gk").to_pylist(), batch.column("rare").to_pylist()
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
             posted, groups, sizes = [], [], []
-            for i, j in A.slices(at):
-                hashes, bounds = A.words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                for row, s in enumerate(A.shingles(hashes, bounds, k), i):
-                    cutoff = int(np.searchsorted(s, A.U(LOW)))
-                    need = prefix(len(s), percent) - rare[row]
-                    high = s[cutoff : cutoff + max(need, 0)]
-                    posted.append(high if len(high) >= need else np.concatenate([high, s[:cutoff]]))
-                    groups.append(gk[row])
-                    sizes.append(len(s))
+            for z, gk, rare in zip(rows.z, rows.gk, rows.rare, strict=True):
+                s = _set(z, k)
+                cutoff = int(np.searchsorted(s, A.U(LOW)))
+                need = prefix(len(s), percent) - rare
+                high = s[cutoff : cutoff + max(need, 0)]
+                posted.append(high if len(high) >= need else np.concatenate([high, s[:cutoff]]))
+                groups.append(gk)
+                sizes.append(len(s))
             if (b := _blobs(posted, groups, sizes, n_buckets)) is not None:
-                yield b
+                yield b.to_pandas()
+
+    return texts.join(short, "cid").select("z", "gk", "rare").mapInPandas(cut, _POSTINGS)
+
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(short, "cid")
-    return texts.select("text", "gk", "rare").mapInArrow(cut, _POSTINGS)
+def _set(z: bytes, k: int) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(bytes(z)), np.uint8)
+    hashes, bounds = A.words(data, np.array([0, len(data)]))
+    return next(A.shingles(hashes, bounds, k))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -167,12 +166,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     right = texts.select(F.col("cid").alias("b"), F.col("z").alias("zb"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        @lru_cache(4096)
-        def cut(z: bytes) -> np.ndarray:
-            data = np.frombuffer(zstandard.decompress(z), np.uint8)
-            hashes, bounds = A.words(data, np.array([0, len(data)]))
-            return next(A.shingles(hashes, bounds, k))
-
+        cut = lru_cache(4096)(lambda z: _set(z, k))
         for rows in batches:
             ok = []
             for x, y in zip(rows.za, rows.zb, strict=True):
@@ -189,20 +183,46 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cid, z): compressed texts of some documents; rows of one id stand for themselves by their first text."""
+
     @F.pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
         c = zstandard.ZstdCompressor(1)
         return texts.map(lambda t: c.compress((t or "").encode()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(ids, "cid")
-    # rows of one id: the one whose set named the class can't be told apart here; the first by text stands for it
-    return texts.groupBy("cid").agg(F.min("text").alias("text")).select("cid", pack("text").alias("z"))
+    packed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("cid"), pack("text").alias("z"))
+    return packed.join(ids, "cid").groupBy("cid").agg(F.min("z").alias("z"))
 
 
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
+def _open(lists: DataFrame, classes: DataFrame, ids: DataFrame, links: DataFrame) -> DataFrame:
+    """What the links leave apart: (token, cid, n, part, m) for lists, and for groups, of several components; ``m`` is the list's length."""
+    part = components(links).select(F.col("b").alias("cid"), F.col("a").alias("part"))
+    members = staged(classes.join(ids, "cid").join(part, "cid", "left").select("gk", "cid", "n", F.coalesce("part", "cid").alias("part")), "members")
+    one = members.groupBy("gk").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"))
+    still = lists.join(one, "gk").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).where("lo < hi").select("token", "m")
+    entry = lists.join(still, "token").join(members, "gk").select("token", "cid", "n", "part", "m")
+    inner = members.join(one.where("lo < hi").select("gk", "m"), "gk").select(F.col("gk").alias("token"), "cid", "n", "part", "m")
+    return staged(entry.unionByName(inner), "open")
+
+
+def _partners(entry: DataFrame, percent: int, seed: int | None) -> DataFrame:
+    """Pairs of a list that lie in different components and may be alike: all, or those that fall in one of m / 2 random bins of the list."""
+    other = [F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("part").alias("p2")]
+    if seed is None:
+        parts = entry.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        others = parts.select("token", F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        apart = parts.join(others, "token").where(f"part < p2 and 100 * hi >= {percent} * lo2 and 100 * hi2 >= {percent} * lo").select("token", "part", "p2")
+        pairs = entry.join(apart, ["token", "part"]).join(entry.select("token", *other), ["token", "p2"])
+    else:
+        dealt = entry.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "token", "cid"), F.greatest(F.expr("m div 2"), F.lit(1))))
+        pairs = dealt.join(dealt.select("token", "bin", *other), ["token", "bin"]).where("part < p2")
+    return _ordered(pairs.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)"), "cid", "c2")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class, component) of each row of ``docs``, and the verified links between classes."""
     spark = docs.sparkSession
@@ -212,36 +232,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     postings = every.where("bucket is not null").select("bucket", "tokens", "who", "groups")
     classes = staged(rows.where("n > 0 and doc_id is not null").groupBy("n", "low", "h1", "h2", "gk").agg(F.min("doc_id").alias("cid")), "classes")
     groups = classes.groupBy("gk").agg(F.min("cid").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"), F.count("*").alias("members"))
-    found = staged(shared(postings, n_buckets, HEAVY, percent), "lists")
-    heavy = found.where("kind = 2").groupBy(F.col("g").alias("gk")).agg(F.sum("other").alias("heavy"))
+    found = staged(shared(postings, n_buckets, HEAVY), "lists")
+    heavy = found.where("token is null").groupBy(F.col("g").alias("gk")).agg(F.sum("s").alias("heavy"))
+    lists = found.where("token is not null").select("token", F.col("g").alias("gk"), "s")
     # a group is short if its rare low tokens are fewer than its prefix
     short = groups.join(heavy, "gk", "left").withColumn("rare", F.col("low") - F.coalesce("heavy", F.lit(0)))
     short = short.where(F.expr(f"rare < n - ({percent} * n + 99) div 100 + 1"))
     short = staged(short.select(F.col("rep").alias("cid"), "gk", "rare"), "short")
-    more = staged(shared(short_postings(docs, short, k, n_buckets, percent), n_buckets, None, percent), "short-lists")
-    lists = found.where("kind = 0").unionByName(more.where("kind = 0")).select("token", F.col("g").alias("gk"), "s")
-    near = found.where("kind = 1").unionByName(more.where("kind = 1")).select("g", "other").distinct()
+    some = lists.select("gk").union(short.select("gk")).union(groups.where("members > 1").select("gk")).distinct()
+    ids = classes.join(some, "gk").select("cid").distinct()
+    texts = staged(_packed(docs, ids), "texts")
+    more = shared(short_postings(texts, short, k, n_buckets, percent), n_buckets, None)
+    lists = lists.unionByName(staged(more, "short-lists").select("token", F.col("g").alias("gk"), "s"))
+    # a list's centre is the group that stands in most lists
+    degree = lists.groupBy("gk").agg(F.count("*").alias("degree"))
+    placed = lists.join(degree, "gk")
+    centre = placed.groupBy("token").agg(F.max(F.struct("degree", "gk", "s")).alias("c"))
+    near = placed.join(centre, "token").where(f"gk != c.gk and 100 * least(s, c.s) >= {percent} * greatest(s, c.s)").select("gk", F.col("c.gk").alias("other")).distinct()
     rep = groups.select("gk", "rep")
-    across = near.join(rep.select(F.col("gk").alias("g"), F.col("rep").alias("x")), "g").join(rep.select(F.col("gk").alias("other"), F.col("rep").alias("y")), "other")
+    across = near.join(rep.select("gk", F.col("rep").alias("x")), "gk").join(rep.select(F.col("gk").alias("other"), F.col("rep").alias("y")), "other")
     within = classes.join(groups.where("members > 1").select("gk", "rep"), "gk").select(F.col("rep").alias("x"), F.col("cid").alias("y"))
     first = staged(_ordered(across.select("x", "y").unionByName(within), "x", "y"), "pairs")
-    ids = classes.select("gk", "cid").join(lists.select("gk").distinct().union(groups.where("members > 1").select("gk")).distinct(), "gk").select("cid").distinct()
-    texts = staged(_packed(docs, ids), "texts")
     links = staged(verified(first, texts, k, percent), "links")
-    part = components(links).select(F.col("b").alias("cid"), F.col("a").alias("part"))
-    members = staged(classes.join(ids, "cid").join(part, "cid", "left").select("gk", "cid", "n", F.coalesce("part", "cid").alias("part")), "members")
-    # what the first links leave apart: pairs of one list, or of one group, in different components
-    one = members.groupBy("gk").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-    open_lists = lists.join(one, "gk").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
-    split = one.where("lo < hi").select("gk")
-    entry = lists.join(open_lists, "token").join(members, "gk").select("token", "cid", "n", "part")
-    entry = staged(entry.unionByName(members.join(split, "gk").select(F.col("gk").alias("token"), "cid", "n", "part")), "open")
-    parts = entry.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    others = parts.select("token", F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    apart = parts.join(others, "token").where(f"part < p2 and 100 * hi >= {percent} * lo2 and 100 * hi2 >= {percent} * lo").select("token", "part", "p2")
-    second = entry.join(apart, ["token", "part"]).join(entry.select("token", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("part").alias("p2")), ["token", "p2"])
-    second = _ordered(second.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)"), "cid", "c2").join(first, ["a", "b"], "left_anti")
-    links = staged(links.unionByName(verified(staged(second, "open-pairs"), texts, k, percent)).distinct(), "all-links")
+    tried = first
+    for seed in (1, 2, None):  # twice a few partners of each text in each list, then all that are still apart
+        entry = _open(lists, classes, ids, links)
+        second = _partners(entry, percent, seed).join(tried, ["a", "b"], "left_anti")
+        second = staged(second, "open-pairs")
+        links = staged(links.unionByName(verified(second, texts, k, percent)), "all-links")
+        tried = tried.unionByName(second)
     part = components(links).select(F.col("b").alias("cid"), F.col("a").alias("part"))
     named = classes.join(part, "cid", "left").select("n", "h1", "h2", "cid", F.coalesce("part", "cid").alias("part"))
     out = rows.join(named, ["n", "h1", "h2"], "left")

@@ -5,7 +5,7 @@ characters (32 classes) are counted over all rows, after contexts of none, one a
 smoothed by Witten-Bell interpolation, the longer context over the shorter. A URL's score is the mean over
 its characters of the log-likelihood under the accepted model less that under the rejected one. The score
 from which URLs pass is the one that separates the ruled URLs best (the largest sum of both rates of right
-verdicts, over scores in steps of 0.05; the lowest such step).
+verdicts, over scores in steps of 0.05; the lowest such step, and there the middle of the gap below it).
 
 The model is a table of 32^3 numbers at any input size, so it travels as one array; scores are a fold over a
 URL's characters, without a shuffle.
@@ -113,11 +113,12 @@ def threshold(scored: DataFrame) -> float:
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
         return 0.0
-    best, passed_bad, failed_good = (-1.0, 0.0), bad, 0
+    best, passed_bad, failed_good, under = (-1.0, 0.0), bad, 0, rows[0][0]
     for k, g, b in rows:  # passing from step k on
         right = (good - failed_good) / good + (bad - passed_bad) / bad
         if right > best[0] + 1e-12:
-            best = (right, k * STEP)
+            best = (right, (under + k) / 2 * STEP)
+        under = k + 1
         failed_good, passed_bad = failed_good + g, passed_bad - b
     return best[1]
 

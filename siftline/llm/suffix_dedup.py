@@ -79,9 +79,24 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _bucket(names: np.ndarray, n: int) -> np.ndarray:
-    # the names are minima and so not evenly spread: mixed again
-    return (A.mix(names) % A.U(n)).astype(np.int64)
+def _places(names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each name's bucket and its 32-bit tag there. The names are minima and so not evenly spread: mixed again.
+
+    Buckets grow with the input, so two names seldom share both; where they do, more text is looked at."""
+    mixed = A.mix(names)
+    return (mixed % A.U(n)).astype(np.int64), (mixed >> A.U(32)).astype(np.uint32)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` replaced by its compressed bytes ``z``, which cross the network."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        c = zstandard.ZstdCompressor(1)
+        return texts.map(lambda t: c.compress((t or "").encode()))
+
+    (z,) = fresh(docs, "z")
+    return docs.withColumn(z, pack("text")).drop("text")
 
 
 def name_rows(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -100,9 +115,10 @@ def name_rows(docs: DataFrame, n_buckets: int) -> DataFrame:
             name, row = np.concatenate(names), np.concatenate(who)
             ids = np.stack([batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()], 1)
             out = []
-            for b, at in _by_bucket(_bucket(name, n_buckets)):
+            bucket, tag = _places(name, n_buckets)
+            for b, at in _by_bucket(bucket):
                 own, index = np.unique(row[at], return_inverse=True)
-                out.append((b, name[at].tobytes(), index.astype(np.int32).tobytes(), ids[own].tobytes()))
+                out.append((b, tag[at].tobytes(), index.astype(np.int32).tobytes(), ids[own].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "names", "who", "ids"])
 
     return docs.mapInArrow(cut, "bucket int, names binary, who binary, ids binary")
@@ -112,15 +128,15 @@ def shared_names(rows: DataFrame, n_buckets: int) -> DataFrame:
     """(doc_id, key, name) of the names that stand in two documents or more."""
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        name = np.concatenate([np.frombuffer(x, A.U) for x in rows.names])
+        name = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.names])
         ids = np.concatenate([np.frombuffer(i, np.int64).reshape(-1, 2)[np.frombuffer(w, np.int32)] for w, i in zip(rows.who, rows.ids, strict=True)])
         order = np.argsort(name, kind="stable")
         name, ids = name[order], ids[order]
-        start = np.flatnonzero(np.diff(name, prepend=name[0] ^ A.U(1)) != 0)
+        start = np.flatnonzero(np.diff(name, prepend=name[0] ^ np.uint32(1)) != 0)
         size = np.diff(np.append(start, len(name)))
         two = np.minimum.reduceat(ids[:, 0], start) < np.maximum.reduceat(ids[:, 0], start)
         keep = np.repeat(two, size)
-        return pd.DataFrame({"doc_id": ids[keep, 0], "key": ids[keep, 1], "name": name[keep].astype(np.int64)})
+        return pd.DataFrame({"doc_id": ids[keep, 0], "key": ids[keep, 1], "name": name[keep].astype(np.int64) | int(rows.bucket.iloc[0]) << 32})
 
     return rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(judge, "doc_id long, key long, name long")
 
@@ -132,12 +148,15 @@ def stretches(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(1).compress
         for batch in batches:
+            unpack = zstandard.ZstdDecompressor().decompress
+            batch = batch.append_column("text", pa.array([unpack(z.as_py()) for z in batch.column("z")], pa.binary()))
             wanted, ids = batch.column("names"), np.stack([batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()], 1)
             texts, name, meta = [], [], []
             for row, data, own in _documents(batch):
                 start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 end = np.append(start[1:], len(own))
-                ok = np.isin(own[start], wanted[row].values.to_numpy().astype(A.U))
+                bucket, tag = _places(own[start], n_buckets)
+                ok = np.isin(bucket << 32 | tag.astype(np.int64), wanted[row].values.to_numpy())
                 start, end = start[ok], end[ok]
                 name.append(own[start])
                 raw = data.tobytes()
@@ -147,11 +166,11 @@ def stretches(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
                 continue
             info = np.concatenate(meta)
             out = []
-            for b, at in _by_bucket(_bucket(np.concatenate(name), n_buckets)):
+            for b, at in _by_bucket(_places(np.concatenate(name), n_buckets)[0]):
                 out.append((b, pack(b"".join([texts[i] for i in at.tolist()])), pack(info[at].tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "bytes", "info"])
 
-    return docs.join(marks, ["doc_id", "key"]).select("doc_id", "key", "text", "names").mapInArrow(cut, "bucket int, bytes binary, info binary")
+    return _packed(docs).join(marks, ["doc_id", "key"]).select("doc_id", "key", "z", "names").mapInArrow(cut, "bucket int, bytes binary, info binary")
 
 
 def has_earlier(data: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -219,22 +238,24 @@ def merged(ranges: np.ndarray) -> list[tuple[int, int]]:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, key, ranges) of the documents that lose bytes; ``key`` is xxhash64 of the text."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
-    n_buckets = partitions(docs.sparkSession, text_bytes(keyed))
+    n_buckets = partitions(docs.sparkSession, text_bytes(keyed), 4 << 20)
     shared = shared_names(name_rows(keyed, n_buckets), n_buckets)
     found = repeats(stretches(keyed, shared, n_buckets), n_buckets)
     return found.groupBy("doc_id", "key").agg(F.collect_list(F.array("a", "b")).alias("ranges"))
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept bytes and the counts ``n_bytes``, ``n_removed``, ``n_spans``."""
-    did, key, ranges, cut = fresh(docs, "did", "key", "ranges", "cut")
+    """``docs`` with the kept bytes in place of the text, and the counts ``n_bytes``, ``n_removed``, ``n_spans``."""
+    did, key, own_key, ranges, cut, size = fresh(docs, "did", "key", "own_key", "ranges", "cut", "size")
     found = staged(removals(docs), "spans").select(F.col("doc_id").alias(did), F.col("key").alias(key), F.col("ranges").alias(ranges))
+    packed = _packed(docs.withColumns({own_key: F.xxhash64("text"), size: F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")}))
+    z = packed.columns[-1]
 
     @F.pandas_udf("n_removed long, n_spans long, kept binary, kept_sha256 string")
     def remove(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, own in zip(texts, lists, strict=True):
-            raw = (text or "").encode()
+        out, unpack = [], zstandard.ZstdDecompressor().decompress
+        for packed_text, own in zip(texts, lists, strict=True):
+            raw = unpack(packed_text)
             if own is None or not len(own):
                 out.append((0, 0, raw, hashlib.sha256(raw).hexdigest()))
                 continue
@@ -244,10 +265,9 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
             out.append((len(raw) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept", "kept_sha256"])
 
-    out = docs.join(found, (docs["doc_id"].cast("long") == F.col(did)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
-    out = out.withColumn(cut, remove(F.col("text"), F.col(ranges)))
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    return out.select(*docs.columns, n_bytes, *(F.col(cut)[c].alias(c) for c in ("n_removed", "n_spans", "kept", "kept_sha256")))
+    out = packed.join(found, (packed["doc_id"].cast("long") == F.col(did)) & (F.col(own_key) == F.col(key)), "left")
+    out = out.withColumn(cut, remove(F.col(z), F.col(ranges)))
+    return out.select(*(c for c in docs.columns if c != "text"), F.col(size).alias("n_bytes"), *(F.col(cut)[c].alias(c) for c in ("n_removed", "n_spans", "kept", "kept_sha256")))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

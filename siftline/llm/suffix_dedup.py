@@ -30,7 +30,7 @@ from . import _arrays as A
 from ._common import fresh, partitions, staged, table, text_bytes
 
 LENGTH = 50
-GRAM = 18
+GRAM = 24
 _ODD = [A.U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 

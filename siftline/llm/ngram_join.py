@@ -1,17 +1,17 @@
 """Near duplicates by an exact Jaccard self-join of word n-grams: a grouped prefix join.
 
 A document's set holds the hashes of its distinct n-word shingles. Documents of equal sets are one class.
-The order of tokens that prefix filtering needs is: (0) tokens with hashes in the lowest quarter that
-stand in fewer than ``HEAVY`` groups, (1) the upper three quarters, (2) the rest of the lowest quarter, by
-hash in each. Classes of the same size and the same low tokens form one group, which posts once. Lists of
-rare low tokens, always more than a prefix of them, bring together all groups whose prefixes lie in (0); the
-others (``short``) post their prefix of (1) as well, and (2) where that is not enough, among themselves.
-
-Candidates are verified on whole texts. First each list links its groups to the one among them that shares
-most tokens with others (in a group of edited copies that is the text they stem from), and a group its
-members to its first, which is linear; after joining what these links connect, only pairs of a list that lie
-in different components remain and are verified, so no link is lost and large groups of copies cost no
-square.
+Prefix filtering orders tokens: first the rare ones, with hashes in the lowest quarter that stand in fewer than
+``HEAVY`` groups, by the number of groups they stand in; then the others. Classes of the same size and the same
+low tokens form one group, which posts once; the lists of posted tokens bring together all groups whose prefixes
+hold rare tokens only. The other classes (``short``) also post their prefixes in another order, all tokens by the
+number of short classes they stand in, among themselves; so common passages come last in both orders.
+
+A posting's place in its order bounds what two sets can share from there on, which drops most pairs that only
+share a passage. Candidates are verified on whole texts. First each list links its members to the one among them
+that stands in most lists (in a group of edited copies that is the text they stem from), and a group its members
+to its first, which is linear; after joining what these links connect, only pairs of a list that lie in different
+components remain and are verified, so no link is lost and large groups of copies cost no square.
 
 Defined cases: null texts and texts without words have no set and link with nothing; fewer than n words
 count as one shingle; rows without an id get no component; rows of one id count as one document; the
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _arrays as A
@@ -70,7 +70,7 @@ def _blobs(tokens: list[np.ndarray], groups: list[int], sizes: list[int], n_buck
 _POSTINGS = "bucket int, tokens binary, who binary, groups binary"
 
 
-def signatures(docs: DataFrame, k: int, n_buckets: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, n_buckets: int, percent: int) -> DataFrame:
     """A row for each document (its size, the 128-bit hash of its set and its group) and rows of postings."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,9 @@ def signatures(docs: DataFrame, k: int, n_buckets: int) -> DataFrame:
                     n[row], n_low[row] = len(s), len(low)
                     h1[row] = A.mix(s + A.U(1)).sum(dtype=A.U).astype(np.int64)
                     h2[row] = np.bitwise_xor.reduce(A.mix(s ^ A.U(0x5851F42D4C957F2D))).astype(np.int64)
-                    gk[row] = A.mix(np.array([A.mix(low + A.U(7)).sum(dtype=A.U) + A.U(len(s))], A.U))[0].astype(np.int64)
+                    # with fewer low tokens than a prefix, a class is a group of its own
+                    alone = h1[row : row + 1].astype(A.U) if len(low) < prefix(len(s), percent) else np.zeros(1, A.U)
+                    gk[row] = A.mix(alone + A.mix(low + A.U(7)).sum(dtype=A.U) + A.U(len(s)))[0].astype(np.int64)
                     if known[row]:
                         posted.append(low)
                         groups.append(int(gk[row]))
@@ -117,7 +119,7 @@ def _lists(rows: pa.Table | pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def shared(postings: DataFrame, n_buckets: int, heavy: int | None) -> DataFrame:
-    """The lists of two and more groups: a row for each posting (token, g, s); and, with no token, a row with the number of heavy tokens (``s``) of a group ``g``."""
+    """The lists of two and more groups: a row for each posting (token, g, s; ``c``: the list's length); and, with no token, a row with the number of heavy tokens (``s``) of a group ``g``."""
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         token, g, s = _lists(rows)
@@ -125,33 +127,38 @@ def shared(postings: DataFrame, n_buckets: int, heavy: int | None) -> DataFrame:
         count = np.diff(np.append(start, len(token)))
         many = np.repeat(count, count)
         listed = (many > 1) & (many < (heavy or 1 << 62))
-        out = [pd.DataFrame({"token": pd.array(token[listed].astype(np.int64), "Int64"), "g": g[listed], "s": s[listed]})]
+        out = [pd.DataFrame({"token": pd.array(token[listed].astype(np.int64), "Int64"), "g": g[listed], "s": s[listed], "c": many[listed]})]
         if heavy is not None:
             who, times = np.unique(g[many >= heavy], return_counts=True)
-            out.append(pd.DataFrame({"token": pd.array([None] * len(who), "Int64"), "g": who, "s": times.astype(np.int32)}))
+            out.append(pd.DataFrame({"token": pd.array([None] * len(who), "Int64"), "g": who, "s": times.astype(np.int32), "c": 0}))
         return pd.concat(out)
 
-    return postings.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(judge, "token long, g long, s int")
+    return postings.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(judge, "token long, g long, s int, c int")
 
 
-def short_postings(texts: DataFrame, short: DataFrame, k: int, n_buckets: int, percent: int) -> DataFrame:
-    """The postings of tokens (1), and (2) where needed, of the groups in ``short`` (cid, gk, rare)."""
+def short_postings(texts: DataFrame, short: DataFrame, k: int, n_buckets: int) -> DataFrame:
+    """The postings of all tokens of the classes in ``short`` (cid)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            posted, groups, sizes = [], [], []
-            for z, gk, rare in zip(rows.z, rows.gk, rows.rare, strict=True):
-                s = _set(z, k)
-                cutoff = int(np.searchsorted(s, A.U(LOW)))
-                need = prefix(len(s), percent) - rare
-                high = s[cutoff : cutoff + max(need, 0)]
-                posted.append(high if len(high) >= need else np.concatenate([high, s[:cutoff]]))
-                groups.append(gk)
-                sizes.append(len(s))
-            if (b := _blobs(posted, groups, sizes, n_buckets)) is not None:
+            posted = [_set(z, k) for z in rows.z]
+            if (b := _blobs(posted, rows.cid.tolist(), [len(s) for s in posted], n_buckets)) is not None:
                 yield b.to_pandas()
 
-    return texts.join(short, "cid").select("z", "gk", "rare").mapInPandas(cut, _POSTINGS)
+    return texts.join(short, "cid").select("cid", "z").mapInPandas(cut, _POSTINGS)
+
+
+def _prefixes(lists: DataFrame, owner: str, rare: str, percent: int) -> DataFrame:
+    """The postings (token, c, n, ...) within their owner's prefix, rarest first; ``r`` is the number of its tokens from there on. ``rare``: how many tokens the order has."""
+    every = Window.partitionBy(owner)
+    place = F.expr(rare) - F.count("*").over(every) + F.row_number().over(every.orderBy("c", "token")) - 1
+    return lists.withColumn("r", F.col("n") - place).where(f"r >= ({percent} * n + 99) div 100")
+
+
+def _alike(a: str, b: str, percent: int) -> str:
+    """SQL: from their first common token on, sets ``a`` and ``b`` (columns n, r) hold enough tokens."""
+    n, r = zip(*((c.replace("*", "n"), c.replace("*", "r")) for c in (a, b)), strict=True)
+    return f"{100 + percent} * least({r[0]}, {r[1]}) >= {percent} * ({n[0]} + {n[1]})"
 
 
 def _set(z: bytes, k: int) -> np.ndarray:
@@ -198,65 +205,69 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
-def _open(lists: DataFrame, classes: DataFrame, ids: DataFrame, links: DataFrame) -> DataFrame:
-    """What the links leave apart: (token, cid, n, part, m) for lists, and for groups, of several components; ``m`` is the list's length."""
+def _open(lists: DataFrame, classes: DataFrame, short: DataFrame, ids: DataFrame, links: DataFrame) -> DataFrame:
+    """What the links leave apart: (token, cid, n, r, part, m) for lists, and for groups that aren't short, of several components; ``m`` is the list's length."""
     part = components(links).select(F.col("b").alias("cid"), F.col("a").alias("part"))
     members = staged(classes.join(ids, "cid").join(part, "cid", "left").select("gk", "cid", "n", F.coalesce("part", "cid").alias("part")), "members")
     one = members.groupBy("gk").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"))
-    still = lists.join(one, "gk").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).where("lo < hi").select("token", "m")
-    entry = lists.join(still, "token").join(members, "gk").select("token", "cid", "n", "part", "m")
-    inner = members.join(one.where("lo < hi").select("gk", "m"), "gk").select(F.col("gk").alias("token"), "cid", "n", "part", "m")
-    return staged(entry.unionByName(inner), "open")
+    by_group = lists.where("gk is not null").select("token", "gk", "r")
+    still = by_group.join(one, "gk").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).where("lo < hi").select("token", "m")
+    entry = by_group.join(still, "token").join(members, "gk").select("token", "cid", "n", "r", "part", "m")
+    own = lists.where("gk is null").select("token", "cid", "r").join(members, "cid")
+    still = own.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("token", "m")
+    entry = entry.unionByName(own.join(still, "token").select("token", "cid", "n", "r", "part", "m"))
+    inner = members.join(one.where("lo < hi").select("gk", "m"), "gk").join(short, "gk", "left_anti")
+    return staged(entry.unionByName(inner.select(F.col("gk").alias("token"), "cid", "n", F.col("n").alias("r"), "part", "m")), "open")
 
 
 def _partners(entry: DataFrame, percent: int, seed: int | None) -> DataFrame:
     """Pairs of a list that lie in different components and may be alike: all, or those that fall in one of m / 2 random bins of the list."""
-    other = [F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("part").alias("p2")]
+    other = [F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("part").alias("p2")]
     if seed is None:
-        parts = entry.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        others = parts.select("token", F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        apart = parts.join(others, "token").where(f"part < p2 and 100 * hi >= {percent} * lo2 and 100 * hi2 >= {percent} * lo").select("token", "part", "p2")
+        parts = entry.groupBy("token", "part").agg(F.min("n").alias("n"), F.max("r").alias("r"))
+        others = parts.select("token", F.col("part").alias("p2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+        apart = parts.join(others, "token").where(f"part < p2 and {_alike('*', '*2', percent)}").select("token", "part", "p2")
         pairs = entry.join(apart, ["token", "part"]).join(entry.select("token", *other), ["token", "p2"])
     else:
         dealt = entry.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "token", "cid"), F.greatest(F.expr("m div 2"), F.lit(1))))
         pairs = dealt.join(dealt.select("token", "bin", *other), ["token", "bin"]).where("part < p2")
-    return _ordered(pairs.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)"), "cid", "c2")
+    return _ordered(pairs.where(_alike("*", "*2", percent)), "cid", "c2")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class, component) of each row of ``docs``, and the verified links between classes."""
     spark = docs.sparkSession
     n_buckets = partitions(spark, text_bytes(docs))
-    every = staged(signatures(docs, k, n_buckets), "signatures")
+    every = staged(signatures(docs, k, n_buckets, percent), "signatures")
     rows = every.where("bucket is null").select("doc_id", "n", "low", "h1", "h2", "gk")
     postings = every.where("bucket is not null").select("bucket", "tokens", "who", "groups")
     classes = staged(rows.where("n > 0 and doc_id is not null").groupBy("n", "low", "h1", "h2", "gk").agg(F.min("doc_id").alias("cid")), "classes")
-    groups = classes.groupBy("gk").agg(F.min("cid").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"), F.count("*").alias("members"))
     found = staged(shared(postings, n_buckets, HEAVY), "lists")
     heavy = found.where("token is null").groupBy(F.col("g").alias("gk")).agg(F.sum("s").alias("heavy"))
-    lists = found.where("token is not null").select("token", F.col("g").alias("gk"), "s")
+    groups = classes.groupBy("gk").agg(F.min("cid").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"), F.count("*").alias("members"))
+    groups = groups.join(heavy, "gk", "left").withColumn("rare", F.col("low") - F.coalesce("heavy", F.lit(0)))
+    groups = staged(groups.select("gk", F.col("rep").alias("cid"), "n", "rare", "members"), "groups")
+    lists = found.where("token is not null").select("token", F.col("g").alias("gk"), "c").join(groups, "gk")
+    lists = staged(_prefixes(lists, "gk", "rare", percent).select("token", "gk", "cid", "n", "r"), "prefixes")
     # a group is short if its rare low tokens are fewer than its prefix
-    short = groups.join(heavy, "gk", "left").withColumn("rare", F.col("low") - F.coalesce("heavy", F.lit(0)))
-    short = short.where(F.expr(f"rare < n - ({percent} * n + 99) div 100 + 1"))
-    short = staged(short.select(F.col("rep").alias("cid"), "gk", "rare"), "short")
-    some = lists.select("gk").union(short.select("gk")).union(groups.where("members > 1").select("gk")).distinct()
+    short = groups.where(F.expr(f"rare < n - ({percent} * n + 99) div 100 + 1")).select("gk")
+    some = lists.select("gk").union(short).union(groups.where("members > 1").select("gk")).distinct()
     ids = classes.join(some, "gk").select("cid").distinct()
     texts = staged(_packed(docs, ids), "texts")
-    more = shared(short_postings(texts, short, k, n_buckets, percent), n_buckets, None)
-    lists = lists.unionByName(staged(more, "short-lists").select("token", F.col("g").alias("gk"), "s"))
-    # a list's centre is the group that stands in most lists
-    degree = lists.groupBy("gk").agg(F.count("*").alias("degree"))
-    placed = lists.join(degree, "gk")
-    centre = placed.groupBy("token").agg(F.max(F.struct("degree", "gk", "s")).alias("c"))
-    near = placed.join(centre, "token").where(f"gk != c.gk and 100 * least(s, c.s) >= {percent} * greatest(s, c.s)").select("gk", F.col("c.gk").alias("other")).distinct()
-    rep = groups.select("gk", "rep")
-    across = near.join(rep.select("gk", F.col("rep").alias("x")), "gk").join(rep.select(F.col("gk").alias("other"), F.col("rep").alias("y")), "other")
-    within = classes.join(groups.where("members > 1").select("gk", "rep"), "gk").select(F.col("rep").alias("x"), F.col("cid").alias("y"))
-    first = staged(_ordered(across.select("x", "y").unionByName(within), "x", "y"), "pairs")
+    own = shared(short_postings(texts, classes.join(short, "gk").select("cid"), k, n_buckets), n_buckets, None)
+    own = _prefixes(own.select("token", F.col("g").alias("cid"), F.col("s").cast("long").alias("n"), "c"), "cid", "n", percent)
+    own = own.select(F.xxhash64("token").alias("token"), F.lit(None).cast("long").alias("gk"), "cid", "n", "r")
+    lists = lists.unionByName(staged(own, "short-lists"))
+    # a list's centre is the text that stands in most lists
+    placed = lists.join(lists.groupBy("cid").agg(F.count("*").alias("degree")), "cid")
+    centre = placed.groupBy("token").agg(F.max(F.struct("degree", "cid", "n", "r")).alias("c"))
+    across = placed.join(centre, "token").where(f"cid != c.cid and {_alike('*', 'c.*', percent)}").select(F.col("cid").alias("x"), F.col("c.cid").alias("y"))
+    within = classes.join(groups.where("members > 1").select("gk", F.col("cid").alias("x")), "gk").select("x", F.col("cid").alias("y"))
+    first = staged(_ordered(across.unionByName(within), "x", "y"), "pairs")
     links = staged(verified(first, texts, k, percent), "links")
     tried = first
     for seed in (1, 2, None):  # twice a few partners of each text in each list, then all that are still apart
-        entry = _open(lists, classes, ids, links)
+        entry = _open(lists, classes, short, ids, links)
         second = _partners(entry, percent, seed).join(tried, ["a", "b"], "left_anti")
         second = staged(second, "open-pairs")
         links = staged(links.unionByName(verified(second, texts, k, percent)), "all-links")

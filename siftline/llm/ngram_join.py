@@ -173,7 +173,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     right = texts.select(F.col("cid").alias("b"), F.col("z").alias("zb"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = lru_cache(4096)(lambda z: _set(z, k))
+        cut = lru_cache(256)(lambda z: _set(z, k))
         for rows in batches:
             ok = []
             for x, y in zip(rows.za, rows.zb, strict=True):
@@ -205,9 +205,8 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
-def _open(lists: DataFrame, classes: DataFrame, short: DataFrame, ids: DataFrame, links: DataFrame) -> DataFrame:
-    """What the links leave apart: (token, cid, n, r, part, m) for lists, and for groups that aren't short, of several components; ``m`` is the list's length."""
-    part = components(links).select(F.col("b").alias("cid"), F.col("a").alias("part"))
+def _open(lists: DataFrame, classes: DataFrame, short: DataFrame, ids: DataFrame, part: DataFrame) -> DataFrame:
+    """What the links, joined in ``part`` (cid, part), leave apart: (token, cid, n, r, part, m) for lists, and for groups that aren't short, of several components; ``m`` is the list's length."""
     members = staged(classes.join(ids, "cid").join(part, "cid", "left").select("gk", "cid", "n", F.coalesce("part", "cid").alias("part")), "members")
     one = members.groupBy("gk").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"))
     by_group = lists.where("gk is not null").select("token", "gk", "r")
@@ -234,6 +233,10 @@ def _partners(entry: DataFrame, percent: int, seed: int | None) -> DataFrame:
     return _ordered(pairs.where(_alike("*", "*2", percent)), "cid", "c2")
 
 
+def _parts(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("b").alias("cid"), F.col("a").alias("part"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class, component) of each row of ``docs``, and the verified links between classes."""
     spark = docs.sparkSession
@@ -265,14 +268,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     within = classes.join(groups.where("members > 1").select("gk", F.col("cid").alias("x")), "gk").select("x", F.col("cid").alias("y"))
     first = staged(_ordered(across.unionByName(within), "x", "y"), "pairs")
     links = staged(verified(first, texts, k, percent), "links")
-    tried = first
+    stars, tried = components(links), first
     for seed in (1, 2, None):  # twice a few partners of each text in each list, then all that are still apart
-        entry = _open(lists, classes, short, ids, links)
+        entry = _open(lists, classes, short, ids, _parts(stars))
         second = _partners(entry, percent, seed).join(tried, ["a", "b"], "left_anti")
         second = staged(second, "open-pairs")
-        links = staged(links.unionByName(verified(second, texts, k, percent)), "all-links")
-        tried = tried.unionByName(second)
-    part = components(links).select(F.col("b").alias("cid"), F.col("a").alias("part"))
+        new = staged(verified(second, texts, k, percent), "links")
+        stars = components(stars.unionByName(new))
+        links, tried = links.unionByName(new), tried.unionByName(second)
+    part = _parts(stars)
     named = classes.join(part, "cid", "left").select("n", "h1", "h2", "cid", F.coalesce("part", "cid").alias("part"))
     out = rows.join(named, ["n", "h1", "h2"], "left")
     return out.select("doc_id", "n", F.coalesce("cid", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id")), links

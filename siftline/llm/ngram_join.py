@@ -8,7 +8,8 @@ hold rare tokens only. The other classes (``short``) also post their prefixes in
 number of short classes they stand in, among themselves; so common passages come last in both orders.
 
 A posting's place in its order bounds what two sets can share from there on, which drops most pairs that only
-share a passage. Candidates are verified on whole texts. First each list links its members to the one among them
+share a passage. So does a bitmap of 256 parities of each set's hashes: two of them differ in no more bits than the
+sets have tokens that are not common, so more bits than linked sets may differ by rule a pair out. Candidates are verified on whole texts. First each list links its members to the one among them
 that stands in most lists (in a group of edited copies that is the text they stem from), and a group its members
 to its first, which is linear; after joining what these links connect, only pairs of a list that lie in different
 components remain and are verified, so no link is lost and large groups of copies cost no square.
@@ -36,6 +37,7 @@ from .components import components
 
 HEAVY = 64
 LOW = 1 << 62  # hashes below are the low tokens
+BITS = ["bits0", "bits1", "bits2", "bits3"]
 
 
 def prefix(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -47,6 +49,11 @@ def _buckets(tokens: np.ndarray, n: int) -> np.ndarray:
     return ((tokens >> A.U(22)) % A.U(n)).astype(np.int64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of hashes, a bit: whether ``s`` holds an odd number of them."""
+    return np.packbits((np.bincount((s & A.U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _blobs(tokens: list[np.ndarray], groups: list[int], sizes: list[int], n_buckets: int) -> pa.RecordBatch | None:
     """Postings of several documents as a row for each bucket: tokens, and which group and size each has."""
     if not tokens or not sum(map(len, tokens)):
@@ -77,6 +84,7 @@ def signatures(docs: DataFrame, k: int, n_buckets: int, percent: int) -> DataFra
         for batch in batches:
             data, at = A.flat(batch.column("text"))
             n, n_low, h1, h2, gk = (np.zeros(len(batch), np.int64) for _ in range(5))
+            bits = np.zeros((len(batch), len(BITS)), np.int64)
             posted, groups, sizes = [], [], []
             known = batch.column("doc_id").is_valid().to_pylist()
             for i, j in A.slices(at):
@@ -86,6 +94,7 @@ def signatures(docs: DataFrame, k: int, n_buckets: int, percent: int) -> DataFra
                         continue
                     low = s[: np.searchsorted(s, A.U(LOW))]
                     n[row], n_low[row] = len(s), len(low)
+                    bits[row] = parities(s)
                     h1[row] = A.mix(s + A.U(1)).sum(dtype=A.U).astype(np.int64)
                     h2[row] = np.bitwise_xor.reduce(A.mix(s ^ A.U(0x5851F42D4C957F2D))).astype(np.int64)
                     # with fewer low tokens than a prefix, a class is a group of its own
@@ -97,13 +106,13 @@ def signatures(docs: DataFrame, k: int, n_buckets: int, percent: int) -> DataFra
                         sizes.append(len(s))
             m = len(batch)
             none = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, n_low, h1, h2, gk)), pa.nulls(m, pa.int32()), none, none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, n_low, h1, h2, gk, *np.ascontiguousarray(bits.T))), pa.nulls(m, pa.int32()), none, none, none], names)
             if (b := _blobs(posted, groups, sizes, n_buckets)) is not None:
                 z = pa.nulls(len(b), pa.int64())
-                yield pa.RecordBatch.from_arrays([z, z, z, z, z, z, *b.columns], names)
+                yield pa.RecordBatch.from_arrays([z] * (6 + len(BITS)) + b.columns, names)
 
-    names = ["doc_id", "n", "low", "h1", "h2", "gk", "bucket", "tokens", "who", "groups"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"doc_id long, n long, low long, h1 long, h2 long, gk long, {_POSTINGS}")
+    names = ["doc_id", "n", "low", "h1", "h2", "gk", *BITS, "bucket", "tokens", "who", "groups"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"doc_id long, n long, low long, h1 long, h2 long, gk long, {', '.join(f'{p} long' for p in BITS)}, {_POSTINGS}")
 
 
 def _lists(rows: pa.Table | pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,6 +170,12 @@ def _alike(a: str, b: str, percent: int) -> str:
     return f"{100 + percent} * least({r[0]}, {r[1]}) >= {percent} * ({n[0]} + {n[1]})"
 
 
+def _bits_alike(percent: int) -> str:
+    """SQL: the bitmaps (BITS; of the other set with ``o`` before) differ in no more bits than linked sets do in tokens."""
+    differ = " + ".join(f"bit_count({p} ^ o{p})" for p in BITS)
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"
+
+
 def _set(z: bytes, k: int) -> np.ndarray:
     data = np.frombuffer(zstandard.decompress(bytes(z)), np.uint8)
     hashes, bounds = A.words(data, np.array([0, len(data)]))
@@ -206,22 +221,22 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _open(lists: DataFrame, classes: DataFrame, short: DataFrame, ids: DataFrame, part: DataFrame) -> DataFrame:
-    """What the links, joined in ``part`` (cid, part), leave apart: (token, cid, n, r, part, m) for lists, and for groups that aren't short, of several components; ``m`` is the list's length."""
-    members = staged(classes.join(ids, "cid").join(part, "cid", "left").select("gk", "cid", "n", F.coalesce("part", "cid").alias("part")), "members")
+    """What the links, joined in ``part`` (cid, part), leave apart: (token, cid, n, r, part, m and bitmaps) for lists, and for groups that aren't short, of several components; ``m`` is the list's length."""
+    members = staged(classes.join(ids, "cid").join(part, "cid", "left").select("gk", "cid", "n", *BITS, F.coalesce("part", "cid").alias("part")), "members")
     one = members.groupBy("gk").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"))
     by_group = lists.where("gk is not null").select("token", "gk", "r")
     still = by_group.join(one, "gk").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).where("lo < hi").select("token", "m")
-    entry = by_group.join(still, "token").join(members, "gk").select("token", "cid", "n", "r", "part", "m")
+    entry = by_group.join(still, "token").join(members, "gk").select("token", "cid", "n", "r", "part", "m", *BITS)
     own = lists.where("gk is null").select("token", "cid", "r").join(members, "cid")
     still = own.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("token", "m")
-    entry = entry.unionByName(own.join(still, "token").select("token", "cid", "n", "r", "part", "m"))
+    entry = entry.unionByName(own.join(still, "token").select("token", "cid", "n", "r", "part", "m", *BITS))
     inner = members.join(one.where("lo < hi").select("gk", "m"), "gk").join(short, "gk", "left_anti")
-    return staged(entry.unionByName(inner.select(F.col("gk").alias("token"), "cid", "n", F.col("n").alias("r"), "part", "m")), "open")
+    return staged(entry.unionByName(inner.select(F.col("gk").alias("token"), "cid", "n", F.col("n").alias("r"), "part", "m", *BITS)), "open")
 
 
 def _partners(entry: DataFrame, percent: int, seed: int | None) -> DataFrame:
     """Pairs of a list that lie in different components and may be alike: all, or those that fall in one of m / 2 random bins of the list."""
-    other = [F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("part").alias("p2")]
+    other = [F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("part").alias("p2"), *(F.col(p).alias(f"o{p}") for p in BITS)]
     if seed is None:
         parts = entry.groupBy("token", "part").agg(F.min("n").alias("n"), F.max("r").alias("r"))
         others = parts.select("token", F.col("part").alias("p2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
@@ -230,7 +245,7 @@ def _partners(entry: DataFrame, percent: int, seed: int | None) -> DataFrame:
     else:
         dealt = entry.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "token", "cid"), F.greatest(F.expr("m div 2"), F.lit(1))))
         pairs = dealt.join(dealt.select("token", "bin", *other), ["token", "bin"]).where("part < p2")
-    return _ordered(pairs.where(_alike("*", "*2", percent)), "cid", "c2")
+    return _ordered(pairs.where(_alike("*", "*2", percent)).where(_bits_alike(percent)), "cid", "c2")
 
 
 def _parts(stars: DataFrame) -> DataFrame:
@@ -242,9 +257,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     spark = docs.sparkSession
     n_buckets = partitions(spark, text_bytes(docs))
     every = staged(signatures(docs, k, n_buckets, percent), "signatures")
-    rows = every.where("bucket is null").select("doc_id", "n", "low", "h1", "h2", "gk")
+    rows = every.where("bucket is null").select("doc_id", "n", "low", "h1", "h2", "gk", *BITS)
     postings = every.where("bucket is not null").select("bucket", "tokens", "who", "groups")
-    classes = staged(rows.where("n > 0 and doc_id is not null").groupBy("n", "low", "h1", "h2", "gk").agg(F.min("doc_id").alias("cid")), "classes")
+    classes = staged(rows.where("n > 0 and doc_id is not null").groupBy("n", "low", "h1", "h2", "gk").agg(F.min("doc_id").alias("cid"), *(F.max(p).alias(p) for p in BITS)), "classes")
     found = staged(shared(postings, n_buckets, HEAVY), "lists")
     heavy = found.where("token is null").groupBy(F.col("g").alias("gk")).agg(F.sum("s").alias("heavy"))
     groups = classes.groupBy("gk").agg(F.min("cid").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"), F.count("*").alias("members"))

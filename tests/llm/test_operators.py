@@ -124,6 +124,16 @@ def brute_components(texts, k, percent):
     return name, {i: len(s) for i, s in sets.items()}
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 80, 600):
+        for shared in (0, n // 2, n):
+            a, b = rng.integers(0, 1 << 63, (2, n)).astype(np.uint64)
+            b[:shared] = a[:shared]
+            bits = sum(int(x).bit_count() for x in (ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64))
+            assert bits <= 2 * (n - shared) and (bits > 0 or shared == n or n > 100)
+
+
 def test_ngram_join(spark):
     rng = random.Random(8)
     base = [words(rng.randint(3, 80), 100 + i).split() for i in range(12)]

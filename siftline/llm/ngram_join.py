@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     first = staged(_ordered(across.unionByName(within), "x", "y"), "pairs")
     links = staged(verified(first, texts, k, percent), "links")
     stars, tried = components(links), first
-    for seed in (1, 2, None):  # twice a few partners of each text in each list, then all that are still apart
+    for seed in (1, None):  # a few partners of each text in each list, then all that are still apart
         entry = _open(lists, classes, short, ids, _parts(stars))
         second = _partners(entry, percent, seed).join(tried, ["a", "b"], "left_anti")
         second = staged(second, "open-pairs")

@@ -1,12 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages of 64 words, 32 apart. Their terms are the benchmark's words, weighed by
-inverse document frequency over all passages; terms in more than ``STOP_SHARE`` of them are left out, but
-each item keeps its eight rarest. A randomised SVD of the passages' normalised TF-IDF rows (a random
+inverse document frequency over all passages; terms in more than ``STOP_SHARE`` of them are left out. Items
+of any length are cut into pieces of a passage's length at most, each of which keeps its eight rarest. A randomised SVD of the passages' normalised TF-IDF rows (a random
 range, one power step and a Rayleigh-Ritz step; the products are summed over all passages on the
-executors) gives ``RANK`` latent directions. Items meet the passages of a latent cosine of at least
-``MIN_COSINE``; those that also share half of an item's terms are checked: the longest common
-subsequence of the item's words with the passage and its surroundings must reach ``MIN_LCS`` of the item,
+executors) gives ``RANK`` latent directions. Pieces meet the passages of a latent cosine of at least
+``MIN_COSINE``; those that also share half of a piece's terms are checked: the longest common
+subsequence of the whole item's words with the passage and its surroundings must reach ``MIN_LCS`` of the item,
 or a lesser share (``MIN_LCS_ANSWER``) along with nine tenths of its answer, the last quarter of its words.
 
 Defined cases: null and empty texts are clean; an item without words matches nothing; ASCII letter case
@@ -184,6 +184,11 @@ def lcs(item: list[int], masks: dict[int, int], words: list[int]) -> int:
     return len(item) - rest.bit_count()
 
 
+def pieces(words: np.ndarray) -> list[np.ndarray]:
+    """The words in parts of about equal length, none longer than a passage."""
+    return np.array_split(words, -(-len(words) // (2 * STRIDE)))
+
+
 class Item:
     def __init__(self, words: np.ndarray):
         self.words = words.tolist()
@@ -207,8 +212,10 @@ class Searcher:
         self.terms, self.number, self.idf, self.basis = terms, number, idf, basis.astype(np.float32)
         self.ids = [i for i, _ in items]
         self.items = [Item(w) for _, w in items]
-        self.has = np.zeros((len(items), len(idf)), bool)
-        for k, (_, w) in enumerate(items):
+        cut = [(k, piece) for k, (_, w) in enumerate(items) for piece in pieces(w)]
+        self.item_of = np.array([k for k, _ in cut], np.int64)
+        self.has = np.zeros((len(cut), len(idf)), bool)
+        for k, (_, w) in enumerate(cut):
             own = number[terms.find(w)[1]]
             self.has[k, own[own >= 0]] = True
         q = self._unit((self.has * idf) @ basis)
@@ -235,21 +242,21 @@ class Searcher:
         passage, size = row[start], np.diff(np.append(start, len(row)))
         least = max(1, int(np.ceil(self.least.min())))
         vectors = np.add.reduceat(self.basis[col] * ((1 + np.log(tf)) * self.idf[col]).astype(np.float32)[:, None], start)
-        some = np.flatnonzero(size >= least)  # fewer terms can't be half of any item's
+        some = np.flatnonzero(size >= least)  # fewer terms can't be half of any piece's
         if not len(some):
             return out
-        rows, items = np.nonzero(self._unit(vectors[some]) @ self.queries.T >= MIN_COSINE)
+        rows, cuts = np.nonzero(self._unit(vectors[some]) @ self.queries.T >= MIN_COSINE)
         rows = some[rows]
-        ok = size[rows] >= self.least[items]
-        rows, items = rows[ok], items[ok]
+        ok = size[rows] >= self.least[cuts]
+        rows, cuts = rows[ok], cuts[ok]
         if not len(rows):
             return out
         lengths = size[rows]
         inside = np.repeat(start[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        shared = np.add.reduceat(self.has[np.repeat(items, lengths), col[inside]].astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        ok = shared >= self.least[items]
+        shared = np.add.reduceat(self.has[np.repeat(cuts, lengths), col[inside]].astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+        ok = shared >= self.least[cuts]
         first, _ = _strides(bounds)
-        for p, k in zip(passage[rows[ok]].tolist(), items[ok].tolist(), strict=True):
+        for p, k in np.unique(np.stack([passage[rows[ok]], self.item_of[cuts[ok]]], 1), axis=0).tolist():
             doc = int(np.searchsorted(first, p, "right")) - 1
             item, begin = self.items[k], bounds[doc] + (p - first[doc]) * STRIDE
             margin = max(STRIDE, len(item.words))
@@ -275,8 +282,9 @@ def searcher(docs: DataFrame, benchmark: DataFrame) -> Searcher | None:
     df, total = frequencies(docs, terms)
     keep = df <= max(1, STOP_SHARE * total)
     for _, words in items:
-        own = np.unique(terms.find(words)[1])
-        keep[own[np.argsort(df[own], kind="stable")[:MIN_TERMS]]] = True
+        for piece in pieces(words):
+            own = np.unique(terms.find(piece)[1])
+            keep[own[np.argsort(df[own], kind="stable")[:MIN_TERMS]]] = True
     number = np.where(keep, np.cumsum(keep) - 1, -1)
     idf = np.log((1 + total) / (1 + df[keep])) + 1e-6
     basis = latent(staged(term_rows(docs, terms, number), "passage-terms"), idf)

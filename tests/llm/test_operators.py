@@ -242,3 +242,12 @@ def test_decontaminate(spark):
     assert decontaminate.drop_leaks(frame(spark, texts).limit(0), items).count() == 0
     item = decontaminate.Item(np.array([1, 2, 3, 4], np.uint64))
     assert decontaminate.lcs(item.words, item.masks, [9, 1, 3, 7, 2, 4]) == 3
+
+
+def test_decontaminate_long_items(spark):
+    items = spark.createDataFrame([(1, words(150, 70)), (2, words(500, 71)), (3, words(20, 72))], "item_id long, text string")
+    half = words(500, 71).split()
+    half[:125], half[375:] = words(125, 73).split(), words(125, 74).split()
+    texts = [(i, words(900, 400 + i)) for i in range(20)] + [(50, f"{words(217, 75)} {words(150, 70)} {words(90, 76)}"), (51, f"{words(41, 77)} {words(500, 71)} {words(333, 78)}"), (52, " ".join(half)), (53, words(150, 70))]
+    got = {r.doc_id: r.leaked_items for r in decontaminate.leaks(frame(spark, texts), items).collect()}
+    assert {i: x for i, x in got.items() if x} == {50: [1], 51: [2], 53: [1]}

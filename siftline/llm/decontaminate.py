@@ -8,6 +8,9 @@ executors) gives ``RANK`` latent directions. Pieces meet the passages of a laten
 ``MIN_COSINE``; those that also share half of a piece's terms are checked: the longest common
 subsequence of the whole item's words with the passage and its surroundings must reach ``MIN_LCS`` of the item,
 or a lesser share (``MIN_LCS_ANSWER``) along with nine tenths of its answer, the last quarter of its words.
+No leak by these rules depends on the latent space: whoever has it lacks few of the item's words, so one of
+any few more has to stand there. The item's rarest words that many (``Item.anchors``) lead to all passages
+around them, and those whose surroundings hold enough of the item's words are checked as well.
 
 Defined cases: null and empty texts are clean; an item without words matches nothing; ASCII letter case
 and spacing don't count; repeated rows get the same result; without items all texts are clean. The
@@ -35,6 +38,7 @@ MIN_COSINE = 0.3
 MIN_SHARED = 0.5
 MIN_LCS = 0.8
 MIN_LCS_ANSWER = 0.6
+MIN_ANSWER = 0.9
 MAX_TERMS = 1 << 18
 MAX_ITEMS = 1 << 16
 _FILTER = 1 << 20
@@ -197,18 +201,38 @@ class Item:
         for words_, masks in ((self.words, self.masks), (self.answer, self.answer_masks)):
             for i, w in enumerate(words_):
                 masks[w] = masks.get(w, 0) | 1 << i
+        n = len(self.words)
+        self.least = next(x for x in range(n + 1) if x / n >= min(MIN_LCS, MIN_LCS_ANSWER))
+
+    @property
+    def margin(self) -> int:
+        """How many words on both sides of a passage are aligned."""
+        return max(STRIDE, len(self.words))
+
+    def anchors(self, often: list[int]) -> set[int]:
+        """Places of words of which every leak has one: rare ones, by how ``often`` each stands in the texts."""
+        n, m = len(self.words), len(self.answer)
+        lost = n - next(x for x in range(n + 1) if x / n >= MIN_LCS)
+        lost_answer = m - next(x for x in range(m + 1) if x >= MIN_ANSWER * m)
+        return {*sorted(range(n), key=often.__getitem__)[: lost + 1], *sorted(range(n - m, n), key=often.__getitem__)[: lost_answer + 1]}
 
     def score(self, words: list[int]) -> tuple[float, bool]:
         share = lcs(self.words, self.masks, words) / len(self.words)
         if share >= MIN_LCS:
             return share, True
-        return share, share >= MIN_LCS_ANSWER and lcs(self.answer, self.answer_masks, words) >= 0.9 * len(self.answer)
+        return share, share >= MIN_LCS_ANSWER and lcs(self.answer, self.answer_masks, words) >= MIN_ANSWER * len(self.answer)
+
+
+def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of these sizes, the group of each member and its place there."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class Searcher:
     """All that a task needs to find items in texts."""
 
-    def __init__(self, terms: Terms, number: np.ndarray, idf: np.ndarray, basis: np.ndarray, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, terms: Terms, number: np.ndarray, idf: np.ndarray, basis: np.ndarray, items: list[tuple[int, np.ndarray]], df: np.ndarray):
         self.terms, self.number, self.idf, self.basis = terms, number, idf, basis.astype(np.float32)
         self.ids = [i for i, _ in items]
         self.items = [Item(w) for _, w in items]
@@ -221,20 +245,69 @@ class Searcher:
         q = self._unit((self.has * idf) @ basis)
         self.queries = q.astype(np.float32)
         self.least = MIN_SHARED * self.has.sum(1)
+        every = [terms.find(w)[1] for _, w in items]
+        own = [np.unique(w, return_counts=True) for w in every]
+        self.n_own = np.array([len(w) for w, _ in own], np.int64)
+        self.own, self.times = (np.concatenate(x) for x in zip(*own, strict=True))
+        self.margins, self.needs = np.array([[x.margin, x.least] for x in self.items], np.int64).T
+        links = np.unique([(w[i], k) for k, w in enumerate(every) for i in self.items[k].anchors(df[w].tolist())], axis=0)
+        self.anchored, self.n_anchored = links[:, 1], np.bincount(links[:, 0], minlength=len(df))
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, tuple[float, bool]]]:
-        """By text, by item: the share of the item found and whether it counts as a leak."""
-        at, found = self.terms.find(hashes)
+    def _enough(self, keys: np.ndarray, n: int, items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the words from ``lo`` to ``hi`` hold as many of the item's words as a leak needs, in any order."""
+        out = np.zeros(len(items), bool)
+        begin = np.cumsum(self.n_own) - self.n_own
+        for i in range(0, len(items), 4096):
+            k = items[i : i + 4096]
+            group, place = _spread(self.n_own[k])
+            own = begin[k][group] + place
+            base = self.own[own] * n
+            held = np.searchsorted(keys, base + hi[i : i + 4096][group]) - np.searchsorted(keys, base + lo[i : i + 4096][group])
+            out[i : i + 4096] = np.bincount(group, np.minimum(held, self.times[own]), len(k)) >= self.needs[k]
+        return out
+
+    def _sure(self, at: np.ndarray, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(passage, item) of all that can be leaks by their words."""
+        n = int(bounds[-1]) + 1
+        order = np.argsort(found, kind="stable")
+        keys = found[order] * n + at[order]
+        first, total = _strides(bounds)
+        last = np.append(first[1:], total) - 2  # the last stride with words
+        some = np.flatnonzero(self.n_anchored[found])
+        place, _ = _place(bounds, at[some])
+        group, nth = _spread(self.n_anchored[found[some]])
+        begin = np.cumsum(self.n_anchored) - self.n_anchored
+        pairs = np.unique(place[group] * len(self.items) + self.anchored[begin[found[some]][group] + nth])
+        place, items = np.divmod(pairs, len(self.items))
+
+        def words(begins: np.ndarray, ends: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            doc = np.searchsorted(first, begins, "right") - 1
+            lo, hi = (bounds[doc] + (x - first[doc]) * STRIDE for x in (begins, ends))
+            return doc, np.maximum(lo - self.margins[items], bounds[doc]), np.minimum(hi + 2 * STRIDE + self.margins[items], bounds[doc + 1])
+
+        doc = np.searchsorted(first, place, "right") - 1
+        reach = -(-self.margins[items] // STRIDE)
+        begins, ends = np.maximum(place - 1 - reach, first[doc]), np.minimum(place + reach, last[doc])  # passages whose surroundings may hold the anchor
+        ok = self._enough(keys, n, items, *words(begins, ends, items)[1:])
+        begins, ends, items = begins[ok], ends[ok], items[ok]
+        group, nth = _spread(ends - begins + 1)
+        pairs = np.unique((begins[group] + nth) * len(self.items) + items[group])
+        passage, items = np.divmod(pairs, len(self.items))
+        ok = self._enough(keys, n, items, *words(passage, passage, items)[1:])
+        return np.stack([passage[ok], items[ok]], 1)
+
+    def _near(self, at: np.ndarray, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(passage, item) of those that meet in the latent space."""
+        none = np.zeros((0, 2), np.int64)
         found = self.number[found]
         at, found = at[found >= 0], found[found >= 0]
-        out: dict[int, dict[int, tuple[float, bool]]] = {}
-        if not len(at) or not len(self.items):
-            return out
-        place, total = _place(bounds, at)
+        if not len(at):
+            return none
+        place, _ = _place(bounds, at)
         n = len(self.idf)
         key, tf = np.unique(np.concatenate([place, place[place > 0] - 1]) * n + np.concatenate([found, found[place > 0]]), return_counts=True)
         row, col = key // n, key % n
@@ -244,26 +317,35 @@ class Searcher:
         vectors = np.add.reduceat(self.basis[col] * ((1 + np.log(tf)) * self.idf[col]).astype(np.float32)[:, None], start)
         some = np.flatnonzero(size >= least)  # fewer terms can't be half of any piece's
         if not len(some):
-            return out
+            return none
         rows, cuts = np.nonzero(self._unit(vectors[some]) @ self.queries.T >= MIN_COSINE)
         rows = some[rows]
         ok = size[rows] >= self.least[cuts]
         rows, cuts = rows[ok], cuts[ok]
         if not len(rows):
-            return out
+            return none
         lengths = size[rows]
         inside = np.repeat(start[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
         shared = np.add.reduceat(self.has[np.repeat(cuts, lengths), col[inside]].astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
         ok = shared >= self.least[cuts]
+        return np.stack([passage[rows[ok]], self.item_of[cuts[ok]]], 1)
+
+    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, tuple[float, bool]]]:
+        """By text, by item: the share of the item found and whether it counts as a leak."""
+        at, found = self.terms.find(hashes)
+        out: dict[int, dict[int, tuple[float, bool]]] = {}
+        if not len(at) or not len(self.items):
+            return out
         first, _ = _strides(bounds)
-        for p, k in np.unique(np.stack([passage[rows[ok]], self.item_of[cuts[ok]]], 1), axis=0).tolist():
+        for p, k in np.unique(np.concatenate([self._sure(at, found, bounds), self._near(at, found, bounds)]), axis=0).tolist():
             doc = int(np.searchsorted(first, p, "right")) - 1
             item, begin = self.items[k], bounds[doc] + (p - first[doc]) * STRIDE
-            margin = max(STRIDE, len(item.words))
-            words = hashes[max(bounds[doc], begin - margin) : min(bounds[doc + 1], begin + 2 * STRIDE + margin)].tolist()
+            words = hashes[max(bounds[doc], begin - item.margin) : min(bounds[doc + 1], begin + 2 * STRIDE + item.margin)].tolist()
             best = out.setdefault(doc, {})
-            if not best.get(k, (0, False))[1]:
-                best[k] = max(best.get(k, (0.0, False)), item.score(words), key=lambda x: (x[1], x[0]))
+            before, leak = best.get(k, (0.0, False))
+            if not leak or before < 1:
+                share, now = item.score(words)
+                best[k] = max(before, share), leak or now
         return out
 
 
@@ -288,7 +370,7 @@ def searcher(docs: DataFrame, benchmark: DataFrame) -> Searcher | None:
     number = np.where(keep, np.cumsum(keep) - 1, -1)
     idf = np.log((1 + total) / (1 + df[keep])) + 1e-6
     basis = latent(staged(term_rows(docs, terms, number), "passage-terms"), idf)
-    return Searcher(terms, number, idf, basis, items)
+    return Searcher(terms, number, idf, basis, items, df)
 
 
 def _found(docs: DataFrame, search: Searcher | None, names: list[str]) -> DataFrame:

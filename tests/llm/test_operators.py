@@ -251,3 +251,24 @@ def test_decontaminate_long_items(spark):
     texts = [(i, words(900, 400 + i)) for i in range(20)] + [(50, f"{words(217, 75)} {words(150, 70)} {words(90, 76)}"), (51, f"{words(41, 77)} {words(500, 71)} {words(333, 78)}"), (52, " ".join(half)), (53, words(150, 70))]
     got = {r.doc_id: r.leaked_items for r in decontaminate.leaks(frame(spark, texts), items).collect()}
     assert {i: x for i, x in got.items() if x} == {50: [1], 51: [2], 53: [1]}
+
+
+def test_decontaminate_finds_all_leaks_by_the_rules(spark):
+    rng = random.Random(9)
+    vocabulary = [words(1, 500 + i) for i in range(1500)]
+    prose = lambda n: [vocabulary[min(int(rng.paretovariate(0.6)), 1500) - 1] for _ in range(n)]
+    benchmark = [(k, prose(rng.randint(8, 60))) for k in range(150)]
+    texts = []
+    for i in range(600):
+        w = list(benchmark[i % 150][1])
+        for j in rng.sample(range(len(w) - max(1, len(w) // 4)), int(0.38 * len(w))):
+            w[j] = rng.choice(vocabulary)
+        other = list(benchmark[rng.randrange(150)][1])
+        texts.append((i, " ".join([*prose(rng.randint(0, 90)), *other[: rng.randint(0, 20)], *w, *prose(rng.randint(0, 90))])))
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in benchmark], "item_id long, text string")
+    got = {r.doc_id: set(r.leaked_items) for r in decontaminate.leaks(frame(spark, texts), items).collect()}
+    judged = [(k, decontaminate.Item(np.array([vocabulary.index(x) for x in w], np.uint64))) for k, w in benchmark]
+    for i, t in texts:
+        w = [vocabulary.index(x) for x in t.split()]
+        around = lambda x: [w[max(0, p - x.margin) : p + 64 + x.margin] for p in range(0, len(w), 32)]
+        assert got[i] == {k for k, x in judged if any(x.score(part)[1] for part in around(x))}

@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Every line that several texts share links each text to the first one that holds the line (the smallest
-id), whatever the line's frequency: the links of a text are few, and a line that is rare needs no cut-off
-to be told from one that is common. Linked texts are aligned with patience diff over line hashes: lines
+What one aligned run can take away holds a shared block: the fewest lines in a row around a line that have
+``MIN_BLOCK_CHARS`` characters together. Every block links its texts to the first one that holds it (the
+smallest id), whatever its frequency. Lines that this leaves although earlier texts hold a block around them
+link their texts to the next holders, twice as many in each round, until every line is gone or has been
+aligned with all of these holders; the result is that of aligning all pairs. Linked texts are aligned with patience diff over line hashes: lines
 that occur once in both, in the longest increasing order, then the runs around them. An aligned run of
 lines with at least ``MIN_BLOCK_CHARS`` characters goes from the later text. Texts that equal an earlier one
 as a whole are settled before any alignment.
@@ -19,12 +21,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import fresh, staged, table
 
 MIN_BLOCK_CHARS = 16
+_BASE, _PRIME = 0x9E3779B97F4A7C15 % ((1 << 61) - 1), (1 << 61) - 1
 
 
 def matched(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -86,6 +89,29 @@ def repeated(a: list[int], b: list[int], sizes: list[int], least: int) -> list[i
     return out
 
 
+def blocks(hashes: list[int], sizes: list[int], least: int) -> dict[int, list[int]]:
+    """By hash, the smallest blocks of at least ``least`` characters around each line, with these lines."""
+    n = len(hashes)
+    sums, heads, powers = [0], [0], [1]
+    for h, size in zip(hashes, sizes, strict=True):
+        sums.append(sums[-1] + size)
+        heads.append((heads[-1] * _BASE + h) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    full = [p for p in range(n) if sizes[p]]
+    out: dict[int, list[int]] = {}
+    for q in range(n):
+        i, before, end = q, bisect_left(full, q) - 1, n
+        while True:
+            j = max(q, bisect_left(sums, sums[i] + least) - 1)
+            if j < end:
+                out.setdefault((heads[j + 1] - heads[i] * powers[j + 1 - i]) % _PRIME, []).append(q)
+                end = j
+            if j == q or before < 0:
+                break
+            i, before = full[before], before - 1
+    return out
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -95,12 +121,11 @@ def removals(docs: DataFrame, least: int = MIN_BLOCK_CHARS) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text != ''")
     hashed = base.select("rep", F.md5("text").alias("th"), F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"), F.transform(_lines(F.col("text")), lambda x: F.length(F.trim(x))).alias("sz"))
     reps = staged(hashed.groupBy("th").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"), F.first("hs").alias("hs"), F.first("sz").alias("sz")), "line-texts")
-    own = F.transform(F.filter(F.arrays_zip("hs", "sz"), lambda x: x.sz > 0), lambda x: x.hs)
-    lines = reps.select("rep", "th", F.explode(F.array_distinct(own)).alias("h"))
-    first = lines.groupBy("h").agg(F.min(F.struct("rep", "th")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "f")
-    links = lines.join(first, "h").where("f.rep < rep").select("th", F.col("f.th").alias("fth")).distinct()
-    side = reps.select(F.col("th").alias("fth"), F.col("hs").alias("fhs"))
-    pairs = links.join(reps.select("th", "hs", "sz"), "th").join(side, "fth").select("th", "fhs", "hs", "sz")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(h, rep, th, qs) for rep, th, hs, sz in zip(rows.rep, rows.th, rows.hs, rows.sz, strict=True) for h, qs in blocks(hs.tolist(), sz.tolist(), least).items()]
+            yield pd.DataFrame(found, columns=["h", "rep", "th", "qs"])
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -108,8 +133,32 @@ def removals(docs: DataFrame, least: int = MIN_BLOCK_CHARS) -> DataFrame:
             out = pd.DataFrame({"th": rows.th, "g": gone})
             yield out[out.g.str.len() > 0]
 
-    aligned = pairs.mapInPandas(align, "th string, g array<int>")
-    gone = aligned.select("th", F.explode("g").alias("g")).distinct().groupBy("th").agg(F.collect_list("g").alias("gone"))
+    def aligned(links: DataFrame) -> DataFrame:
+        side = reps.select(F.col("th").alias("fth"), F.col("hs").alias("fhs"))
+        pairs = links.distinct().join(reps.select("th", "hs", "sz"), "th").join(side, "fth").select("th", "fhs", "hs", "sz")
+        return staged(pairs.mapInPandas(align, "th string, g array<int>"), "line-runs")
+
+    def together(runs: DataFrame) -> DataFrame:
+        return runs.select("th", F.explode("g").alias("g")).distinct().groupBy("th").agg(F.collect_list("g").alias("gone"))
+
+    def still(rows: DataFrame, runs: DataFrame) -> DataFrame:
+        return rows.join(together(runs), "th", "left").where("gone is null or size(array_except(qs, gone)) > 0").drop("gone")
+
+    held = reps.select("rep", "th", "hs", "sz").mapInPandas(cut, "h long, rep long, th string, qs array<int>")
+    first = held.groupBy("h").agg(F.min(F.struct("rep", "th")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    shared = staged(held.join(first, "h").select("h", "rep", "th", "qs", "n", F.col("f.rep").alias("frep"), F.col("f.th").alias("fth")), "line-blocks")
+    runs = aligned(shared.where("frep < rep").select("th", "fth"))
+    some = staged(still(shared.where("frep < rep and n > 2"), runs).select("h").distinct(), "line-blocks-left")
+    order = F.row_number().over(Window.partitionBy("h").orderBy("rep", "th"))
+    ranked = staged(shared.join(some, "h", "left_semi").select("h", "rep", "th", "qs", order.alias("place")), "line-holders")
+    done, step = 1, 1
+    left = staged(still(ranked.where(F.col("place") > 2), runs), "line-left")
+    while not left.isEmpty():
+        holders = ranked.where(F.col("place").between(done + 1, done + step)).select("h", F.col("rep").alias("frep"), F.col("th").alias("fth"))
+        runs = runs.union(aligned(left.join(holders, "h").where("frep < rep").select("th", "fth")))
+        done, step = done + step, 2 * step
+        left = staged(still(left.where(F.col("place") > done + 1), runs), "line-left")
+    gone = together(runs)
     return reps.select("th", "rep", "copies").join(gone, "th", "left").where("copies > 1 or gone is not null").drop("copies")
 
 

@@ -83,6 +83,20 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_line_dedup_aligns_all_earlier_holders(spark):
+    rng = random.Random(12)
+    lines = [*(words(6, 700 + i) for i in range(25)), *(words(1, 740 + i) for i in range(25)), ""]
+    texts = [(1, f"{lines[0]}\nx\n{lines[1]}"), (2, f"y\n{lines[1]}"), (3, f"{lines[1]}\nz\n{lines[0]}")]
+    texts += [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for i in range(10, 210)]
+    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert out[3] == ("z", 2)
+    rows = {i: t.split("\n") for i, t in texts if t}
+    for i, b in rows.items():
+        gone = {q for j, a in rows.items() if j < i for q in line_dedup.repeated(a, b, [len(x.strip(" ")) for x in b], line_dedup.MIN_BLOCK_CHARS)}
+        gone = set(range(len(b))) if any(a == b for j, a in rows.items() if j < i) else gone
+        assert out[i] == ("\n".join(x for q, x in enumerate(b) if q not in gone), len(gone))
+
+
 def brute_spans(texts):
     seen, out = {}, {}
     for i, t in sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]):

@@ -1,6 +1,6 @@
 """Secret scans: candidate strings judged by a random forest.
 
-Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 16 to 512 characters that hold a digit or mix cases. What
+Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more that hold a digit or mix cases. What
 tells secrets from hashes, ids, paths and long words: length, changes between classes of characters, shares
 of digits and capitals, variety, the share covered by dictionary words, path marks in and around the
 candidate, and the words next to it. The forest is grown on labelled findings that are generated from a
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._common import fresh, table
 
 _CHARS = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_CHARS}])[{_CHARS}]{{16,512}}+(?![{_CHARS}])"
+CANDIDATE = rf"(?<![{_CHARS}])[{_CHARS}]{{16,}}+(?![{_CHARS}])"
 THRESHOLD = 0.5
 TREES, DEPTH, FINDINGS, SEED = 15, 5, 2400, 17
 

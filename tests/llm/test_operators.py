@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import math
 import random
@@ -223,6 +224,15 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    run = "".join(base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode().rstrip("=") for i in range(50))
+    long, keyed = run[:2000], f"path/{'segment/' * 80}token={hashlib.sha1(b'k').hexdigest()}"
+    texts = [(1, f'set private_key = "{long}" now'), (2, f'api_key="{run[:513]}" and token: "{run[:512]}"'), (3, f"x {keyed} y"), (4, "ab1" * 100_000)]
+    got = {(r.doc_id, r.ordinal): (r.candidate, r.is_secret) for r in secrets.scan(frame(spark, texts).drop("score")).collect()}
+    assert got.pop((3, 1))[0] == keyed and got.pop((4, 1))[0] == "ab1" * 100_000
+    assert got == {(1, 1): (long, True), (2, 1): (run[:513], True), (2, 2): (run[:512], True)}
+
+
 def test_multi_index(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).astype(float).tolist(), 0) for i in range(800)]

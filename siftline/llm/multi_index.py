@@ -7,6 +7,9 @@ vectors; those are ranked again by their cosine in double precision on the vecto
 that takes depends on the data: within the sample, the share of vectors that a walk must pass before it has
 the cells of ``RECALL`` of the true neighbours is measured by brute force, and used for all queries.
 
+In a task the entries of its cells meet a block of queries in one matrix product, masked by the cells that each
+query walks; all within rounding of the last place are scored again, so ties go by id however many there are.
+
 Equal vectors share one entry that keeps the smallest ids (one more than asked for, so a query can pass
 over itself), found under salted keys first. A cell's entries are dealt over parts of at most ``PART``, so no
 cell meets in one task, and a task's result is a query's best few.
@@ -32,9 +35,11 @@ from ._common import staged, table
 SAMPLE = 20_000
 PART = 4096
 SALTS = 16
-PER_CELL = 16
+PER_CELL = 48
+BLOCK = 128  # queries ranked at a time
+ROUNDING = 1e-9  # far over the error of a dot product of unit vectors
 MAX_PARTS = 1 << 32
-MAX_CENTROIDS = 256
+MAX_CENTROIDS = 1024
 MIN_CANDIDATES = 512
 RECALL = 0.96
 PROBES = 200
@@ -128,8 +133,9 @@ def needed(index: Index, x: np.ndarray, top: int = 5) -> float:
     cells = index.cells(x)
     count = np.bincount(cells, minlength=len(index.first) * len(index.second))
     passed = []
-    for lo in range(0, min(PROBES, len(x)), 50):
-        probes = np.arange(lo, min(lo + 50, PROBES, len(x)))
+    step = max(1, min(50, (1 << 22) // len(count)))
+    for lo in range(0, min(PROBES, len(x)), step):
+        probes = np.arange(lo, min(lo + step, PROBES, len(x)))
         near = x[probes] @ x.T
         near[np.arange(len(probes)), probes] = -2
         a, b = index.halves(x[probes])
@@ -201,32 +207,26 @@ def neighbours(vectors: DataFrame, queries: DataFrame, top: int = 5) -> DataFram
     def rank(entry: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(entry) and len(ask):
-            where, asked_by = entry.groupby("key").indices, {}
-            for i, keys in enumerate(ask["keys"]):
-                for k in keys.tolist():
-                    asked_by.setdefault(k, []).append(i)
-            v, q = _matrix(entry.embedding), _matrix(ask.embedding)
-            unit_v, unit_q = _unit(v), _unit(q)
-            ids, qids = entry.ids.to_numpy(), ask.qid.to_numpy()
-            cids = np.array([x[0] for x in ids], np.int64)
-            best_of: list[list[tuple[float, int, int]]] = [[] for _ in range(len(ask))]
-            for key, qi in asked_by.items():
-                vi, qi = where.get(key), np.array(qi)
-                if vi is None:
-                    continue
-                m = min(len(vi), 2 * top + 8)
-                for lo in range(0, len(qi), 1024):
-                    part = qi[lo : lo + 1024]
-                    near = unit_q[part] @ unit_v[vi].T
-                    best = vi[np.argpartition(-near, m - 1, axis=1)[:, :m]]
-                    for i, own in zip(part, best, strict=True):
-                        scores = cosine(np.broadcast_to(q[i], (m, q.shape[1])), v[own])
-                        mine = best_of[i]
-                        mine += [(-z, c, e) for z, c, e in zip(scores.tolist(), cids[own].tolist(), own.tolist(), strict=True)]
-                        if len(mine) > 64:
-                            best_of[i] = sorted(mine)[: top + 1]
-            out = [(qids[i], -z, ids[e]) for i, mine in enumerate(best_of) for z, _, e in sorted(mine)[: top + 1]]
-        return pd.DataFrame(out, columns=["qid", "score", "ids"])
+            keys, place = np.unique(entry["key"].to_numpy(), return_inverse=True)
+            v, q, cids = _matrix(entry.embedding), _matrix(ask.embedding), entry.ids.str[0].to_numpy(np.int64)
+            unit_v, unit_q, m = _unit(v), _unit(q), min(len(v), top + 1)
+            for lo in range(0, len(q), BLOCK):
+                some = ask["keys"].iloc[lo : lo + BLOCK]
+                asked_by = np.repeat(np.arange(len(some)), some.str.len().to_numpy(np.int64))
+                wanted = np.concatenate(some.to_list())
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                walked = np.zeros((len(some), len(keys)), bool)
+                walked[asked_by, at] = keys[at] == wanted
+                near = np.where(walked[:, place], unit_q[lo : lo + BLOCK] @ unit_v.T, -9.0)
+                least = np.partition(near, len(v) - m, axis=1)[:, len(v) - m]
+                qi, vi = np.nonzero(near >= np.maximum(least - ROUNDING, -2.0)[:, None])  # all that can be among the best, ties too
+                score = np.concatenate([cosine(q[lo + qi[i : i + 65536]], v[vi[i : i + 65536]]) for i in range(0, max(len(qi), 1), 65536)])
+                order = np.lexsort((cids[vi], -score, qi))
+                qi, vi, score = qi[order], vi[order], score[order]
+                nth = np.arange(len(qi)) - np.searchsorted(qi, qi)
+                best = nth <= top
+                out.append(pd.DataFrame({"qid": ask.qid.to_numpy()[lo + qi[best]], "score": score[best], "ids": entry.ids.to_numpy()[vi[best]]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "score": [], "ids": []})
 
     found = held.groupBy("g").cogroup(asks.groupBy("g")).applyInPandas(rank, "qid long, score double, ids array<long>")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")

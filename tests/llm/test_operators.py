@@ -255,6 +255,28 @@ def test_multi_index(spark):
     assert multi_index.neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_multi_index_ties_go_by_id(spark):
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=8).astype(np.float32).astype(float)
+    rows = [(0, one.tolist())] + [(1039 - i, (one * 2.0**i).tolist()) for i in range(40)] + [(2001 + i, rng.normal(size=8).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): r.vec_id for r in multi_index.neighbours(vectors, vectors.where("vec_id in (0, 1003)")).collect()}
+    assert [got[0, i] for i in range(1, 6)] == [1000, 1001, 1002, 1003, 1004] and [got[1003, i] for i in range(1, 6)] == [0, 1000, 1001, 1002, 1004]
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_multi_index_recall(spark, n):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in multi_index.neighbours(vectors, vectors.where("vec_id % 50 = 0")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::50] @ unit.T
+    near[np.arange(len(near)), np.arange(0, n, 50)] = -2
+    want = {(50 * i, int(j)) for i, row in enumerate(near) for j in np.argsort(-row)[:5]}
+    assert len(found & want) >= 0.9 * len(want)
+
+
 def test_decontaminate(spark):
     items = spark.createDataFrame([(1, words(40, 50)), (2, words(15, 51)), (3, None), (4, ""), (None, "x y")], "item_id long, text string")
     one, two = words(40, 50), words(15, 51).split()

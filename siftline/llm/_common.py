@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _local_dir: str | None = None
 
 
@@ -30,11 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost no recomputation.
+
+    ``rows``: at most so many go to a Python worker at once, where rows are large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        spark.conf.set(ARROW_ROWS, str(min(rows or int(before), int(before))))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,12 +10,11 @@ import pyarrow.compute as pc
 
 U = np.uint64
 SLICE = 1 << 18  # bytes worked on at a time, so that temporary arrays stay in the processor's cache
-_VALUES = np.arange(1, 257, dtype=U)
+_VALUES = np.arange(256, dtype=U)
 _VALUES[65:91] += U(32)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_N_POWERS = 4096
-_POWERS = np.cumprod(np.full(_N_POWERS, 0x9E3779B97F4A7C15, U), dtype=U)
+_ODD = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +45,9 @@ def slices(at: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (ASCII letters lower-cased), and the word ranges of the texts."""
+    """A 64-bit hash of each word (ASCII letters lower-cased), and the word ranges of the texts.
+
+    Blocks of eight bytes are scrambled with their number before they are summed, and the sum with the length."""
     n = len(at) - 1
     keep = np.flatnonzero(~_IS_SPACE[data])
     if not len(keep):
@@ -59,10 +60,12 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(first)
     lengths = np.diff(np.append(starts, len(keep)))
     place = np.arange(len(keep)) - np.repeat(starts, lengths)
-    if lengths.max() > _N_POWERS:
-        place %= _N_POWERS
-    values = _VALUES[data[keep]] * _POWERS[place]
-    return mix(np.add.reduceat(values, starts)), np.searchsorted(starts, bounds)
+    values = _VALUES[data[keep]] << ((place & 7) << 3).astype(U)
+    blocks = np.flatnonzero((place & 7) == 0)
+    number = (place[blocks] >> 3).astype(U)
+    mixed = mix(np.add.reduceat(values, blocks) + (number + U(1)) * _ODD)
+    sums = np.add.reduceat(mixed, np.searchsorted(blocks, starts))
+    return mix(sums + lengths.astype(U) * _ODD), np.searchsorted(starts, bounds)
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -15,8 +15,8 @@ to its first, which is linear; after joining what these links connect, only pair
 components remain and are verified, so no link is lost and large groups of copies cost no square.
 
 Defined cases: null texts and texts without words have no set and link with nothing; fewer than n words
-count as one shingle; rows without an id get no component; rows of one id count as one document; the
-component is the smallest id reachable. ASCII letter case doesn't count.
+count as one shingle; rows without an id get no component; rows of one id count as one document, which all of
+their texts link; the component is the smallest id reachable. ASCII letter case doesn't count.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from ._common import fresh, partitions, staged, table, text_bytes
 from .components import components
 
 HEAVY = 64
+LIST_BLOCK = 512
+MAX_SENT = 1_000_000  # rows of three numbers that may be broadcast
 LOW = 1 << 62  # hashes below are the low tokens
 BITS = ["bits0", "bits1", "bits2", "bits3"]
 
@@ -85,7 +87,7 @@ def signatures(docs: DataFrame, k: int, n_buckets: int, percent: int) -> DataFra
             data, at = A.flat(batch.column("text"))
             n, n_low, h1, h2, gk = (np.zeros(len(batch), np.int64) for _ in range(5))
             bits = np.zeros((len(batch), len(BITS)), np.int64)
-            posted, groups, sizes = [], [], []
+            posted, groups, sizes, met = [], [], [], set()
             known = batch.column("doc_id").is_valid().to_pylist()
             for i, j in A.slices(at):
                 hashes, bounds = A.words(data[at[i] : at[j]], at[i : j + 1] - at[i])
@@ -100,19 +102,20 @@ def signatures(docs: DataFrame, k: int, n_buckets: int, percent: int) -> DataFra
                     # with fewer low tokens than a prefix, a class is a group of its own
                     alone = h1[row : row + 1].astype(A.U) if len(low) < prefix(len(s), percent) else np.zeros(1, A.U)
                     gk[row] = A.mix(alone + A.mix(low + A.U(7)).sum(dtype=A.U) + A.U(len(s)))[0].astype(np.int64)
-                    if known[row]:
+                    if known[row] and (group := int(gk[row])) not in met:  # copies post once a batch
+                        met.add(group)
                         posted.append(low)
-                        groups.append(int(gk[row]))
+                        groups.append(group)
                         sizes.append(len(s))
             m = len(batch)
             none = pa.nulls(m, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, n_low, h1, h2, gk, *np.ascontiguousarray(bits.T))), pa.nulls(m, pa.int32()), none, none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *map(pa.array, (n, n_low, h1, h2, gk, *np.ascontiguousarray(bits.T))), pa.nulls(m, pa.int32()), none, none, none], names)
             if (b := _blobs(posted, groups, sizes, n_buckets)) is not None:
                 z = pa.nulls(len(b), pa.int64())
-                yield pa.RecordBatch.from_arrays([z] * (6 + len(BITS)) + b.columns, names)
+                yield pa.RecordBatch.from_arrays([z] * (7 + len(BITS)) + b.columns, names)
 
-    names = ["doc_id", "n", "low", "h1", "h2", "gk", *BITS, "bucket", "tokens", "who", "groups"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, f"doc_id long, n long, low long, h1 long, h2 long, gk long, {', '.join(f'{p} long' for p in BITS)}, {_POSTINGS}")
+    names = ["doc_id", "key", "n", "low", "h1", "h2", "gk", *BITS, "bucket", "tokens", "who", "groups"]
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(cut, f"doc_id long, key long, n long, low long, h1 long, h2 long, gk long, {', '.join(f'{p} long' for p in BITS)}, {_POSTINGS}")
 
 
 def _lists(rows: pa.Table | pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,15 +208,19 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cid, z): compressed texts of some documents; rows of one id stand for themselves by their first text."""
+    """(cid, z): the compressed texts of some classes (cid, first, key)."""
 
     @F.pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
         c = zstandard.ZstdCompressor(1)
         return texts.map(lambda t: c.compress((t or "").encode()))
 
-    packed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("cid"), pack("text").alias("z"))
-    return packed.join(ids, "cid").groupBy("cid").agg(F.min("z").alias("z"))
+    keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("first"), F.xxhash64("text").alias("key"), "text")
+    if ids.limit(MAX_SENT + 1).count() <= MAX_SENT:  # 24 bytes a row: sent to the texts, which then stay where they are
+        keyed = keyed.join(F.broadcast(ids), ["first", "key"]).select("cid", pack("text").alias("z"))
+    else:
+        keyed = keyed.select("first", "key", pack("text").alias("z")).join(ids, ["first", "key"]).select("cid", "z")
+    return keyed.dropDuplicates(["cid"])
 
 
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -235,17 +242,51 @@ def _open(lists: DataFrame, classes: DataFrame, short: DataFrame, ids: DataFrame
 
 
 def _partners(entry: DataFrame, percent: int, seed: int | None) -> DataFrame:
-    """Pairs of a list that lie in different components and may be alike: all, or those that fall in one of m / 2 random bins of the list."""
+    """Pairs of a list that lie in different components and may be alike: all, or those that fall in one of m / 2 random bins of the list.
+
+    All pairs of a long list are looked at by blocks of ``LIST_BLOCK`` entries against each other, a task's share at
+    a time; only pairs that sizes, places and bitmaps leave possible come out."""
     other = [F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("part").alias("p2"), *(F.col(p).alias(f"o{p}") for p in BITS)]
+    near = f"part < p2 and {_alike('*', '*2', percent)} and {_bits_alike(percent)}"
     if seed is None:
-        parts = entry.groupBy("token", "part").agg(F.min("n").alias("n"), F.max("r").alias("r"))
-        others = parts.select("token", F.col("part").alias("p2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
-        apart = parts.join(others, "token").where(f"part < p2 and {_alike('*', '*2', percent)}").select("token", "part", "p2")
-        pairs = entry.join(apart, ["token", "part"]).join(entry.select("token", *other), ["token", "p2"])
+        blocks = F.expr(f"cast((m + {LIST_BLOCK - 1}) div {LIST_BLOCK} as int)")
+        dealt = entry.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(cid, token), blocks) as int)"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        left = dealt.select("*", every.alias("x")).withColumn("y", F.col("own")).drop("own", "blocks", "m")
+        right = dealt.select("token", F.col("own").alias("x"), every.alias("y"), *other)
+        pairs = left.join(right, ["token", "x", "y"]).where(near)
     else:
         dealt = entry.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "token", "cid"), F.greatest(F.expr("m div 2"), F.lit(1))))
-        pairs = dealt.join(dealt.select("token", "bin", *other), ["token", "bin"]).where("part < p2")
-    return _ordered(pairs.where(_alike("*", "*2", percent)).where(_bits_alike(percent)), "cid", "c2")
+        pairs = dealt.join(dealt.select("token", "bin", *other), ["token", "bin"]).where(near)
+    return _ordered(pairs, "cid", "c2")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """The distinct sets, each with its first document and text, and an id: that document's, or a hash where it has several sets."""
+    every = rows.where("n > 0 and doc_id is not null").groupBy("n", "low", "h1", "h2", "gk").agg(F.min(F.struct("doc_id", "key")).alias("m"), *(F.max(p).alias(p) for p in BITS))
+    every = every.select("*", F.col("m.doc_id").alias("first"), F.col("m.key").alias("key")).drop("m")
+    nth = F.row_number().over(Window.partitionBy("first").orderBy("n", "h1", "h2"))
+    return every.withColumn("nth", nth).withColumn("cid", F.when(F.col("nth") == 1, F.col("first")).otherwise(F.xxhash64("first", "n", "h1", "h2"))).drop("nth")
+
+
+def _same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of an id whose rows have different texts."""
+    some = rows.where("n > 0 and doc_id is not null")
+    ids = some.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("doc_id")
+    own = some.join(ids, "doc_id", "left_semi").join(classes.select("n", "h1", "h2", "cid"), ["n", "h1", "h2"]).select("doc_id", "cid")
+    least = own.groupBy("doc_id").agg(F.min("cid").alias("least"))
+    return _ordered(own.join(least, "doc_id"), "cid", "least")
+
+
+def _named(classes: DataFrame, part: DataFrame) -> DataFrame:
+    """``part`` (cid, part) named by the smallest document; a class id that is a hash may be the smallest of a component."""
+    hashed = classes.where("cid != first").select("cid")
+    odd = part.join(hashed.withColumnRenamed("cid", "part"), "part", "left_semi")
+    if hashed.isEmpty() or odd.isEmpty():
+        return part
+    least = odd.join(classes.select("cid", "first"), "cid").groupBy("part").agg(F.min("first").alias("least"))
+    whole = part.union(odd.select(F.col("part").alias("cid"), "part").distinct())
+    return whole.join(least, "part", "left").select("cid", F.coalesce("least", "part").alias("part"))
 
 
 def _parts(stars: DataFrame) -> DataFrame:
@@ -257,9 +298,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     spark = docs.sparkSession
     n_buckets = partitions(spark, text_bytes(docs))
     every = staged(signatures(docs, k, n_buckets, percent), "signatures")
-    rows = every.where("bucket is null").select("doc_id", "n", "low", "h1", "h2", "gk", *BITS)
+    rows = every.where("bucket is null").select("doc_id", "key", "n", "low", "h1", "h2", "gk", *BITS)
     postings = every.where("bucket is not null").select("bucket", "tokens", "who", "groups")
-    classes = staged(rows.where("n > 0 and doc_id is not null").groupBy("n", "low", "h1", "h2", "gk").agg(F.min("doc_id").alias("cid"), *(F.max(p).alias(p) for p in BITS)), "classes")
+    classes = staged(_classes(rows), "classes")
     found = staged(shared(postings, n_buckets, HEAVY), "lists")
     heavy = found.where("token is null").groupBy(F.col("g").alias("gk")).agg(F.sum("s").alias("heavy"))
     groups = classes.groupBy("gk").agg(F.min("cid").alias("rep"), F.max("n").alias("n"), F.max("low").alias("low"), F.count("*").alias("members"))
@@ -270,8 +311,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     # a group is short if its rare low tokens are fewer than its prefix
     short = groups.where(F.expr(f"rare < n - ({percent} * n + 99) div 100 + 1")).select("gk")
     some = lists.select("gk").union(short).union(groups.where("members > 1").select("gk")).distinct()
-    ids = classes.join(some, "gk").select("cid").distinct()
+    ids = staged(classes.join(some, "gk").select("cid", "first", "key"), "class-ids")
     texts = staged(_packed(docs, ids), "texts")
+    ids = ids.select("cid")
     own = shared(short_postings(texts, classes.join(short, "gk").select("cid"), k, n_buckets), n_buckets, None)
     own = _prefixes(own.select("token", F.col("g").alias("cid"), F.col("s").cast("long").alias("n"), "c"), "cid", "n", percent)
     own = own.select(F.xxhash64("token").alias("token"), F.lit(None).cast("long").alias("gk"), "cid", "n", "r")
@@ -283,7 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     within = classes.join(groups.where("members > 1").select("gk", F.col("cid").alias("x")), "gk").select("x", F.col("cid").alias("y"))
     first = staged(_ordered(across.unionByName(within), "x", "y"), "pairs")
     links = staged(verified(first, texts, k, percent), "links")
-    stars, tried = components(links), first
+    stars, tried = components(links.unionByName(_same_document(rows, classes))), first
     for seed in (1, None):  # a few partners of each text in each list, then all that are still apart
         entry = _open(lists, classes, short, ids, _parts(stars))
         second = _partners(entry, percent, seed).join(tried, ["a", "b"], "left_anti")
@@ -291,10 +333,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
         new = staged(verified(second, texts, k, percent), "links")
         stars = components(stars.unionByName(new))
         links, tried = links.unionByName(new), tried.unionByName(second)
-    part = _parts(stars)
-    named = classes.join(part, "cid", "left").select("n", "h1", "h2", "cid", F.coalesce("part", "cid").alias("part"))
+    part = _named(classes, _parts(stars))
+    named = classes.join(part, "cid", "left").select("n", "h1", "h2", "first", F.coalesce("part", "cid").alias("part"))
     out = rows.join(named, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", "n", F.coalesce("cid", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id")), links
+    return out.select("doc_id", "n", F.coalesce("first", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id")), links
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

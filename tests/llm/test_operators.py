@@ -5,10 +5,11 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontaminate, line_dedup, mixing, multi_index, ngram_join, secrets, suffix_dedup, toxicity, url_filter
+from siftline.llm import _arrays, chat, decontaminate, line_dedup, mixing, multi_index, ngram_join, secrets, suffix_dedup, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, th string"
 SF = "/root/testdata/sf0.001"
@@ -121,6 +122,36 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.dedup_spans(frame(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_across_batches(spark):
+    rng = random.Random(14)
+    passages = [words(rng.randint(8, 60), 800 + i) for i in range(40)]
+    texts = []
+    for i in rng.sample(range(1000), 400):
+        parts = [rng.choice([words(rng.randint(1, 40), 2000 + i), *rng.sample(passages, 3)]) for _ in range(rng.randint(1, 5))]
+        t = rng.choice(["", "é", "x "]) + rng.choice([" ", "", "\n"]).join(parts)
+        cut = rng.randrange(len(t))
+        texts.append((i, rng.choice([t, t[:cut] + "q" + t[cut:], passages[0], "ab" * rng.randint(20, 60)])))
+    out = suffix_dedup.dedup_spans(frame(spark, texts).repartition(9).withColumnRenamed("lang", "n_spans"))
+    assert out.columns.count("n_spans") == 1
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == brute_spans(texts)
+
+
+def test_longest_previous_factor():
+    rng = np.random.default_rng(6)
+    data = np.concatenate([rng.integers(97, 99, 400), np.full(200, 97), rng.integers(97, 99, 400)]).astype(np.uint8)
+    data = np.concatenate([data, data[100:300], data[500:700]])
+    at = np.arange(len(data) - 49)
+    order, new = suffix_dedup.suffix_order(data, at)
+    raw = [data[i : i + 50].tobytes() for i in at]
+    assert [raw[i] for i in order] == sorted(raw)
+    assert new.tolist() == [i == 0 or raw[order[i]] != raw[order[i - 1]] for i in range(len(at))]
+    doc = rng.integers(0, 5, len(at))
+    least = {}
+    for x, d in zip(raw, doc, strict=True):
+        least[x] = min(d, least.get(x, 9))
+    assert suffix_dedup.has_earlier(data, at, doc).tolist() == [least[x] < d for x, d in zip(raw, doc, strict=True)]
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts:
@@ -170,6 +201,24 @@ def test_ngram_join(spark):
     assert {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 7, 8, 10}
 
 
+def test_long_words_differ():
+    thue = "".join("ab"[n.bit_count() % 2] for n in range(1024))
+    pairs = [(thue, thue.translate(str.maketrans("ab", "ba"))), ("a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096), ("abcdefgh" + "12345678", "12345678" + "abcdefgh"), ("a", "a\0"), ("\0" * 8, "\0" * 9)]
+    for pair in pairs:
+        hashes, at = _arrays.words(*_arrays.flat(pa.array(pair)))
+        assert at.tolist() == [0, 1, 2] and hashes[0] != hashes[1]
+    same, _ = _arrays.words(*_arrays.flat(pa.array(["Hello wORLD-and-more", "hello WORLD-AND-MORE"])))
+    assert same[:2].tolist() == same[2:].tolist()
+
+
+def test_ngram_join_of_one_id_with_two_texts(spark):
+    a, b, c = words(80, 20), words(70, 21), words(60, 22)
+    near = lambda t: t.replace(t.split()[40], "changed", 1)
+    texts = [(1, a), (1, b), (2, near(a)), (3, near(b)), (7, c), (9, near(c)), (9, near(words(75, 23))), (4, words(75, 23)), (5, words(50, 24)), (5, words(50, 25))]
+    got, _ = ngram_join.near_duplicates(frame(spark, texts), 4, 85)
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (7, 4), (9, 4), (4, 4), (5, 5)}
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
     ("https://WWW.Example.com/en/1?x", "www.example.com", "/en/1", "www.example.com/en/", "allow"), ("http://a.example.com/en/", "a.example.com", "/en/", "example.com/en/", "block"),
     ("http://x.com", "x.com", "", None, None), ("http://x.com/EN", "x.com", "/EN", "com/", "allow"), ("ftp://b.net/fr/9#t", "b.net", "/fr/9", "net/fr/", "block"),

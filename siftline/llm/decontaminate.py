@@ -13,8 +13,9 @@ any few more has to stand there. The item's rarest words that many (``Item.ancho
 around them, and those whose surroundings hold enough of the item's words are checked as well.
 
 Defined cases: null and empty texts are clean; an item without words matches nothing; ASCII letter case
-and spacing don't count; repeated rows get the same result; without items all texts are clean. The
-benchmark is the query set: its terms (at most ``MAX_TERMS``, a checked bound) and items go to all tasks.
+and spacing don't count; repeated rows get the same result; without items all texts are clean; a column of
+``docs`` that has the name of a result is replaced by it. The benchmark is the query set: its items go to all
+tasks, in blocks of ``BLOCK_BYTES`` of text (an item that is longer is a block), each of which goes over all texts.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ MIN_SHARED = 0.5
 MIN_LCS = 0.8
 MIN_LCS_ANSWER = 0.6
 MIN_ANSWER = 0.9
-MAX_TERMS = 1 << 18
-MAX_ITEMS = 1 << 16
+BLOCK_BYTES = 4 << 20
+CACHED = 256  # passages multiplied at a time
 _FILTER = 1 << 20
 
 
@@ -139,6 +140,8 @@ def _times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     n, r = basis.shape
     block = 512
 
+    small = basis.astype(np.float32)
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, some = np.zeros((n, r)), False
         for batch in batches:
@@ -146,12 +149,16 @@ def _times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
                 place, term = np.frombuffer(p.as_buffer(), np.int32).astype(np.int64), np.frombuffer(t.as_buffer(), np.int32).astype(np.int64)
                 if not len(place):
                     continue
-                row, col, weight = _passages(place, term, idf)
-                y = np.add.reduceat(basis[col] * weight[:, None], np.flatnonzero(np.diff(row, prepend=-1)))
-                order = np.argsort(col, kind="stable")
-                col, part = col[order], y[row[order]] * weight[order, None]
-                start = np.flatnonzero(np.diff(col, prepend=-1))
-                out[col[start]] += np.add.reduceat(part, start)
+                rows_, cols, weights = _passages(place, term, idf)
+                weights = weights.astype(np.float32)[:, None]
+                cuts = np.searchsorted(rows_, np.arange(0, rows_[-1] + 1, CACHED))
+                for a, b in zip(cuts, np.append(cuts[1:], len(rows_)), strict=True):
+                    row, col, weight = rows_[a:b] - rows_[a], cols[a:b], weights[a:b]
+                    y = np.add.reduceat(small[col] * weight, np.flatnonzero(np.diff(row, prepend=-1)))
+                    order = np.argsort(col, kind="stable")
+                    col, part = col[order], y[row[order]] * weight[order]
+                    start = np.flatnonzero(np.diff(col, prepend=-1))
+                    out[col[start]] += np.add.reduceat(part, start)
                 some = True
         if some:
             cuts = range(0, n, block)
@@ -238,13 +245,16 @@ class Searcher:
         self.items = [Item(w) for _, w in items]
         cut = [(k, piece) for k, (_, w) in enumerate(items) for piece in pieces(w)]
         self.item_of = np.array([k for k, _ in cut], np.int64)
-        self.has = np.zeros((len(cut), len(idf)), bool)
-        for k, (_, w) in enumerate(cut):
-            own = number[terms.find(w)[1]]
-            self.has[k, own[own >= 0]] = True
-        q = self._unit((self.has * idf) @ basis)
-        self.queries = q.astype(np.float32)
-        self.least = MIN_SHARED * self.has.sum(1)
+        held = [np.unique(own[own >= 0]) for own in (number[terms.find(w)[1]] for _, w in cut)]
+        sizes = np.array([len(x) for x in held], np.int64)
+        piece, term = np.repeat(np.arange(len(cut)), sizes), np.concatenate(held)
+        self.held = piece * len(idf) + term
+        self.maybe = np.zeros(_FILTER, bool)
+        self.maybe[self._slot(self.held)] = True
+        q = np.zeros((len(cut), basis.shape[1]))
+        np.add.at(q, piece, basis[term] * idf[term, None])
+        self.queries = self._unit(q).astype(np.float32)
+        self.least = MIN_SHARED * sizes
         every = [terms.find(w)[1] for _, w in items]
         own = [np.unique(w, return_counts=True) for w in every]
         self.n_own = np.array([len(w) for w, _ in own], np.int64)
@@ -253,6 +263,10 @@ class Searcher:
         links = np.unique([(w[i], k) for k, w in enumerate(every) for i in self.items[k].anchors(df[w].tolist())], axis=0)
         self.anchored, self.n_anchored = links[:, 1], np.bincount(links[:, 0], minlength=len(df))
 
+    @staticmethod
+    def _slot(held: np.ndarray) -> np.ndarray:
+        return (held * 0x2545F491 >> 12) & (_FILTER - 1)
+
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -326,7 +340,10 @@ class Searcher:
             return none
         lengths = size[rows]
         inside = np.repeat(start[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        shared = np.add.reduceat(self.has[np.repeat(cuts, lengths), col[inside]].astype(np.int64), np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+        wanted = np.repeat(cuts, lengths) * n + col[inside]
+        hit = np.flatnonzero(self.maybe[self._slot(wanted)])
+        at = np.minimum(np.searchsorted(self.held, wanted[hit]), len(self.held) - 1)
+        shared = np.bincount(np.repeat(np.arange(len(rows)), lengths)[hit[self.held[at] == wanted[hit]]], minlength=len(rows))
         ok = shared >= self.least[cuts]
         return np.stack([passage[rows[ok]], self.item_of[cuts[ok]]], 1)
 
@@ -349,18 +366,21 @@ class Searcher:
         return out
 
 
+def blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The items by blocks of about ``BLOCK_BYTES`` of text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [items]
+
+
 def searcher(docs: DataFrame, benchmark: DataFrame) -> Searcher | None:
-    rows = benchmark.select("item_id", "text").where("text is not null and item_id is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"over {MAX_ITEMS} items: search them in blocks")
+    rows = benchmark.collect()  # a block of items
     rows.sort(key=lambda r: (r.item_id, r.text))
     hashes, at = A.words(*A.flat(pa.array([r.text for r in rows], pa.string())))
     items = [(r.item_id, hashes[a:b]) for r, a, b in zip(rows, at[:-1], at[1:], strict=True) if b > a]
     if not items:
         return None
     terms = Terms(np.unique(hashes))
-    if len(terms.hashes) > MAX_TERMS:
-        raise ValueError(f"over {MAX_TERMS} terms: search the items in blocks")
     df, total = frequencies(docs, terms)
     keep = df <= max(1, STOP_SHARE * total)
     for _, words in items:
@@ -393,14 +413,26 @@ def _found(docs: DataFrame, search: Searcher | None, names: list[str]) -> DataFr
     return out.select(*docs.columns, F.col(hit)["items"].alias(names[0]), F.col(hit)["best"].alias(names[1]))
 
 
+def _leaks(docs: DataFrame, benchmark: DataFrame, names: list[str]) -> DataFrame:
+    parts = blocks(benchmark)
+    out = _found(docs, searcher(docs, parts[0]), names)
+    for part in parts[1:]:
+        more = fresh(out, "more_items", "more_share")
+        out = _found(staged(out, "leaks"), searcher(docs, part), more)
+        items, best = F.array_sort(F.array_union(names[0], more[0])), F.greatest(names[1], more[1])
+        out = out.withColumns({names[0]: items, names[1]: best}).drop(*more)
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the ids of the items that each text leaks and the largest share of an item found."""
-    return _found(docs, searcher(docs, benchmark), ["leaked_items", "best_share"])
+    names = ["leaked_items", "best_share"]
+    return _leaks(docs.drop(*names), benchmark, names)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items, best = fresh(docs, "leaked_items", "best_share")
-    found = _found(docs, searcher(docs, benchmark), [items, best])
+    found = _leaks(docs, benchmark, [items, best])
     return found.where(F.size(items) == 0).drop(items, best)
 
 

@@ -1,23 +1,41 @@
-"""The inverted index: postings, lengths and corpus statistics, in memory or as generations of Parquet."""
+"""The inverted index: chunks with their terms, postings, and segments of both in a folder.
+
+Text is cut into terms once, when a chunk is written; postings and statistics come from the terms. A folder holds
+segments (a table of chunks, one of postings by buckets of terms) and manifests, small JSON files of which the
+latest one counts: it names the segments, the files of them that are gone, and the totals that scores need.
+"""
 
 from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import tokenize as tk
 
-BUCKETS = 64
+BUCKET_ROWS = 1 << 20  # postings of a bucket
+MAX_BUCKETS = 4096
+CHUNKS = "chunk_id string, filepath string, start_line int, end_line int, raw_snippet string, dl int, path_terms array<string>, body_terms array<string>"
+POSTINGS = "term string, chunk_id string, col int, positions array<int>, dl int, bucket int"
+FILES = "filepath string, mtime double, file_hash string"
+DEAD = "segment string, filepath string"
+SHOWN = ["chunk_id", "filepath", "start_line", "end_line", "raw_snippet"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a single small file is else cut up by one of them."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def with_terms(chunks: DataFrame) -> DataFrame:
     """Chunks with the terms of either column; a path's tokens stand in the body as well."""
     body = F.concat(tk.tokens(F.col("filepath")), tk.tokens(F.col("raw_snippet")))
-    return chunks.withColumns({"path_terms": tk.path_terms(F.col("filepath")), "body_terms": tk.body_terms(body)})
+    return spread(chunks).withColumns({"path_terms": tk.path_terms(F.col("filepath")), "body_terms": tk.body_terms(body)})
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
@@ -25,57 +43,176 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", F.concat_ws("#", "filepath", F.lpad(F.col("start_line").cast("string"), 9, "0")))
 
 
+def lengths(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("dl", F.size("path_terms") + F.size("body_terms"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, col, positions); col 0 is the path and 1 the body."""
-    part = chunks.select("chunk_id", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("path_terms").alias("t")), F.struct(F.lit(1).alias("col"), F.col("body_terms").alias("t")))).alias("x"))
-    each = part.select("chunk_id", "x.col", F.posexplode("x.t").alias("pos", "term"))
-    return each.groupBy("term", "chunk_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, chunk_id, col, dl, positions); col 0 is the path and 1 the body. A chunk's positions of a term meet before the shuffle."""
+    chunks = chunks if "dl" in chunks.columns else lengths(chunks)
+    part = chunks.select("chunk_id", "dl", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("path_terms").alias("t")), F.struct(F.lit(1).alias("col"), F.col("body_terms").alias("t")))).alias("x"))
+    each = part.select("chunk_id", "dl", "x.col", F.posexplode("x.t").alias("pos", "term"))
+    return each.groupBy("term", "chunk_id", "col", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def bucket_of(term: str, n: int) -> int:
+    return zlib.crc32(term.encode()) % n
 
 
 @dataclass
 class Index:
-    """Tables of an index: ``chunks`` (what to show), ``postings``, ``lengths``; and its statistics."""
+    """What a search reads: ``chunks`` to show, ``postings``, and the totals; ``buckets`` by segment for stored postings."""
 
     chunks: DataFrame
     postings: DataFrame
-    lengths: DataFrame
     n_chunks: int
     avg_length: float
+    buckets: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, chunks: DataFrame) -> Index:
-        terms = with_terms(with_ids(chunks))
-        lengths = terms.select("chunk_id", (F.size("path_terms") + F.size("body_terms")).alias("dl"))
-        stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
-        return cls(terms.select("chunk_id", "filepath", "start_line", "end_line", "raw_snippet"), postings(terms), lengths, stats.n, stats.avg or 0.0)
-
-    def write(self, folder: str, state: dict | None = None) -> str:
-        """A new generation: the tables first, then the manifest that names it."""
-        spark, name = self.chunks.sparkSession, f"gen-{time.time_ns()}"
-        at = f"{folder}/{name}"
-        self.chunks.write.parquet(f"{at}/chunks")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-        dealt = self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term")
-        dealt.write.partitionBy("bucket").parquet(f"{at}/postings")
-        self.lengths.write.parquet(f"{at}/lengths")
-        manifest = {"generation": name, "n_chunks": self.n_chunks, "avg_length": self.avg_length, "state": state or {}}
-        spark.createDataFrame([(json.dumps(manifest), time.time_ns())], "manifest string, at long").write.mode("append").parquet(f"{folder}/manifest")
-        return name
+        """An index that isn't stored: the chunks' terms are found again by each query."""
+        terms = lengths(with_terms(with_ids(chunks)))
+        stats = terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
+        return cls(terms.select(*SHOWN), postings(terms), stats.n, stats.avg or 0.0)
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str) -> Index:
-        m = manifest(spark, folder)
-        at = f"{folder}/{m['generation']}"
-        return cls(*(spark.read.parquet(f"{at}/{t}") for t in ("chunks", "postings", "lengths")), m["n_chunks"], m["avg_length"])
+    def open(cls, spark: SparkSession, folder: str, at: Manifest | None = None) -> Index:
+        at = at or Manifest.latest(spark, folder)
+        parts = list(at.segments)
+        chunks, posted = (None if not parts else segment_rows(spark, folder, at, kind) for kind in ("chunks", "postings"))
+        if chunks is None:
+            chunks, posted = (spark.createDataFrame([], f"{s}, segment string") for s in (CHUNKS, POSTINGS))
+        return cls(chunks.select(*SHOWN), posted, at.n_chunks, at.total_length / at.n_chunks if at.n_chunks else 0.0, {s: x["buckets"] for s, x in at.segments.items()})
 
     def terms(self, wanted: list[str]) -> DataFrame:
         """The postings of some terms; a stored index reads their buckets only."""
         out = self.postings.where(F.col("term").isin(wanted))
-        if "bucket" in self.postings.columns:
-            some = out.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, wanted))).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b")).distinct()
-            out = out.where(F.col("bucket").isin([r.b for r in some.collect()]))
+        if self.buckets:
+            own = [(F.col("segment") == s) & F.col("bucket").isin(sorted({bucket_of(t, n) for t in wanted})) for s, n in self.buckets.items()]
+            any_ = own[0]
+            for x in own[1:]:
+                any_ = any_ | x
+            out = out.where(any_)
         return out
 
+    def write(self, folder: str, state: dict | None = None) -> str:
+        """A folder's first or next generation, with these chunks and no others."""
+        return replace(self.chunks, folder, state)
+
+
+# Files of a folder, in any file system that Spark writes to --------------------------------------------------
+
 
-def manifest(spark: SparkSession, folder: str) -> dict:
-    return json.loads(spark.read.parquet(f"{folder}/manifest").orderBy(F.desc("at")).first().manifest)
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _path(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+@dataclass
+class Manifest:
+    generation: int = 0
+    segments: dict[str, dict] = field(default_factory=dict)  # name: {"buckets"}
+    dead: str | None = None  # the table of files that are gone from a segment
+    files: str | None = None  # the table of file metadata
+    n_chunks: int = 0
+    total_length: int = 0
+    state: dict = field(default_factory=dict)
+
+    @classmethod
+    def latest(cls, spark: SparkSession, folder: str) -> Manifest:
+        found = [x for x in names(spark, folder) if x.startswith("manifest-")]
+        if not found:
+            raise FileNotFoundError(f"no index in {folder}")
+        return cls.read(spark, f"{folder}/{found[-1]}")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Manifest:
+        fs, p = _path(spark, path)
+        stream = fs.open(p)
+        try:
+            return cls(**json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+
+    def publish(self, spark: SparkSession, folder: str) -> None:
+        """Written whole under another name, then renamed; a writer that comes second fails. Older tables than the last generation's go."""
+        self.generation += 1
+        fs, draft = _path(spark, f"{folder}/draft-{time.time_ns()}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(self.__dict__).encode()))
+        out.close()
+        if not fs.rename(draft, _path(spark, f"{folder}/manifest-{self.generation:012d}.json")[1]):
+            fs.delete(draft, True)
+            raise RuntimeError(f"another writer has published generation {self.generation} of {folder}")
+        every = names(spark, folder)
+        kept = [x for x in every if x.startswith("manifest-")][-2:]
+        used = {t for m in (Manifest.read(spark, f"{folder}/{x}") for x in kept) for t in [*m.segments, m.dead, m.files] if t}
+        for name in every:
+            if name not in kept and name not in used and name.split("-")[0] in ("manifest", "segment", "dead", "files"):
+                remove(spark, f"{folder}/{name}")
+
+
+def has_index(spark: SparkSession, folder: str) -> bool:
+    return any(x.startswith("manifest-") for x in names(spark, folder))
+
+
+def segment_rows(spark: SparkSession, folder: str, at: Manifest, kind: str) -> DataFrame:
+    """The chunks or postings of all segments, without files that are gone."""
+    schema = {"chunks": CHUNKS, "postings": POSTINGS}[kind]
+    out = None
+    for s in at.segments:
+        one = spark.read.schema(schema).parquet(f"{folder}/{s}/{kind}").withColumn("segment", F.lit(s))
+        out = one if out is None else out.unionByName(one)
+    if at.dead:
+        gone = spark.read.schema(DEAD).parquet(f"{folder}/{at.dead}")
+        if kind == "postings":
+            out = out.withColumn("filepath", F.regexp_replace("chunk_id", "#[0-9]{9,}$", "")).join(gone, ["segment", "filepath"], "left_anti").drop("filepath")
+        else:
+            out = out.join(gone, ["segment", "filepath"], "left_anti")
+    return out
+
+
+def write_segment(chunks: DataFrame, folder: str) -> tuple[str, dict, int, int]:
+    """A new segment of chunks, which get terms if they have none: its name, what the manifest says of it, chunks and total length."""
+    spark, name = chunks.sparkSession, f"segment-{time.time_ns()}"
+    cut = chunks if "body_terms" in chunks.columns else lengths(with_terms(with_ids(chunks)))
+    cut.select(*(f.split(" ")[0] for f in CHUNKS.split(", "))).write.parquet(f"{folder}/{name}/chunks")
+    stored = spark.read.schema(CHUNKS).parquet(f"{folder}/{name}/chunks")
+    n, total, bodies = stored.agg(F.count("*"), F.sum("dl"), F.sum(F.size("body_terms"))).first()
+    buckets = min(MAX_BUCKETS, max(8, (bodies or 0) // BUCKET_ROWS))
+    salts = 1 + (bodies or 0) // buckets // (4 * BUCKET_ROWS)  # files of a bucket: more where few buckets hold very much
+    bucket = F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")
+    dealt = postings(spread(stored)).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/postings")
+    return name, {"buckets": buckets}, n, total or 0
+
+
+def replace(chunks: DataFrame, folder: str, state: dict | None = None, files: DataFrame | None = None) -> str:
+    """Publish a generation that has these chunks only."""
+    spark = chunks.sparkSession
+    at = Manifest.latest(spark, folder) if has_index(spark, folder) else Manifest()
+    name, about, n, total = write_segment(chunks, folder)
+    Manifest(at.generation, {name: about}, None, write_table(files, folder, "files") if files is not None else None, n, total, state or {}).publish(spark, folder)
+    return name
+
+
+def write_table(df: DataFrame, folder: str, kind: str) -> str:
+    name = f"{kind}-{time.time_ns()}"
+    df.write.parquet(f"{folder}/{name}")
+    return name

@@ -15,15 +15,17 @@ from .index import Index
 
 
 def occurrences(index: Index, phrases: list[tuple[str, ...]]) -> DataFrame:
-    """(pid, chunk_id, tf): weighted counts of each phrase; neighbouring positions make a phrase."""
+    """(pid, chunk_id, col, dl, times): how often each phrase stands there; neighbouring positions make a phrase."""
     spark = index.postings.sparkSession
     rows = [(pid, i, t, len(p)) for pid, p in enumerate(phrases) for i, t in enumerate(p)]
     wanted = F.broadcast(spark.createDataFrame(rows, "pid int, i int, term string, n int"))  # the queries' own terms
     found = index.terms(sorted({r[2] for r in rows})).join(wanted, "term")
-    single = found.where("n = 1").select("pid", "chunk_id", "col", F.size("positions").cast("long").alias("times"))
-    starts = found.where("n > 1").select("pid", "chunk_id", "col", "n", F.explode("positions").alias("pos"), "i")
-    whole = starts.groupBy("pid", "chunk_id", "col", "n", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("k")).where("k = n")
-    return single.unionByName(whole.groupBy("pid", "chunk_id", "col").agg(F.count("*").alias("times")))
+    single = found.where("n = 1").select("pid", "chunk_id", "col", "dl", F.size("positions").cast("long").alias("times"))
+    if all(len(p) == 1 for p in phrases):
+        return single
+    starts = found.where("n > 1").select("pid", "chunk_id", "col", "dl", "n", F.explode("positions").alias("pos"), "i")
+    whole = starts.groupBy("pid", "chunk_id", "col", "dl", "n", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("k")).where("k = n")
+    return single.unionByName(whole.groupBy("pid", "chunk_id", "col", "dl").agg(F.count("*").alias("times")))
 
 
 def scores(index: Index, queries: dict[int, str], mode: str = "OR", settings: Settings = DEFAULT) -> DataFrame:
@@ -38,12 +40,12 @@ def scores(index: Index, queries: dict[int, str], mode: str = "OR", settings: Se
     if not use or not index.n_chunks:
         return spark.createDataFrame([], schema)
     weight = F.when(F.col("col") == 0, F.lit(settings.path_weight)).otherwise(F.lit(settings.body_weight))
-    tf = occurrences(index, list(numbers)).groupBy("pid", "chunk_id").agg(F.sum(weight * F.col("times")).alias("tf"))
+    tf = occurrences(index, list(numbers)).groupBy("pid", "chunk_id", "dl").agg(F.sum(weight * F.col("times")).alias("tf"))
     df = tf.groupBy("pid").agg(F.count("*").alias("df"))
     n = float(index.n_chunks)
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.select("pid", F.when(idf <= 0, F.lit(settings.min_idf)).otherwise(idf).alias("idf"))
-    part = tf.join(F.broadcast(idf), "pid").join(index.lengths, "chunk_id")
+    part = tf.join(F.broadcast(idf), "pid")  # a row for each phrase
     norm = settings.k1 * (1 - settings.b + settings.b * F.col("dl") / index.avg_length)
     part = part.withColumn("part", F.col("idf") * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + norm))
     by = F.broadcast(spark.createDataFrame(use, "q int, pid int, times int, wanted int"))  # the queries' own phrases
@@ -55,7 +57,7 @@ def top(index: Index, scored: DataFrame, k: int) -> DataFrame:
     """The best ``k`` chunks of each query, with what to show; equal scores go by chunk."""
     order = Window.partitionBy("q").orderBy(F.round("score", 9), "chunk_id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return index.chunks.join(best, "chunk_id")
+    return index.chunks.join(F.broadcast(best), "chunk_id")  # at most k rows a query
 
 
 def search(index: Index, queries: dict[int, str], top_k: int = 5, mode: str = "OR", diversify: bool = True, settings: Settings = DEFAULT) -> DataFrame:

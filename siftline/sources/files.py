@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import subprocess
 from pathlib import Path
 
@@ -57,19 +59,45 @@ def collect_files(root: str, extensions: tuple[str, ...] | None = None) -> list[
     return sorted(p for p in found if matches(p, extensions))
 
 
+def mtime(root: str, path: str) -> float | None:
+    """A file's time in whole milliseconds, as Spark has it; None if it is gone."""
+    try:
+        return (Path(root) / path).stat().st_mtime_ns // 1_000_000 / 1000
+    except OSError:
+        return None
+
+
+def _plain(path: str) -> str:
+    """A path as a pattern that only it matches."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def read_files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """(filepath, mtime, file_hash, text) of files under ``root``; all indexable ones, or those in ``paths``."""
-    base = Path(root).resolve().as_posix()
+    """(filepath, mtime, file_hash, text) of files under ``root``: all indexable ones, or those in ``paths`` that are there.
+
+    A root with a scheme (``hdfs://...``) is listed by Spark, a local one by the driver."""
+    local = "://" not in root
+    base = f"file://{Path(root).resolve().as_posix()}" if local else root.rstrip("/")
     schema = "filepath string, mtime double, file_hash string, text string"
+    empty: list[tuple] = []
+    if local:
+        paths = [p for p in walked_files(root) if matches(p)] if paths is None else [p for p in paths if (Path(root) / p).is_file()]
+        # Spark gives no rows for files without bytes
+        empty = [(p, mtime(root, p), hashlib.sha256().hexdigest(), "") for p in paths if not (Path(root) / p).stat().st_size]
+        paths = sorted({*paths} - {p for p, *_ in empty})
+    none = spark.createDataFrame(empty, schema)
     if paths is not None and not paths:
-        return spark.createDataFrame([], schema)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"file://{base}/{p}" for p in paths] if paths else f"file://{base}")
-    name = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{base}/", "")
-    out = raw.select(name.alias("filepath"), F.unix_millis("modificationTime").cast("double").alias("ms"), "content")
+        return none
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = reader.load([_plain(f"{base}/{p}") for p in paths] if paths else _plain(base))
+    # paths come as URIs; cut by length, as a root may hold any characters
+    uri = F.regexp_replace("path", "^file:/*", "file:///")
+    out = raw.select(uri.substr(F.lit(len(base) + 2), F.length("path") + 2).alias("filepath"), F.unix_millis("modificationTime").cast("double").alias("ms"), "content")
     if paths is None:
         skipped = "|".join(s.replace(".", r"\.") for s in SKIPPED)
         out = out.where(matches_extension(F.col("filepath")) & ~F.col("filepath").rlike(f"(^|/)({skipped})/"))
-    return out.select("filepath", (F.col("ms") / 1000).alias("mtime"), F.sha2("content", 256).alias("file_hash"), decoded(F.col("content")).alias("text"))
+    out = out.select("filepath", (F.col("ms") / 1000).alias("mtime"), F.sha2("content", 256).alias("file_hash"), decoded(F.col("content")).alias("text"))
+    return out.union(none) if empty else out
 
 
 def name_status(lines: DataFrame) -> DataFrame:

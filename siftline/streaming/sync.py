@@ -1,17 +1,26 @@
-"""Keeping an index in step with its files: snapshots are compared in one outer join, changed files redone."""
+"""Keeping an index in step with its files: snapshots are compared in one outer join, changed files redone.
+
+A sync compares modification times first and reads only files that are new, touched or named by git. What has
+changed becomes a new segment, the old rows are listed as gone, and the manifest that says so is published last;
+after ``MAX_SEGMENTS`` of them, or when gone chunks outnumber the others, the chunks that are left are written as one.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.config import DEFAULT, Settings
+from siftline.operators import index as ix
+from siftline.operators import rank
 from siftline.operators.chunk import chunks
-from siftline.operators.index import Index, manifest
 from siftline.sources import files as src
 
+MAX_SEGMENTS = 8
+HEAD = "last_commit_hash"
+
 
 def changes(known: DataFrame, current: DataFrame) -> DataFrame:
     """(filepath, action) between two snapshots (filepath, mtime, file_hash): added, changed, deleted, touched, unchanged."""
@@ -23,6 +32,15 @@ def changes(known: DataFrame, current: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.filepath") == F.col("b.filepath"), "full_outer").select(F.coalesce("a.filepath", "b.filepath").alias("filepath"), action.alias("action"))
 
 
+def suspects(known: DataFrame, listed: DataFrame, named: DataFrame) -> DataFrame:
+    """(filepath, action) by names and times alone: added, deleted, or to be read (``look``) as its time has moved or git names it."""
+    a, b, c = known.alias("a"), listed.alias("b"), named.select("filepath").distinct().withColumn("named", F.lit(True)).alias("c")
+    both = a.join(b, F.col("a.filepath") == F.col("b.filepath"), "full_outer").join(c, F.col("b.filepath") == F.col("c.filepath"), "left")
+    moved = (F.abs(F.col("a.mtime") - F.col("b.mtime")) > 1e-6) | F.col("named").isNotNull()
+    action = F.when(F.col("a.filepath").isNull(), "added").when(F.col("b.filepath").isNull(), "deleted").when(moved, "look")
+    return both.select(F.coalesce("a.filepath", "b.filepath").alias("filepath"), action.alias("action")).where("action is not null")
+
+
 def purged(table: DataFrame, paths: DataFrame) -> DataFrame:
     return table.join(paths.select("filepath"), "filepath", "left_anti")
 
@@ -34,57 +52,191 @@ def resynced(old: DataFrame, diff: DataFrame, current: DataFrame, settings: Sett
     return purged(old, stale).unionByName(chunks(current.join(redo, "filepath", "left_semi"), settings).select(*old.columns))
 
 
-@dataclass
 class Store:
-    """An index folder of a file tree: chunks and file metadata by generation."""
+    """An index folder of a file tree.
+
+    Reads and writes single chunks, files, their metadata and state as well; each change is a generation."""
 
-    spark: SparkSession
-    root: str
-    folder: str
-    settings: Settings = DEFAULT
+    def __init__(self, spark: SparkSession, root: str, folder: str, settings: Settings = DEFAULT, extensions: tuple[str, ...] | None = None):
+        self.spark, self.root, self.folder, self.settings, self.extensions = spark, root, folder, settings, extensions
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Nothing stays open between calls."""
+
+    # what is stored
 
     def exists(self) -> bool:
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
-        return fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs)
+        return ix.has_index(self.spark, self.folder)
+
+    def manifest(self) -> ix.Manifest:
+        return ix.Manifest.latest(self.spark, self.folder) if self.exists() else ix.Manifest()
+
+    def index(self) -> ix.Index:
+        return ix.Index.open(self.spark, self.folder)
+
+    def search(self, query: str, top_k: int = 5, mode: str = "OR", diversify: bool = True) -> DataFrame:
+        return rank.search(self.index(), {0: query}, top_k, mode, diversify, self.settings)
+
+    def chunks(self) -> DataFrame:
+        at = self.manifest()
+        return ix.segment_rows(self.spark, self.folder, at, "chunks") if at.segments else self.spark.createDataFrame([], f"{ix.CHUNKS}, segment string")
+
+    def metadata(self) -> DataFrame:
+        """(filepath, mtime, file_hash) of the files that are indexed, those without chunks too."""
+        at = self.manifest()
+        return self.spark.read.schema(ix.FILES).parquet(f"{self.folder}/{at.files}") if at.files else self.spark.createDataFrame([], ix.FILES)
+
+    def files(self) -> DataFrame:
+        return self.chunks().select("filepath").distinct()
+
+    def count_chunks(self, filepath: str | None = None) -> int:
+        return self.manifest().n_chunks if filepath is None else self.chunks().where(F.col("filepath") == filepath).count()
+
+    def get_metadata(self, filepath: str) -> tuple[float, str] | None:
+        row = self.metadata().where(F.col("filepath") == filepath).first()
+        return (row.mtime, row.file_hash) if row else None
+
+    def get_state(self, key: str) -> str | None:
+        return self.manifest().state.get(key)
+
+    def head(self) -> str | None:
+        return src.head_commit(self.root)
+
+    def tables(self) -> list[str]:
+        """The tables of the latest generation."""
+        at = self.manifest()
+        return sorted([f"{s}/{kind}" for s in at.segments for kind in ("chunks", "postings")] + [t for t in (at.dead, at.files) if t])
+
+    # changes
+
+    def set_state(self, key: str, value: str) -> None:
+        at = self.manifest()
+        at.state[key] = value
+        at.publish(self.spark, self.folder)
+
+    def upsert_metadata(self, filepath: str, mtime: float, file_hash: str) -> None:
+        one = self.spark.createDataFrame([(filepath, float(mtime), file_hash)], ix.FILES)
+        self._change(self.manifest(), None, None, metadata=one)
+
+    def insert_chunk(self, filepath: str, start_line: int, end_line: int, raw_snippet: str) -> str:
+        """One chunk more; its id. A chunk of the same file and first line is another row with the same id."""
+        one = self.spark.createDataFrame([(filepath, start_line, end_line, raw_snippet)], "filepath string, start_line int, end_line int, raw_snippet string")
+        self._change(self.manifest(), one, None)
+        return f"{filepath}#{start_line:09d}"
+
+    def delete_chunks(self, filepath: str) -> int:
+        """Removes a file's chunks but not its metadata; how many there were."""
+        n = self.count_chunks(filepath)
+        if n:
+            self._change(self.manifest(), None, self.spark.createDataFrame([(filepath,)], "filepath string"))
+        return n
+
+    def delete_file(self, filepath: str) -> int:
+        """Removes a file's chunks and metadata; how many chunks there were."""
+        n, one = self.count_chunks(filepath), self.spark.createDataFrame([(filepath,)], "filepath string")
+        self._change(self.manifest(), None, one if n else None, forget=one)
+        return n
+
+    def index_file(self, filepath: str) -> int:
+        """Indexes one file anew; how many chunks it has. A file that is missing is removed."""
+        if not (Path(self.root) / filepath).is_file():
+            self.delete_file(filepath)
+            return 0
+        now = src.read_files(self.spark, self.root, [filepath])
+        self._change(self.manifest(), chunks(now, self.settings), now.select("filepath"), metadata=now.drop("text"))
+        return self.count_chunks(filepath)
+
+    def _change(self, at: ix.Manifest, new: DataFrame | None, stale: DataFrame | None, metadata: DataFrame | None = None, forget: DataFrame | None = None, state: dict | None = None) -> None:
+        """Publish a generation: ``stale`` files' chunks gone, ``new`` ones there; metadata rows replaced or forgotten."""
+        spark, folder = self.spark, self.folder
+        after = ix.Manifest(at.generation, dict(at.segments), at.dead, at.files, at.n_chunks, at.total_length, dict(at.state) | (state or {}))
+        if stale is not None and at.segments:
+            gone = ix.segment_rows(spark, folder, at, "chunks").join(stale.select("filepath").distinct(), "filepath", "left_semi")
+            by_file = gone.groupBy("segment", "filepath").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+            n, total = by_file.agg(F.sum("n"), F.sum("total")).first()
+            if n:
+                dead = by_file.select("segment", "filepath")
+                after.dead = ix.write_table(dead.union(spark.read.schema(ix.DEAD).parquet(f"{folder}/{at.dead}")) if at.dead else dead, folder, "dead")
+                after.n_chunks, after.total_length = at.n_chunks - n, at.total_length - total
+        if new is not None:
+            name, about, n, total = ix.write_segment(new, folder)
+            if n:
+                after.segments[name] = about | {"n": n}
+                after.n_chunks, after.total_length = after.n_chunks + n, after.total_length + total
+        if metadata is not None or forget is not None:
+            known = self.metadata()
+            for rows in (metadata, forget):
+                known = purged(known, rows) if rows is not None else known
+            after.files = ix.write_table(known.unionByName(metadata.select(*known.columns)) if metadata is not None else known, folder, "files")
+        written = sum(x.get("n", 0) for x in after.segments.values())
+        if len(after.segments) > MAX_SEGMENTS or written > 2 * max(after.n_chunks, 1):
+            live = ix.segment_rows(spark, folder, after, "chunks").drop("segment")
+            name, about, n, _ = ix.write_segment(live, folder)
+            after.segments, after.dead = {name: about | {"n": n}}, None
+        after.publish(spark, folder)
+
+    def collect_files(self) -> list[str]:
+        return src.collect_files(self.root, self.extensions)
+
+    def chunk_file(self, filepath: str) -> DataFrame:
+        return chunks(src.read_files(self.spark, self.root, [filepath]), self.settings)
 
     def build(self) -> dict:
-        now = src.read_files(self.spark, self.root, src.collect_files(self.root))
-        return self._write(chunks(now, self.settings), now, {"full_build": True, "deleted": 0})
+        """A generation with all files of the tree and no others."""
+        paths, head = self.collect_files(), self.head()
+        before = self.manifest()
+        now = src.read_files(self.spark, self.root, paths)
+        after = ix.Manifest(before.generation, state=before.state)
+        self._change(after, chunks(now, self.settings), None, state={HEAD: head})
+        after = self.manifest()
+        after.files = ix.write_table(now.drop("text"), self.folder, "files")
+        after.publish(self.spark, self.folder)
+        return {"full_build": True, "files": len(paths), "indexed": len(paths), "chunks": after.n_chunks, "head": head, "deleted": 0, "updated": len(paths), "deleted_files": [], "updated_files": paths, "previous_head": before.state.get(HEAD), "branch_switched": False}
 
     def sync(self) -> dict:
-        if not self.exists():
+        """Brings the index up to date and tells what it did; without an index it is built."""
+        at = self.manifest()
+        if not at.segments and not at.files:
             return self.build()
-        m = manifest(self.spark, self.folder)
-        at = f"{self.folder}/{m['generation']}"
-        known = self.spark.read.parquet(f"{at}/files")
-        now = src.read_files(self.spark, self.root, src.collect_files(self.root))
-        diff = changes(known, now.drop("text"))
-        count = {r.action: r.n for r in diff.groupBy("action").agg(F.count("*").alias("n")).collect()}
-        head = src.head_commit(self.root)
-        report = {"full_build": False, "deleted": count.get("deleted", 0), "updated": count.get("added", 0) + count.get("changed", 0), "previous_head": m["state"].get("last_commit_hash"), "branch_switched": head != m["state"].get("last_commit_hash")}
-        if set(count) <= {"unchanged", "touched"} and not report["branch_switched"]:
-            return report | {"files": sum(count.values()), "head": head, "chunks": m["n_chunks"]}
-        old = self.spark.read.parquet(f"{at}/chunks").drop("chunk_id")
-        return self._write(resynced(old, diff, now, self.settings), now, report)
-
-    def _write(self, cut: DataFrame, now: DataFrame, report: dict) -> dict:
-        head = src.head_commit(self.root)
-        index = Index.of(cut)
-        at = index.write(self.folder, {"last_commit_hash": head})
-        now.drop("text").write.parquet(f"{self.folder}/{at}/files")
-        n = now.count()
-        return {"files": n, "indexed": n, "chunks": index.n_chunks, "head": head, "updated": n} | report
-
-    def index(self) -> Index:
-        return Index.open(self.spark, self.folder)
-
-    def files(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{manifest(self.spark, self.folder)['generation']}/chunks").select("filepath").distinct()
+        spark, head, last = self.spark, self.head(), at.state.get(HEAD)
+        paths = self.collect_files()
+        listed = spark.createDataFrame([(p, t) for p in paths if (t := src.mtime(self.root, p)) is not None], "filepath string, mtime double")
+        switched = bool(head and last and head != last)
+        named = src.git_changes(spark, self.root, last, head).where("action = 'changed'") if switched else spark.createDataFrame([], "filepath string, action string")
+        known = self.metadata()
+        rows = suspects(known, listed, named).collect()  # what has moved since the last sync; paths, as the listing has
+        report = {"full_build": False, "files": len(paths), "head": head, "previous_head": last, "branch_switched": switched}
+        look = sorted(r.filepath for r in rows if r.action != "deleted")
+        read = src.read_files(spark, self.root, look)
+        found = changes(known.join(read.select("filepath"), "filepath", "left_semi"), read.drop("text")).where("action in ('added', 'changed')")
+        updated = sorted(r.filepath for r in found.collect()) if look else []
+        deleted = sorted({r.filepath for r in rows if r.action == "deleted"} | ({*look} - {r.filepath for r in read.select("filepath").collect()} if look else set()))
+        frame = lambda some: spark.createDataFrame([(p,) for p in some], "filepath string")
+        if look or deleted or head != last:
+            now = src.read_files(spark, self.root, updated)
+            touched = read.drop("text") if look else None
+            self._change(at, chunks(now, self.settings) if updated else None, frame([*updated, *deleted]) if updated or deleted else None, touched, frame(deleted) if deleted else None, {HEAD: head})
+        return report | {"deleted": len(deleted), "updated": len(updated), "deleted_files": deleted, "updated_files": updated, "indexed": len(updated), "chunks": self.manifest().n_chunks}
+
+    # warm start
 
     def copy_to(self, folder: str, overwrite: bool = False) -> bool:
-        """Warm start: another folder gets this index."""
+        """Another folder gets this index; not if there is none, it is the same folder, or has an index that isn't to be overwritten."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (self.folder, folder))
-        if not self.exists() or a.equals(b) or (b.getFileSystem(conf).exists(b) and not overwrite):
+        fs = b.getFileSystem(conf)
+        if not self.exists() or a.equals(b) or (fs.exists(b) and not overwrite):
             return False
-        return jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, overwrite, conf)
+        fs.delete(b, True)
+        return jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, fs, b, False, overwrite, conf)
+
+    def warm_start_from(self, folder: str, overwrite: bool = True, sync: bool = True) -> dict:
+        """Takes over the index of another tree's folder, then syncs it with this tree."""
+        copied = Store(self.spark, self.root, folder).copy_to(self.folder, overwrite)
+        return {"copied": copied} | (self.sync() if sync else {})

@@ -1,6 +1,8 @@
 import json
+import os
 import math
 import sqlite3
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +154,83 @@ def test_sync(spark, tmp_path):
     assert rank.search(store.index(), {0: "alpha gamma"}, 5).count() == 0
     assert store.copy_to(f"file://{tmp_path}/copy") and not store.copy_to(f"file://{tmp_path}/copy")
     assert store.sync()["updated"] == 0
+
+
+def git(root, *args):
+    subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.org", *args], check=True, capture_output=True)
+
+
+def test_sync_of_a_git_repo(spark, tmp_path):
+    root = tmp_path / "c++ [x]"
+    (root / "app").mkdir(parents=True)
+    git(root, "init", "-q")
+    for name, text in {"app/[id].tsx": "alpha page", "b c.py": "beta", "été.md": "gamma", ".gitignore": "*.log.md\n", "x.log.md": "ignored", "empty.py": ""}.items():
+        (root / name).write_text(text)
+    git(root, "add", ".")
+    git(root, "commit", "-qm", "one")
+    store = Store(spark, str(root), f"file://{tmp_path}/index")
+    first = store.sync()
+    assert first["full_build"] and first["files"] == 4 and first["chunks"] == 3 and first["head"] == src.head_commit(str(root))
+    assert {r.filepath for r in store.files().collect()} == {"app/[id].tsx", "b c.py", "été.md"}
+    assert src.is_git_repo(str(root)) and not src.is_git_repo(str(tmp_path)) and src.head_commit(str(tmp_path)) is None
+    again = store.sync()
+    assert (again["updated"], again["deleted"]) == (0, 0)
+    generation = store.manifest().generation
+    assert store.sync()["files"] == 4 and store.manifest().generation == generation
+    old = os.stat(root / "b c.py")
+    (root / "b c.py").write_text("zeta")
+    git(root, "mv", "été.md", "summer.md")
+    git(root, "commit", "-qam", "two")
+    os.utime(root / "b c.py", ns=(old.st_atime_ns, old.st_mtime_ns))  # only git tells
+    second = store.sync()
+    assert second["branch_switched"] and second["updated_files"] == ["b c.py", "summer.md"] and second["deleted_files"] == ["été.md"]
+    find = lambda q: [r.filepath for r in store.search(q).collect()]
+    assert find("zeta") == ["b c.py"] and find("beta") == [] and find("gamma") == ["summer.md"] and find("alpha") == ["app/[id].tsx"]
+    changed = {(r.filepath, r.action) for r in src.git_changes(spark, str(root), first["head"]).collect()}
+    assert changed == {("b c.py", "changed"), ("été.md", "deleted"), ("summer.md", "changed")}
+    # scores are those of an index built anew
+    fresh = Store(spark, str(root), f"file://{tmp_path}/fresh")
+    fresh.build()
+    score = lambda s: [(r.filepath, round(r.score, 12)) for r in s.search("zeta gamma alpha page").orderBy("rank").collect()]
+    assert score(store) == score(fresh) and store.count_chunks() == fresh.count_chunks() == 3
+
+
+def test_store_changes_one_by_one(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text("alpha")
+    with Store(spark, str(root), f"file://{tmp_path}/i") as store:
+        assert store.count_chunks() == 0 and store.get_state("k") is None and store.get_metadata("a.py") is None
+        assert store.insert_chunk("m.py", 1, 2, "mu nu") == "m.py#000000001"
+        store.set_state("k", "v")
+        store.upsert_metadata("m.py", 5.5, "abc")
+        store.upsert_metadata("m.py", 6.5, "abd")
+        assert store.get_state("k") == "v" and store.get_metadata("m.py") == (6.5, "abd") and store.count_chunks("m.py") == 1
+        assert store.index_file("a.py") == 1 and store.index_file("gone.py") == 0 and store.count_chunks() == 2
+        assert [r.filepath for r in store.search("alpha nu").orderBy("rank").collect()] == ["a.py", "m.py"]
+        assert store.delete_chunks("m.py") == 1 and store.get_metadata("m.py") and store.delete_file("m.py") == 0 and store.get_metadata("m.py") is None
+        assert store.search("nu").count() == 0 and store.count_chunks() == 1 and len(store.tables()) >= 3
+        for i in range(10):  # segments are merged
+            (root / "a.py").write_text(f"alpha v{i}")
+            store.index_file("a.py")
+        assert len(store.manifest().segments) <= 8 and store.count_chunks() == 1 and [r.raw_snippet for r in store.search("alpha").collect()] == ["alpha v9"]
+        names = os.listdir(tmp_path / "i")
+        assert sum(n.startswith("manifest-") for n in names) == 2 and sum(n.startswith("segment-") for n in names) <= 12
+        late = store.manifest()
+        late.generation -= 1
+        with pytest.raises(RuntimeError):  # a writer that comes second
+            late.publish(spark, store.folder)
+    target = tmp_path / "t"
+    target.mkdir()
+    (target / "a.py").write_text("alpha v9")
+    (target / "b.py").write_text("other")
+    warm = Store(spark, str(target), f"file://{tmp_path}/j")
+    report = warm.warm_start_from(store.folder)
+    assert report["copied"] and "b.py" in report["updated_files"] and {r.filepath for r in warm.files().collect()} == {"a.py", "b.py"}
+    assert not warm.warm_start_from(f"file://{tmp_path}/nothing", sync=False)["copied"]
+
+
+def test_undecodable_text(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"ok \xff\xfe caf\xc3\xa9 \xe2\x82")
+    row = src.read_files(spark, str(tmp_path)).first()
+    assert row.text == b"ok \xff\xfe caf\xc3\xa9 \xe2\x82".decode(errors="replace") and row.filepath == "a.md"

@@ -5,7 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 # File name endings that are indexed, and the messages of the interfaces.
-EXTENSIONS = tuple(".astro .blade.php .c .cjs .cpp .css .ejs .go .h .hbs .htm .html .java .js .json .jsx .less .md .mjs .php .phtml .py .rs .sass .scss .sql .styl .svelte .toml .ts .tsx .twig .vue .yaml".split())
+EXTENSIONS = (
+    ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro",
+    ".html", ".htm", ".hbs", ".ejs", ".twig", ".php", ".phtml", ".blade.php",
+    ".css", ".scss", ".sass", ".less", ".styl",
+    ".py", ".go", ".java", ".rs", ".c", ".cpp", ".h",
+    ".md", ".json", ".yaml", ".toml", ".sql",
+)
 ZERO_MATCH = "BM25 match zero. Recommended Fallback: Use standard grep_search or glob to locate exact symbol definitions."
 HINT = "Low-confidence match: hit count or top score is weak. Consider re-searching with a synonym or a different granularity keyword (broader/narrower term) before trusting these results."
 

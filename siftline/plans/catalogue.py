@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.config import EXTENSIONS, ZERO_MATCH, Settings
+from siftline.config import EXTENSIONS, HINT, ZERO_MATCH, Settings
 from siftline.functions import text as tx
 from siftline.functions import tokenize as tk
 from siftline.operators import post, rank
 from siftline.operators.chunk import chunks
 from siftline.operators.index import Index, postings, with_ids, with_terms
 from siftline.operators.render import render
-from siftline.sources.files import name_status
-from siftline.streaming.sync import changes, resynced
+from siftline.serving.service import find
+from siftline.sources.files import name_status, scratch
+from siftline.streaming.sync import Store, changes, resynced
 
 from . import fixtures as fx
 
@@ -287,6 +288,39 @@ def q26_sync_is_rebuild(spark, sf_dir):
     return out.select("filepath", "start_line", "end_line", F.sha2("raw_snippet", 256).alias("sha256"))
 
 
+def _synced(spark, sf_dir) -> Store:
+    """A stored index of the old snapshot that has taken over the new one."""
+    old, new = _snapshots(spark, sf_dir)
+    store = Store(spark, "", scratch(spark, "catalogue"))
+    store.update(old)
+    diff = changes(old, new)
+    store.update(new.join(diff.where("action in ('added', 'changed')"), "filepath", "left_semi"), diff.where("action = 'deleted'"))
+    return store
+
+
+_SNAP = f"corpus AS (SELECT filepath, text FROM ({_NEW})), {_chunk_sql(80, 20, True)}"
+
+
+@query(f"WITH {_SNAP}, {_score_sql(_phrases({0: 'token the', 1: 'src7 changed'}))} SELECT q, rank::INT AS rank, filepath, start_line, round(score, 6) AS score FROM ranked WHERE rank <= 20")
+def q34_synced_search(spark, sf_dir):
+    hits = rank.search(_synced(spark, sf_dir).index(), {0: "token the", 1: "src7 changed"}, 20, diversify=False)
+    return hits.select("q", "rank", "filepath", "start_line", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_SNAP}, {_terms_sql()}, t AS (SELECT filepath, start_line, 0 AS col, unnest(p) AS term FROM terms UNION ALL SELECT filepath, start_line, 1 AS col, unnest(b) AS term FROM terms) SELECT term, count(*) AS times, count(DISTINCT filepath || '#' || start_line) AS df FROM t GROUP BY term")
+def q35_synced_postings(spark, sf_dir):
+    return _synced(spark, sf_dir).index().postings.groupBy("term").agg(F.sum(F.size("positions")).alias("times"), F.countDistinct("chunk_id").alias("df"))
+
+
+@query(f"""WITH {_SNAP}, {_terms_sql()}, n AS (SELECT filepath, count(*) AS n_chunks, sum(len(p) + len(b))::BIGINT AS total_length FROM terms GROUP BY filepath)
+SELECT corpus.filepath, sha256(text) AS file_hash, coalesce(n_chunks, 0) AS n_chunks, coalesce(total_length, 0) AS total_length, (SELECT count(*) FROM chunks) AS all_chunks FROM corpus LEFT JOIN n USING (filepath)""")
+def q36_synced_files(spark, sf_dir):
+    store = _synced(spark, sf_dir)
+    n = store.chunks().groupBy("filepath").agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("total_length"))
+    out = store.metadata().join(n, "filepath", "left").na.fill(0, ["n_chunks", "total_length"])
+    return out.select("filepath", "file_hash", "n_chunks", "total_length", F.lit(store.count_chunks()).cast("long").alias("all_chunks"))
+
+
 @query(f"WITH corpus AS ({fx.SQL['files']}), {_chunk_sql(80, 20, True)} SELECT filepath, count(*) AS n_chunks FROM chunks GROUP BY filepath")
 def q27_chunk_counts(spark, sf_dir):
     return chunks(fx.files(spark, sf_dir)).groupBy("filepath").agg(F.count("*").alias("n_chunks"))
@@ -302,11 +336,17 @@ def q28_byte_truncation(spark, sf_dir):
     return fx.read(spark, sf_dir, "documents").select("doc_id", tx.truncated(F.col("text"), 101).alias("cut"))
 
 
-@query()
+@query(f"""WITH {_whole('docs')}, {_score_sql(_phrases({0: 'token'}))}, hits AS (SELECT * FROM ranked WHERE rank <= 5),
+judged AS (SELECT count(*) AS n, max(score) FILTER (rank = 1) AS x, max(score) FILTER (rank = 2) AS y FROM hits),
+body AS (SELECT string_agg('## ' || rank || '. ' || filepath || ' (lines ' || start_line || '-' || end_line || ')' || chr(10) || printf('score: %.6f', score) || chr(10) || chr(10)
+  || '```' || chr(10) || raw_snippet || chr(10) || '```', chr(10) || chr(10) ORDER BY rank) AS blocks FROM hits)
+SELECT 'token' AS query, '# BM25 Search Results' || chr(10) || chr(10) || '**Query:** `token`' || chr(10) || chr(10) || CASE WHEN n = 0 THEN '{ZERO_MATCH}' ELSE
+  '**Confidence:** ' || CASE WHEN n = 1 THEN 'single' WHEN abs(x) / abs(y) >= 1.5 THEN 'dominant' ELSE 'close_contest' END
+  || CASE WHEN n = 1 THEN '' ELSE printf(' (top: %.6f, runner-up: %.6f, gap: %.6f)', x, y, y - x) END || chr(10)
+  || CASE WHEN n < 2 OR x > -1.0 THEN '**Hint:** {HINT}' || chr(10) ELSE '' END || chr(10) || blocks || chr(10) END AS answer FROM judged, body""")
 def q29_markdown(spark, sf_dir):
-    rows = rank.search(_index(spark, sf_dir, "docs"), {0: "token"}, 5).orderBy("rank").collect()
-    hits = [{k: r[k] for k in ("filepath", "start_line", "end_line", "raw_snippet", "score")} for r in rows]
-    return spark.createDataFrame([("token", render(hits, "markdown", 4000, "token", 5))], "query string, answer string")
+    hits = find(_index(spark, sf_dir, "docs"), "token")
+    return spark.createDataFrame([("token", render(hits, "markdown", None, "token", 5))], "query string, answer string")
 
 
 @query(f"SELECT 'qqzzxx' AS query, 'zero_match' AS status, '{ZERO_MATCH}' AS message")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILE_DOCS = 2000
 LETTERS, SIGNS = "aeioustnrl", "有効期限認証設定更新"
 
 
@@ -18,12 +19,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
-    return d.select(F.format_string("%s/%s.md", "lang", "source").alias("filepath"), F.array_join("x.text", "\n\n").alias("text"))
+    part = F.expr(f"doc_id div {FILE_DOCS}").alias("part")  # so no file grows with the table
+    d = read(spark, sf_dir, "documents").groupBy("lang", "source", part).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
+    return d.select(F.format_string("%s/%s_%d.md", "lang", "source", "part").alias("filepath"), F.array_join("x.text", "\n\n").alias("text"))
 
 
 def web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select(F.col("url").alias("filepath"), F.col("html").alias("text")).where("filepath is not null").dropDuplicates(["filepath"])
+    url = F.coalesce("url", F.lit(""))
+    return read(spark, sf_dir, "pages").select(F.concat_ws("/", F.col("page_id").cast("string"), url).alias("filepath"), F.col("html").alias("text"))
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +46,9 @@ def cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "docs": "SELECT 'docs/' || lang || '/' || source || '_' || doc_id || '.md' AS filepath, text FROM documents",
-    "files": "SELECT lang || '/' || source || '.md' AS filepath, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY lang, source",
+    "files": f"SELECT lang || '/' || source || '_' || doc_id // {FILE_DOCS} || '.md' AS filepath, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY lang, source, doc_id // {FILE_DOCS}",
     "chat": "SELECT 'chat/' || conv_id || '.txt' AS filepath, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
-    "web": "SELECT url AS filepath, any_value(html) AS text FROM pages WHERE url IS NOT NULL GROUP BY url",
+    "web": "SELECT page_id || '/' || coalesce(url, '') AS filepath, html AS text FROM pages",
     "idents": "SELECT 'src/part_' || p_partkey || '.py' AS filepath, 'def ' || replace(p_name, ' ', '_') || '(): return ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || '()' AS text FROM part",
     "cjk": f"SELECT 'docs/' || lang || '/' || source || '_' || doc_id || '.md' AS filepath, translate(lower(text), '{LETTERS}', '{SIGNS}') AS text FROM documents",
 }

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
+import os
 import sys
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import SparkSession
 
+from siftline.config import DEFAULT
 from siftline.operators import post, rank
 from siftline.operators.index import Index
-from siftline.operators.render import as_json, envelope, render, zero_match
+from siftline.operators.render import envelope, render, zero_match
 from siftline.streaming.sync import Store
 
+# The tool's schema, the protocol's names and codes.
 TOOL = {
     "name": "search",
     "description": "Ranked keyword search over the indexed files.",
@@ -29,8 +33,8 @@ TOOL = {
 PROTOCOL = "2026-07-28"
 
 
-def find(index: Index, query: str, queries: list[str] | None = None, top_k: int = 5, mode: str = "OR") -> list[dict]:
-    """The hits of one query, or of several fused."""
+def find(index: Index, query: str, queries: list[str] | None = None, top_k: int = 5, mode: str = "OR", pool_k: int | None = None, rrf_k: int = DEFAULT.rrf_k) -> list[dict]:
+    """The hits of one query, or of several fused: the best ``pool_k`` of each (by default a pool for ``top_k``)."""
     texts = list(dict.fromkeys(t for q in [query, *(queries or [])] if (t := q.strip())))
     if not texts:
         return []
@@ -38,8 +42,9 @@ def find(index: Index, query: str, queries: list[str] | None = None, top_k: int
     if len(texts) == 1:
         rows = rank.search(index, numbered, top_k, mode).orderBy("rank").collect()
         return [{k: r[k] for k in ("filepath", "start_line", "end_line", "raw_snippet", "score")} for r in rows]
-    hits = rank.search(index, numbered, max(3 * top_k, 20), mode)
-    return [{k: v for k, v in r.asDict().items() if k != "rank"} for r in post.fused(hits, numbered, top_k).orderBy("rank").collect()]
+    hits = rank.search(index, numbered, pool_k or DEFAULT.pool(top_k), mode)
+    fused = post.fused(hits, numbered, top_k, dataclasses.replace(DEFAULT, rrf_k=rrf_k)).orderBy("rank")
+    return [{k: v for k, v in r.asDict().items() if k != "rank"} for r in fused.collect()]
 
 
 class RpcError(Exception):
@@ -64,14 +69,24 @@ def arguments(raw: object) -> dict:
 
 
 class Server:
-    """JSON-RPC: ``index`` gives the index to search, after a sync where that is wanted."""
+    """JSON-RPC: ``index`` gives the index to search, after a sync where that is wanted; ``other`` opens one that a call names."""
 
-    def __init__(self, index: Callable[[], Index]):
-        self.index = index
+    def __init__(self, index: Callable[[], Index], other: Callable[[str], Index] | None = None):
+        self.index, self.other = index, other
+
+    def discover(self) -> dict:
+        return self.dispatch("server/discover", {})
+
+    def list_tools(self) -> list[dict]:
+        return self.dispatch("tools/list", {})["tools"]
+
+    def call_tool(self, name: str, raw: object) -> dict:
+        return self.dispatch("tools/call", {"name": name, "arguments": raw})
 
     def call(self, raw: object) -> dict:
         args = arguments(raw)
-        hits = find(self.index(), **args)
+        named = raw.get("db_path") if self.other else None
+        hits = find(self.other(str(named)) if named else self.index(), **args)
         body = envelope(hits, args["query"], args["top_k"]) if hits else zero_match(args["query"])
         if args["queries"]:
             body["queries_used"] = list(dict.fromkeys([args["query"], *args["queries"]]))
@@ -120,17 +135,26 @@ class Server:
                 print(answer, file=out, flush=True)
 
 
-def function_call(index: Index, call: dict) -> dict:
-    """A function call ``{"name", "arguments"}`` (arguments an object or JSON text); never raises."""
-    try:
-        raw = call.get("arguments", {})
-        raw = json.loads(raw or "{}") if isinstance(raw, str) else raw
-        args = arguments({k: v for k, v in raw.items() if k in TOOL["inputSchema"]["properties"]})
-        hits = find(index, **args)
-        text = render(hits, raw.get("format", "markdown"), raw.get("max_bytes", 4000), args["query"], args["top_k"]) if hits else json.dumps(zero_match(args["query"]))
-        return {"name": call.get("name"), "content": text, "isError": False}
-    except Exception as e:  # noqa: BLE001
-        return {"name": call.get("name"), "content": str(getattr(e, "message", e)), "isError": True}
+def current(store: Store, auto_sync: bool = True) -> Callable[[], Index]:
+    """Gives the store's index, synced first; a sync that fails is told on standard error and what is stored is searched."""
+
+    def index() -> Index:
+        if auto_sync:
+            try:
+                store.sync()
+            except Exception as e:  # noqa: BLE001
+                print(f"sync failed: {e}", file=sys.stderr)
+        return store.index()
+
+    return index
+
+
+def places(root: str, db: str | None) -> tuple[str, str]:
+    """The tree and the index folder that the options mean: a folder without a tree stands in its tree."""
+    if db and root == "." and os.path.isdir(parent := os.path.dirname(os.path.abspath(db))):
+        root = parent
+    root = os.path.abspath(root)
+    return root, f"file://{os.path.abspath(db)}" if db and "://" not in db else db or f"file://{root}/.siftline"
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -147,19 +171,15 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--stdio", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("siftline").getOrCreate()
-    store = Store(spark, a.root, a.db or f"{a.root}/.siftline")
-
-    def index() -> Index:
-        if not a.no_auto_sync:
-            store.sync()
-        return store.index()
-
+    root, folder = places(a.root, a.db)
+    index = current(Store(spark, root, folder), not a.no_auto_sync)
     if a.stdio or a.query is None:
-        Server(index).serve(sys.stdin, sys.stdout)
+        Server(index, lambda db: Index.open(spark, places(".", db)[1])).serve(sys.stdin, sys.stdout)
         return 0
     hits = find(index(), a.query, a.queries, a.top_k, a.mode)
     print(render(hits, a.format, a.max_bytes, a.query, a.top_k) if hits else json.dumps(zero_match(a.query)))
     return 0
 
 
-__all__ = ["Server", "TOOL", "arguments", "as_json", "find", "function_call", "main"]
+if __name__ == "__main__":
+    raise SystemExit(main())

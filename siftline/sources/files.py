@@ -6,6 +6,8 @@ import hashlib
 import os
 import re
 import subprocess
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,26 @@ from siftline.functions.text import decoded, matches_extension
 SKIPPED = (".git", "__pycache__", "node_modules")
 
 
+_scratch: str | None = None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables between steps, in the one that ``spark.checkpoint.dir`` names; removed when the driver ends.
+
+    A local one serves only where that is unset and Spark runs in one process."""
+    global _scratch
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _scratch = _scratch or f"file://{tempfile.mkdtemp(prefix='siftline-')}"
+        base = _scratch
+    path = f"{base.rstrip('/')}/siftline/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def _git(root: str, *args: str) -> bytes | None:
     try:
         done = subprocess.run(["git", "-C", root, *args], capture_output=True, check=False)

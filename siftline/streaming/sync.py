@@ -152,6 +152,11 @@ class Store:
         self._change(self.manifest(), chunks(now, self.settings), now.select("filepath"), metadata=now.drop("text"))
         return self.count_chunks(filepath)
 
+    def update(self, files: DataFrame, deleted: DataFrame | None = None) -> None:
+        """Takes over new texts of files (filepath, mtime, file_hash, text) and drops those in ``deleted`` (filepath)."""
+        stale = files.select("filepath") if deleted is None else files.select("filepath").union(deleted.select("filepath"))
+        self._change(self.manifest(), chunks(files, self.settings), stale, files.select("filepath", "mtime", "file_hash"), deleted)
+
     def _change(self, at: ix.Manifest, new: DataFrame | None, stale: DataFrame | None, metadata: DataFrame | None = None, forget: DataFrame | None = None, state: dict | None = None) -> None:
         """Publish a generation: ``stale`` files' chunks gone, ``new`` ones there; metadata rows replaced or forgotten."""
         spark, folder = self.spark, self.folder

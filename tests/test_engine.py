@@ -3,6 +3,7 @@ import os
 import math
 import sqlite3
 import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from siftline.functions import tokenize as tk
 from siftline.operators import post, rank, render
 from siftline.operators.chunk import bounds, chunks
 from siftline.operators.index import Index
-from siftline.serving.service import Server, function_call
+from siftline.serving import adapter, service
+from siftline.serving.service import Server
 from siftline.sources import files as src
 from siftline.streaming.sync import Store
 
@@ -134,7 +136,52 @@ def test_rpc(index):
     assert ask("nope")["error"]["code"] == -32601 and json.loads(server.handle("{"))["error"]["code"] == -32700
     assert server.handle(json.dumps({"jsonrpc": "2.0", "method": "ping"})) is None
     assert ask("tools/call", name="search", arguments={"query": "zzzqq"})["result"]["structuredContent"]["status"] == "zero_match"
-    assert function_call(index, {"name": "f", "arguments": {}})["isError"] and "auth.py" in function_call(index, {"name": "f", "arguments": '{"query": "authenticate"}'})["content"]
+    assert server.list_tools()[0]["name"] == "search" and server.discover()["tools"] and server.call_tool("search", {"query": "profile"})["isError"] is False
+    answers = json.loads(server.handle(json.dumps([{"jsonrpc": "2.0", "id": 1, "method": "ping"}, {"jsonrpc": "2.0", "method": "ping"}, 7])))
+    assert [a.get("error", {}).get("code") for a in answers] == [None, -32600]
+    bad = Server(lambda: 1 / 0)
+    assert json.loads(bad.handle(json.dumps({"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "x"}}})))["error"]["code"] == -32603
+
+
+def test_fusion_arguments(index):
+    two = service.find(index, "authenticate_user", ["session_token"], 3, pool_k=1, rrf_k=10)
+    assert two[0]["filepath"] == "src/auth.py" and two[0]["fusion_score"] == pytest.approx(2 / 11) and len(two) == 1
+    assert "fusion_score" not in service.find(index, " profile ", ["profile", " "])[0] and service.find(index, " ") == []
+
+
+def test_function_calls(index):
+    assert adapter.call({"name": "f", "arguments": {}}, index)["isError"]
+    assert "auth.py" in adapter.call({"name": "f", "arguments": '{"query": "authenticate"}'}, index)["content"][0]["text"]
+    assert json.loads(adapter.call({"query": "authenticate", "format": "json"}, index)["content"][0]["text"])["status"] == "ok"
+    assert adapter.arguments("{") == {"query": "", "top_k": 5, "format": "markdown", "max_bytes": 4000, "mode": "OR"}
+    assert adapter.arguments({"query": 7, "top_k": "3", "mode": "XOR", "max_bytes": -1, "format": "json"}) == {"query": "7", "top_k": 3, "format": "json", "max_bytes": 4000, "mode": "OR"}
+    assert adapter.arguments(adapter.envelope("a b", top_k=9)) == {"query": "a b", "top_k": 9, "format": "markdown", "max_bytes": 4000, "mode": "OR"}
+    assert adapter.schema()["parameters"]["required"] == ["query"]
+    line = adapter.argv("x; rm -rf y", db="/i", mode="AND")
+    assert line[-1] == "x; rm -rf y" and line[line.index("--mode") + 1] == "AND" and line[line.index("--db") + 1] == "/i"
+    assert adapter.run(["/no/such/program"])["returncode"] == 127 and adapter.run([sys.executable, "-c", "import time; time.sleep(9)"], 0.2)["returncode"] == 124
+    assert adapter.run([sys.executable, "-c", "print('é'); exit(3)"]) | {"command": 0} == {"command": 0, "returncode": 3, "stdout": "é\n", "stderr": "", "error": None}
+    assert adapter.result("{", "json")["isError"] and not adapter.result("# x", "markdown")["isError"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.py").write_text("def authenticate(): pass")
+    assert service.places(".", str(tmp_path / "i")) == (str(tmp_path), f"file://{tmp_path}/i")
+    assert service.places(str(tmp_path), None) == (str(tmp_path), f"file://{tmp_path}/.siftline")
+    assert service.main(["authenticate", "--db", str(tmp_path / "i"), "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out)["results"][0]["filepath"] == "a.py"
+    (tmp_path / "b.py").write_text("other words")
+    assert service.main(["other", "--root", str(tmp_path), "--db", str(tmp_path / "i"), "--no-auto-sync"]) == 0
+    assert json.loads(capsys.readouterr().out)["status"] == "zero_match"
+    store = Store(spark, str(tmp_path), f"file://{tmp_path}/i")
+    store.sync = lambda: 1 / 0
+    assert service.current(store)().n_chunks == 1 and "sync failed" in capsys.readouterr().err  # what is stored is searched
+
+
+def test_markdown_as_it_is():
+    hits = [{"filepath": "a.py", "start_line": 1, "end_line": 2, "raw_snippet": "x\ny", "score": -6.0}, {"filepath": "b.py", "start_line": 3, "end_line": 3, "raw_snippet": "z", "score": -3.0}]
+    want = "# BM25 Search Results\n\n**Query:** `q`\n\n**Confidence:** dominant (top: -6.000000, runner-up: -3.000000, gap: 3.000000)\n\n## 1. a.py (lines 1-2)\nscore: -6.000000\n\n```\nx\ny\n```\n\n## 2. b.py (lines 3-3)\nscore: -3.000000\n\n```\nz\n```\n"
+    assert render.render(hits, "markdown", None, "q", 5) == want and render.render(hits, "other", 30, "q", 5) == want[:30]
 
 
 def test_sync(spark, tmp_path):

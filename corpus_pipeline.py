@@ -1,18 +1,19 @@
 """The corpus pipeline: toxicity, line dedup, near duplicates, benchmark decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads; all but the last return the
-columns of ``documents``. SQL can't express the pipeline: it is tested against brute force.
+columns of ``documents``. SQL can't express the pipeline: its tests hold each stage against brute force.
+
+Defined cases are those of the operators; rows without an id pass through all stages that need ids.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from siftline.llm._common import shared_dir, table
+from siftline.llm._common import table
+from siftline.sources.files import scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/siftline/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")

@@ -2,45 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.sources.files import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-_local_dir: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset and Spark runs in one process."""
-    global _local_dir
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="siftline-")
-    return f"file://{_local_dir}"
-
-
-def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost no recomputation.
 
-    ``rows``: at most so many go to a Python worker at once, where rows are large."""
+    ``rows``: at most so many go to a Python worker at once, as texts may be long. The tables go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     before = spark.conf.get(ARROW_ROWS)
     try:
-        spark.conf.set(ARROW_ROWS, str(min(rows or int(before), int(before))))
+        spark.conf.set(ARROW_ROWS, str(min(rows, int(before))))
         df.write.parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, before)

@@ -6,7 +6,7 @@ an anti-join against the prefixes of longer ones then leaves those that nothing
 in partial aggregation, so a first turn or conversation that a third of all logs share moves once a task.
 
 Defined cases: turns are ordered by number (null first), then by the md5 of role and text; null role or
-text is empty; rows without a conversation id belong to none and are left out; repeated rows are turns each;
+text is empty; ``<|`` in either is rendered as ``< |``, so that no text can open or close a turn; rows without a conversation id belong to none and are left out; repeated rows are turns each;
 an empty table gives no rows. Only DataFrame functions are used.
 """
 
@@ -22,7 +22,13 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def _turn() -> Column:
-    return F.md5(F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))))
+    role = F.coalesce("role", F.lit(""))
+    return F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, F.coalesce("text", F.lit(""))))
+
+
+def _inside(column: str) -> Column:
+    """Text in which nothing reads as a marker."""
+    return F.replace(F.coalesce(column, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def maximal(turns: DataFrame) -> DataFrame:
 def rendered(turns: DataFrame) -> DataFrame:
     """A row for each conversation that is left: its chat text."""
     keep = maximal(turns)
-    part = F.struct("turn", _turn().alias("th"), F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(f"{CLOSE}\n")).alias("part"))
+    part = F.struct("turn", _turn().alias("th"), F.concat(F.lit(OPEN), _inside("role"), F.lit("\n"), _inside("text"), F.lit(f"{CLOSE}\n")).alias("part"))
     # nulls come first in the order of structs, as in prefixes()
     chats = turns.join(keep, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     return chats.select("conv_id", "n_turns", "n_copies", F.array_join("parts.part", "").alias("chat"))
@@ -59,7 +65,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS th
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS th
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
   SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
@@ -68,6 +74,6 @@ p AS (
 whole AS (SELECT pre, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE pos = n GROUP BY pre),
 kept AS (SELECT * FROM whole WHERE pre NOT IN (SELECT pre FROM p WHERE pos < n))
 SELECT conv_id, count(*) AS n_turns, any_value(n_copies) AS n_copies,
-       string_agg('{OPEN}' || role || chr(10) || text || '{CLOSE}' || chr(10), '' ORDER BY pos) AS chat
+       string_agg('{OPEN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{CLOSE}' || chr(10), '' ORDER BY pos) AS chat
 FROM p JOIN kept USING (conv_id) GROUP BY conv_id
 """

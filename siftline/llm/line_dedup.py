@@ -163,7 +163,8 @@ def removals(docs: DataFrame, least: int = MIN_BLOCK_CHARS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_CHARS) -> DataFrame:
-    """``docs`` with ``text`` freed of repeated lines, and the counts ``n_lines`` and ``n_removed``."""
+    """``docs`` with ``text`` freed of repeated lines, and the counts ``n_lines`` and ``n_removed`` (in place of columns of these names)."""
+    docs = docs.drop("n_lines", "n_removed")
     th, rep, gone, later, kept = fresh(docs, "th", "rep", "gone", "later", "kept")
     found = removals(docs, least).select(F.col("th").alias(th), F.col("rep").alias(rep), F.col("gone").alias(gone))
     judged = F.coalesce((F.col("text") != "") & F.col("doc_id").isNotNull(), F.lit(False))

@@ -8,11 +8,11 @@ is the stretch of words of its documents in seeded order, cut into blocks: whole
 block, and the rest takes its first blocks, which are a random choice as the order is. So a source's words
 come within a block or so of its target, and no document is taken over twice.
 
-Quotients are compared as integers after scaling, so that each level gives one answer: the divisor that
-the highest quotients imply is found by bisection, and equal quotients go to the earlier entry.
+Quotients are compared as doubles, the same ones at every run: the divisor that the highest quotients imply is
+found by bisection, and equal quotients go to the earlier entry.
 
 Defined cases: null text has no words; a null source is a source; repeated rows are documents each; tables
-without words take nothing. The order is that of md5(seed:doc_id), then size, then the text's md5.
+without words take nothing; columns of ``docs`` that have the name of a result are replaced by it. The order is that of md5(seed:doc_id), then size, then the text's md5.
 """
 
 from __future__ import annotations
@@ -91,10 +91,10 @@ def quotas(shards: DataFrame, sources: list[tuple[str | None, int]]) -> DataFram
     return shards.join(groups.select("no", "g", "quota"), ["no", "g"]).groupBy("no", "g").applyInPandas(to_shards, "no int, g int, s int, z long, quota long")
 
 
-def mixed(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, keep_text: bool = True, shard_rows: int = SHARD_ROWS, group_shards: int = GROUP_SHARDS) -> DataFrame:
     """``docs`` with its size, its source's size and target, and the words ``taken``; without the texts where those aren't kept."""
-    spark = docs.sparkSession
-    no, g, s, size, order, tie, z, quota, upto = fresh(docs, "no", "g", "s", "size", "order", "tie", "z", "quota", "upto")
+    spark, docs = docs.sparkSession, docs.drop("size", "source_size", "target", "taken")
+    no, g, s, size, order, tie, z, quota, upto, key, shards_of, total, goal = fresh(docs, "no", "g", "s", "words", "order", "tie", "z", "quota", "upto", "key", "n_shards", "source_words", "goal")
     text = F.col("text")
     sized = docs.withColumns({size: n_words(text), order: F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), tie: F.md5(F.coalesce(text, F.lit("")))})
     sized = staged(sized if keep_text else sized.drop("text"), "mix-sizes")
@@ -102,11 +102,11 @@ def mixed(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     sources = [(r.source, r.z) for r in totals]
     want = targets([v for _, v in sources], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))])
-    n_shards = [max(1, -(-r.n // SHARD_ROWS)) for r in totals]
-    plan = spark.createDataFrame([(i, r.source, int(r.z), float(w), n) for i, (r, w, n) in enumerate(zip(totals, want, n_shards, strict=True))], f"{no} int, key string, source_size long, target double, n_shards int")
-    out = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("key")))  # a row for each source
-    shard = F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.col("n_shards")).cast("int")
-    out = out.withColumn(s, shard).withColumn(g, F.expr(f"{s} div {GROUP_SHARDS}").cast("int"))
+    n_shards = [max(1, -(-r.n // shard_rows)) for r in totals]
+    plan = spark.createDataFrame([(i, r.source, int(r.z), float(w), n) for i, (r, w, n) in enumerate(zip(totals, want, n_shards, strict=True))], f"{no} int, {key} string, {total} long, {goal} double, {shards_of} int")
+    out = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col(key)))  # a row for each source
+    shard = F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.col(shards_of)).cast("int")
+    out = out.withColumn(s, shard).withColumn(g, F.expr(f"{s} div {group_shards}").cast("int"))
     shards = out.groupBy(F.col(no).alias("no"), F.col(g).alias("g"), F.col(s).alias("s")).agg(F.sum(size).alias("z"))
     given = quotas(shards, sources).select(F.col("no").alias(no), F.col("s").alias(s), F.col("z").alias(z), F.col("quota").alias(quota))
     out = out.join(given, [no, s])
@@ -117,7 +117,7 @@ def mixed(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     part = words - passes * F.col(z)  # the words of the first blocks, which the last pass takes
     extra = F.greatest(F.lit(0), F.least(F.col(size), part - (F.col(upto) - F.col(size))))
     taken = (passes * F.col(size) + F.when(F.col(z) > 0, extra).otherwise(0)).cast("long")
-    return out.select(*(c for c in docs.columns if keep_text or c != "text"), F.col(size).alias("size"), "source_size", "target", taken.alias("taken"))
+    return out.select(*(c for c in docs.columns if keep_text or c != "text"), F.col(size).alias("size"), F.col(total).alias("source_size"), F.col(goal).alias("target"), taken.alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

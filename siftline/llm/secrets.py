@@ -123,7 +123,8 @@ def forest(spark: SparkSession) -> list[tuple]:
 
 
 def scan(docs: DataFrame, trees: list[tuple] | None = None) -> DataFrame:
-    """A row for each finding: ``docs`` without its text, and ordinal, candidate, score and ``is_secret``."""
+    """A row for each finding: ``docs`` without its text, and ordinal, candidate, score and ``is_secret`` (in place of columns of these names)."""
+    docs = docs.drop("ordinal", "candidate", "score", "is_secret")
     trees = trees or forest(docs.sparkSession)
     cands, pieces, at, *names = fresh(docs, "cands", "pieces", "at", *(f"f_{n}" for n in NAMES))
     keep = [c for c in docs.columns if c != "text"]

@@ -7,7 +7,8 @@ use a lexicon learned from the other folds only. Scores are made monotone in the
 by pooling adjacent violators over out-of-fold predictions.
 
 Defined cases: a null or empty text has the features of an empty text and gets a score; rows of
-``labels`` whose id or label is null are ignored, repeated labels of an id count as toxic if one is;
+``labels`` whose id or label is null are ignored, repeated labels of an id count as toxic if one is, and of an
+id's several texts the smallest is learned from; a column of ``docs`` named as the score is replaced by it;
 without labels of both kinds every score is the share of toxic labels (0 without any).
 """
 
@@ -233,8 +234,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column) -> list[tu
     by_id = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("t")).where("i is not null and t in (0, 1)")
     chosen = by_id.where(usable).groupBy("i").agg(F.max("t").alias("t")).orderBy(F.xxhash64("i"), "i").limit(MAX_TRAINING_ROWS)
     texts = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("x"))
-    rows = texts.join(F.broadcast(chosen), "i").collect()  # both sides of bounded size: MAX_TRAINING_ROWS
-    return [(r.x, r.t) for r in sorted(rows, key=lambda r: (r.i, r.x or ""))[: 2 * MAX_TRAINING_ROWS]]
+    rows = texts.join(F.broadcast(chosen), "i").groupBy("i", "t").agg(F.min("x").alias("x")).collect()  # MAX_TRAINING_ROWS ids, a text of each
+    return [(r.x, r.t) for r in sorted(rows, key=lambda r: r.i)]
 
 
 def with_score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:

@@ -253,8 +253,44 @@ def test_url_model(spark):
     got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(urls, "page_id long, url string")).collect()}
     assert (got[300].verdict, got[301].verdict, got[302].score) == ("allow", "block", 0.0)
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
-    table = url_filter.ratios([(0, 3, 1), (40, 2, 5)])
-    assert len(table) == 32**3 and all(map(math.isfinite, table))
+    odd = spark.createDataFrame([(None, "http://a.com/x", 1, "q"), (1, "http://a.com/x", 1, "q"), (1, "http://a.com/x", 1, "q"), (2, "http://" + "é" * 50_000, 1, "q"), (3, "://", 1, "q")], "page_id long, url string, score int, ruled string")
+    out = url_filter.judged(odd)
+    assert out.columns == ["page_id", "url", "ruled", "host", "path", "rule", "score", "verdict"] and out.count() == 5 and {r.ruled for r in out.collect()} == {"q"}
+
+
+def test_url_scores_by_definition(spark):
+    rng = random.Random(5)
+    urls = [(i, f"http://{rng.choice(['shop', 'news', 'blog'])}{i % 9}.com/{words(1, i)}/{words(1, 2 * i)}") for i in range(150)]
+    urls += [(1000 + i, f"http://{rng.choice(['win', 'cash'])}-{words(1, 7 * i)}.net/{rng.choice(['es', 'fr'])}/{i}") for i in range(100)] + [(3000 + i, f"https://{words(1, i)}.org/{words(2, i).replace(' ', '/')}") for i in range(40)]
+    rows = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    pages = url_filter.ruled(spark.createDataFrame(urls, "page_id long, url string")).withColumn("chars", url_filter.plain())
+    pages = [(r.page_id, r.ruled, r.chars, r.held) for r in pages.withColumn("held", F.expr("pmod(xxhash64(host, path), 5) = 0")).collect()]
+    order, symbols = url_filter.ORDER, url_filter._KNOWN + url_filter._OTHER
+    seen = {"allow": {}, "block": {}}
+    for _, kind, text, held in pages:
+        if kind and not held:
+            x = "^" * order + text
+            for i in range(order, len(x)):
+                for k in range(order + 1):
+                    after = seen[kind].setdefault(x[i - k : i], {})
+                    after[x[i]] = after.get(x[i], 0) + 1
+    n = lambda kind, context: sum(seen[kind].get(context, {}).values())
+    total = n("allow", "") + n("block", "")
+    kept = {c for kind in seen for c in seen[kind] if (n("allow", c) + n("block", c)) * url_filter.RARE >= total}
+
+    def p(kind, context, c):
+        shorter = p(kind, context[1:], c) if context else 1 / len(symbols)
+        own = seen[kind].get(context, {})
+        t = max(1, len(own))
+        return (own.get(c, 0) + t * shorter) / (sum(own.values()) + t)
+
+    for page, _, text, _ in pages[::7]:
+        x, score = "^" * order + text, 0.0
+        for i in range(order, len(x)):
+            context = next(x[i - k : i] for k in range(order, -1, -1) if x[i - k : i] in kept)
+            score += math.log(p("allow", context, x[i])) - math.log(p("block", context, x[i]))
+        assert abs(rows[page].score - score / len(text)) < 1e-5
+    assert any(len(c) == order for c in kept)
 
 
 def test_mixing(spark):

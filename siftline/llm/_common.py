@@ -17,15 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str, rows: int = 2000) -> DataFrame:
+def small_batches(spark: SparkSession, rows: int = 1000) -> str:
+    """From now on at most so many rows go to a Python worker at once, as texts may be long; what it was before."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(before))))
+    return before
+
+
+def staged(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost no recomputation.
 
-    ``rows``: at most so many go to a Python worker at once, as texts may be long. The tables go when the driver ends."""
+    ``rows`` go to a Python worker at once at most. The tables go when the driver ends."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(ARROW_ROWS)
+    before = small_batches(spark, rows)
     try:
-        spark.conf.set(ARROW_ROWS, str(min(rows, int(before))))
         df.write.parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, before)

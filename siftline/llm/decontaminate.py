@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _arrays as A
-from ._common import fresh, staged, table
+from ._common import fresh, small_batches, staged, table
 
 STRIDE = 32  # words; a passage is two strides
 RANK = 48
@@ -394,7 +394,10 @@ def searcher(docs: DataFrame, benchmark: DataFrame) -> Searcher | None:
 
 
 def _found(docs: DataFrame, search: Searcher | None, names: list[str]) -> DataFrame:
-    """``docs`` with struct columns filled from the search; the text is read as Arrow, the rest stays in place."""
+    """``docs`` with struct columns filled from the search; the text is read as Arrow, the rest stays in place.
+
+    It is computed when the result is used, so the session keeps the smaller batches."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("items array<long>, best double")
     def look(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

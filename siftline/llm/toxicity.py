@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import fresh, small_batches, table
 
 #: At most so many labelled rows are fitted to: those with the smallest hash of their id.
 MAX_TRAINING_ROWS = 6_000
@@ -239,7 +239,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column) -> list[tu
 
 
 def with_score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
-    """``docs`` with a score of each whole ``text``; the other columns stay as they are."""
+    """``docs`` with a score of each whole ``text``; the other columns stay as they are.
+
+    It is computed when the result is used, so the session keeps the smaller batches."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -260,8 +263,6 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is under ``threshold``, with their own columns only."""
-    from ._common import fresh
-
     (score,) = fresh(docs, "score")
     return with_score(docs, train(docs, labels), score).where(F.col(score) < threshold).drop(score)
 

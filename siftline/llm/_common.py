@@ -10,6 +10,7 @@ from siftline.sources.files import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SPLIT_ROWS = 1000  # a key with fewer rows isn't dealt to several tasks
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -43,6 +44,29 @@ def partitions(spark: SparkSession, n_bytes: int, per_task: int = 32 << 20) -> i
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per_task), 1)
 
 
+def hot(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key, salts): the keys of ``counts`` (key, n) with over ``SPLIT_ROWS`` and more than a partition's share of ``total`` rows, and over how many tasks they go.
+
+    There are fewer of them than shuffle partitions, so the driver may have them and broadcast them; None if there are none."""
+    spark = counts.sparkSession
+    parts = partitions(spark, 0)
+    few = counts.where((F.col("n") > SPLIT_ROWS) & (F.col("n") * parts > total)).select(key, "n").collect()
+    rows = [(k, min(-(-n // SPLIT_ROWS), -(-n * parts // total))) for k, n in few]
+    return spark.createDataFrame(rows, f"{key} {counts.schema[key].dataType.simpleString()}, salts int") if rows else None
+
+
+def spread(rows: DataFrame, side: DataFrame, key: str, by: list[str], salted: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` on ``key``; those of a hot key (``salted``) are dealt by the hash of ``by`` to tasks that all get its rows of ``side``."""
+    if salted is None:
+        return rows.join(side, key, how)
+    k, salts, salt = fresh(rows.select("*", *(F.lit(0).alias(c) for c in side.columns if c not in rows.columns)), "k", "salts", "salt")
+    few = F.broadcast(salted.select(F.col(key).alias(k), F.col("salts").alias(salts)))
+    n = F.coalesce(salts, F.lit(1))
+    dealt = rows.join(few, F.col(key) == F.col(k), "left").withColumn(salt, F.pmod(F.xxhash64(*by), n).cast("int")).drop(k, salts)
+    copies = side.join(few, F.col(key) == F.col(k), "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(k, salts)
+    return dealt.join(copies, [key, salt], how).drop(salt)
+
+
 def text_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 

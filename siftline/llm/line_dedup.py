@@ -4,10 +4,11 @@ What one aligned run can take away holds a shared block: the fewest lines in a r
 ``MIN_BLOCK_CHARS`` characters together. Every block links its texts to the first one that holds it (the
 smallest id), whatever its frequency. Lines that this leaves although earlier texts hold a block around them
 link their texts to the next holders, twice as many in each round, until every line is gone or has been
-aligned with all of these holders; the result is that of aligning all pairs. Linked texts are aligned with patience diff over line hashes: lines
-that occur once in both, in the longest increasing order, then the runs around them. An aligned run of
-lines with at least ``MIN_BLOCK_CHARS`` characters goes from the later text. Texts that equal an earlier one
-as a whole are settled before any alignment.
+aligned with all of these holders; the result is that of aligning all pairs. Linked texts are aligned with
+patience diff over line hashes: lines that occur once in both, in the longest increasing order, then the runs
+around them. An aligned run of lines with at least ``MIN_BLOCK_CHARS`` characters goes from the later text.
+Texts that equal an earlier one as a whole are settled before any alignment. Rows of a block, first holder or
+text that very many share are dealt to several tasks in every join, and numbered by ranges of ids.
 
 Defined cases: texts are compared with texts of smaller ids only, on the input as it is, so the first copy
 of a line always stays; rows without an id, null and empty texts stay as they are; rows of one id are
@@ -24,9 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh, staged, table
+from ._common import fresh, hot, spread, staged, table
 
 MIN_BLOCK_CHARS = 16
+RANGE = 1024  # holders of a block that are numbered together
 _BASE, _PRIME = 0x9E3779B97F4A7C15 % ((1 << 61) - 1), (1 << 61) - 1
 
 
@@ -116,8 +118,22 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _times(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("n"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """(h, rep, th, qs, place): the holders of each block numbered in the order of rep and th, from 1; each range of ids by itself, after all in lower ranges."""
+    share = F.expr(f"(rep - frep) / (last - frep + 1D) * (n div {RANGE} + 1)")
+    dealt = rows.select("h", "rep", "th", "qs", F.floor(share).alias("part"))
+    parts = dealt.groupBy("h", "part").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("h").orderBy("part")) - F.col("n")
+    order = F.row_number().over(Window.partitionBy("h", "part").orderBy("rep", "th"))
+    return dealt.join(parts.select("h", "part", below.alias("below")), ["h", "part"]).select("h", "rep", "th", "qs", (F.col("below") + order).alias("place"))
+
+
 def removals(docs: DataFrame, least: int = MIN_BLOCK_CHARS) -> DataFrame:
-    """For each text (``th``) that loses lines or has copies: ``rep``, its smallest id, and the lines ``gone``."""
+    """For each text (``th``) that loses lines or has copies: ``rep``, its smallest id, the number of ``copies`` and the lines ``gone``."""
     base = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null and text != ''")
     hashed = base.select("rep", F.md5("text").alias("th"), F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"), F.transform(_lines(F.col("text")), lambda x: F.length(F.trim(x))).alias("sz"))
     reps = staged(hashed.groupBy("th").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"), F.first("hs").alias("hs"), F.first("sz").alias("sz")), "line-texts")
@@ -134,9 +150,10 @@ def removals(docs: DataFrame, least: int = MIN_BLOCK_CHARS) -> DataFrame:
             yield out[out.g.str.len() > 0]
 
     def aligned(links: DataFrame) -> DataFrame:
+        links = staged(links.distinct(), "line-links")
         side = reps.select(F.col("th").alias("fth"), F.col("hs").alias("fhs"))
-        pairs = links.distinct().join(reps.select("th", "hs", "sz"), "th").join(side, "fth").select("th", "fhs", "hs", "sz")
-        return staged(pairs.mapInPandas(align, "th string, g array<int>"), "line-runs")
+        pairs = spread(links.join(reps.select("th", "hs", "sz"), "th"), side, "fth", ["th"], hot(_times(links, "fth"), "fth", links.count()))
+        return staged(pairs.select("th", "fhs", "hs", "sz").mapInPandas(align, "th string, g array<int>"), "line-runs")
 
     def together(runs: DataFrame) -> DataFrame:
         return runs.select("th", F.explode("g").alias("g")).distinct().groupBy("th").agg(F.collect_list("g").alias("gone"))
@@ -145,30 +162,35 @@ def removals(docs: DataFrame, least: int = MIN_BLOCK_CHARS) -> DataFrame:
         return rows.join(together(runs), "th", "left").where("gone is null or size(array_except(qs, gone)) > 0").drop("gone")
 
     held = reps.select("rep", "th", "hs", "sz").mapInPandas(cut, "h long, rep long, th string, qs array<int>")
-    first = held.groupBy("h").agg(F.min(F.struct("rep", "th")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    shared = staged(held.join(first, "h").select("h", "rep", "th", "qs", "n", F.col("f.rep").alias("frep"), F.col("f.th").alias("fth")), "line-blocks")
+    first = held.groupBy("h").agg(F.min(F.struct("rep", "th")).alias("f"), F.max("rep").alias("last"), F.count("*").alias("n")).where("n > 1")
+    first = staged(first.select("h", "n", "last", F.col("f.rep").alias("frep"), F.col("f.th").alias("fth")), "line-firsts")
+    salted = hot(first, "h", first.agg(F.sum("n")).first()[0] or 0)
+    shared = staged(spread(held, first, "h", ["th"], salted), "line-blocks")
     runs = aligned(shared.where("frep < rep").select("th", "fth"))
     some = staged(still(shared.where("frep < rep and n > 2"), runs).select("h").distinct(), "line-blocks-left")
-    order = F.row_number().over(Window.partitionBy("h").orderBy("rep", "th"))
-    ranked = staged(shared.join(some, "h", "left_semi").select("h", "rep", "th", "qs", order.alias("place")), "line-holders")
+    ranked = staged(_placed(spread(shared, some, "h", ["th"], salted)), "line-holders")
     done, step = 1, 1
     left = staged(still(ranked.where(F.col("place") > 2), runs), "line-left")
     while not left.isEmpty():
         holders = ranked.where(F.col("place").between(done + 1, done + step)).select("h", F.col("rep").alias("frep"), F.col("th").alias("fth"))
-        runs = runs.union(aligned(left.join(holders, "h").where("frep < rep").select("th", "fth")))
+        links = spread(left, holders, "h", ["th"], hot(_times(left, "h"), "h", left.count()))
+        runs = runs.union(aligned(links.where("frep < rep").select("th", "fth")))
         done, step = done + step, 2 * step
         left = staged(still(left.where(F.col("place") > done + 1), runs), "line-left")
     gone = together(runs)
-    return reps.select("th", "rep", "copies").join(gone, "th", "left").where("copies > 1 or gone is not null").drop("copies")
+    return staged(reps.select("th", "rep", "copies").join(gone, "th", "left").where("copies > 1 or gone is not null"), "line-removals")
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK_CHARS) -> DataFrame:
     """``docs`` with ``text`` freed of repeated lines, and the counts ``n_lines`` and ``n_removed`` (in place of columns of these names)."""
     docs = docs.drop("n_lines", "n_removed")
     th, rep, gone, later, kept = fresh(docs, "th", "rep", "gone", "later", "kept")
-    found = removals(docs, least).select(F.col("th").alias(th), F.col("rep").alias(rep), F.col("gone").alias(gone))
+    found = removals(docs, least)
+    salted = hot(found.select(F.col("th").alias(th), F.col("copies").alias("n")), th, found.agg(F.sum("copies")).first()[0] or 0)
+    found = found.select(F.col("th").alias(th), F.col("rep").alias(rep), F.col("gone").alias(gone))
     judged = F.coalesce((F.col("text") != "") & F.col("doc_id").isNotNull(), F.lit(False))
-    out = docs.withColumn(th, F.when(judged, F.md5("text"))).join(found, th, "left")
+    other = F.concat(F.lit("-"), F.xxhash64("doc_id", "text").cast("string"))  # met by nothing, and by different tasks
+    out = spread(docs.withColumn(th, F.when(judged, F.md5("text")).otherwise(other)), found, th, ["doc_id", "text"], salted, "left")
     n = F.when(F.col("text") != "", F.size(_lines(F.col("text")))).otherwise(0)
     out = out.withColumn(later, F.coalesce(F.col("doc_id").cast("long") > F.col(rep), F.lit(False)))
     left = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains(F.coalesce(F.col(gone), F.array().cast("array<int>")), i))

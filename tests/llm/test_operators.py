@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm import _arrays, chat, decontaminate, line_dedup, mixing, multi_index, ngram_join, secrets, suffix_dedup, toxicity, url_filter
+from siftline.llm import _arrays, _common, chat, decontaminate, line_dedup, mixing, multi_index, ngram_join, secrets, suffix_dedup, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, th string"
 SF = "/root/testdata/sf0.001"
@@ -104,6 +104,27 @@ def test_line_dedup(spark):
     assert clash.columns.count("n_removed") == 1 and sorted(r.n_removed for r in clash.collect()) == sorted(r[2] for r in got)
 
 
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(_common, "SPLIT_ROWS", 20)
+    rows = spark.createDataFrame([(1, i) for i in range(90)] + [(None, i) for i in range(9)] + [(i, i) for i in range(2, 12)], "k long, v long")
+    side = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (99, "d")], "k long, salt string")
+    counts = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    salted = _common.hot(counts, "k", 100)
+    assert _common.hot(counts.where("k > 1"), "k", 100) is None
+    assert [r.k for r in salted.collect()] == [1] and salted.first().salts > 1
+    for how in ("inner", "left"):
+        got, want = _common.spread(rows, side, "k", ["v"], salted, how), rows.join(side, "k", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_holders_are_numbered_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RANGE", 3)
+    ids = [1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 500, 1000]
+    rows = [(7, r, f"t{p:02}", [0], len(ids), 1000, 1) for p, r in enumerate(ids)] + [(8, 5, "x", [0], 1, 5, 5)]
+    rows = spark.createDataFrame(rows, "h long, rep long, th string, qs array<int>, n long, last long, frep long")
+    assert sorted((r.h, r.th, r.place) for r in line_dedup._placed(rows).collect()) == [(7, f"t{p:02}", p + 1) for p in range(len(ids))] + [(8, "x", 1)]
+
+
 def test_line_dedup_aligns_all_earlier_holders(spark):
     rng = random.Random(12)
     lines = [*(words(6, 700 + i) for i in range(25)), *(words(1, 740 + i) for i in range(25)), ""]

@@ -1,8 +1,15 @@
-"""The inverted index: chunks with their terms, postings, and segments of both in a folder.
+"""The inverted index: numbered chunks, blocks of postings, and a term dictionary, in segments of a folder.
 
-Text is cut into terms once, when a chunk is written; postings and statistics come from the terms. A folder holds
-segments (a table of chunks, one of postings by buckets of terms) and manifests, small JSON files of which the
-latest one counts: it names the segments, the files of them that are gone, and the totals that scores need.
+Text is cut into terms once, when a chunk is written. A segment numbers its chunks (the writing task in the high
+bits, then shorter chunks first) and has
+
+- ``chunks``, a folder a task, rows in the order of numbers: a few of them are read without touching the rest,
+- ``blocks``, in buckets of terms: a term's postings in one range of ``RANGE`` numbers, with the peaks of frequency
+  and length that bound the score of any chunk in it,
+- ``terms``, sorted: what a search needs to know of a term before it reads a block.
+
+Manifests are small JSON files of which the latest one counts: it names the segments, the tables of what is gone
+from them (a mask of bits for each range, and what that takes from the dictionary), and the totals of scores.
 """
 
 from __future__ import annotations
@@ -12,17 +19,24 @@ import time
 import zlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.config import DEFAULT, Settings
 from siftline.functions import tokenize as tk
+from siftline.sources.files import scratch
 
-BUCKET_ROWS = 1 << 20  # postings of a bucket
+RANGE = 64  # chunks of a range, and bits of its mask
+TASK_BITS = 33  # numbers that one writing task may give
+BUCKET_ROWS = 1 << 20  # terms of chunks that a bucket has
+TASK_ROWS = 4 * BUCKET_ROWS  # and those that one task writes
 MAX_BUCKETS = 4096
-CHUNKS = "chunk_id string, filepath string, start_line int, end_line int, raw_snippet string, dl int, path_terms array<string>, body_terms array<string>"
-POSTINGS = "term string, chunk_id string, col int, positions array<int>, dl int, bucket int"
+CHUNKS = "no long, chunk_id string, filepath string, start_line int, end_line int, raw_snippet string, dl int, path_terms array<string>, body_terms array<string>"
+BLOCKS = "term string, range long, n int, times long, peaks array<struct<tf:double,dl:int>>, docs array<struct<at:int,dl:int,p:int,b:int>>, places array<struct<p:array<int>,b:array<int>>>"
+TERMS = "term string, df long, times long, blocks long"
 FILES = "filepath string, mtime double, file_hash string"
-DEAD = "segment string, filepath string"
+DEAD = "segment string, range long, mask long"
+GONE = "segment string, term string, df long, times long"
 SHOWN = ["chunk_id", "filepath", "start_line", "end_line", "raw_snippet"]
 
 
@@ -47,12 +61,57 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("dl", F.size("path_terms") + F.size("body_terms"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, col, dl, positions); col 0 is the path and 1 the body. A chunk's positions of a term meet before the shuffle."""
-    chunks = chunks if "dl" in chunks.columns else lengths(chunks)
-    part = chunks.select("chunk_id", "dl", F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("path_terms").alias("t")), F.struct(F.lit(1).alias("col"), F.col("body_terms").alias("t")))).alias("x"))
-    each = part.select("chunk_id", "dl", "x.col", F.posexplode("x.t").alias("pos", "term"))
-    return each.groupBy("term", "chunk_id", "col", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def range_of(no: Column) -> Column:
+    return F.shiftright(no, RANGE.bit_length() - 1)
+
+
+def place_of(no: Column) -> Column:
+    """A number's place in its range."""
+    return no.bitwiseAND(RANGE - 1).cast("int")
+
+
+def bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> DataFrame:
+    """Number chunks, which get terms if they have none, and write them; the table. A task's shorter chunks come first, so that ranges hold chunks of like length."""
+    cut = chunks if "body_terms" in chunks.columns else lengths(with_terms(with_ids(chunks)))
+    dealt = cut.withColumn("task", F.spark_partition_id()).sortWithinPartitions("task", "dl", "chunk_id").withColumn("no", F.monotonically_increasing_id())
+    dealt.select("task", *(f.split(" ")[0] for f in CHUNKS.split(", "))).write.partitionBy("task").parquet(path)
+    return chunks.sparkSession.read.schema(f"{CHUNKS}, task int").parquet(path)
+
+
+def occurrences(chunks: DataFrame) -> DataFrame:
+    """(term, no, dl, place, in_path): every term of every chunk."""
+    at_body = F.size("path_terms")
+    each = chunks.select("no", "dl", at_body.alias("first"), F.posexplode(F.concat("path_terms", "body_terms")).alias("pos", "term"))
+    in_path = F.col("pos") < F.col("first")
+    return each.select("term", "no", "dl", F.when(in_path, F.col("pos")).otherwise(F.col("pos") - F.col("first")).alias("place"), in_path.alias("in_path"))
+
+
+def _peaks(docs: Column, settings: Settings) -> Column:
+    """The (tf, dl) of which one isn't below another in frequency and above it in length: the score's bound for any constants, as chunks are in the order of their length."""
+    empty = F.array().cast("array<struct<tf:double,dl:int>>")
+    weighed = F.transform(docs, lambda d: F.struct((settings.path_weight * d.p + settings.body_weight * d.b).cast("double").alias("tf"), d.dl.alias("dl")))
+    return F.aggregate(weighed, empty, lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1).tf >= x.tf), acc).otherwise(F.concat(acc, F.array(x))))
+
+
+def blocks(found: DataFrame, keys: tuple[str, ...] = (), settings: Settings = DEFAULT) -> DataFrame:
+    """The blocks of occurrences: terms' postings by range; ``keys`` are further columns that stay, on which rows are dealt."""
+    places = lambda where: F.sort_array(F.collect_list(F.when(where, F.col("place"))))
+    by_chunk = found.groupBy(*keys, "term", "no", "dl").agg(places(F.col("in_path")).alias("p"), places(~F.col("in_path")).alias("b"))
+    one = F.struct(place_of(F.col("no")).alias("at"), "dl", "p", "b")
+    by_range = by_chunk.groupBy(*keys, "term", range_of(F.col("no")).alias("range")).agg(F.sort_array(F.collect_list(one)).alias("x"))
+    docs = F.transform("x", lambda d: F.struct(d.at.alias("at"), d.dl.alias("dl"), F.size(d.p).alias("p"), F.size(d.b).alias("b")))
+    out = by_range.select(*keys, "term", "range", docs.alias("docs"), F.transform("x", lambda d: F.struct(d.p.alias("p"), d.b.alias("b"))).alias("places"))
+    times = F.aggregate("docs", F.lit(0).cast("long"), lambda a, d: a + d.p + d.b)
+    return out.select(*keys, "term", "range", F.size("docs").alias("n"), times.alias("times"), _peaks(F.col("docs"), settings).alias("peaks"), "docs", "places")
+
+
+def dictionary(of: DataFrame) -> DataFrame:
+    """(term, df, times, blocks) of blocks."""
+    return of.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum("times").alias("times"), F.count("*").alias("blocks"))
 
 
 def bucket_of(term: str, n: int) -> int:
@@ -61,44 +120,82 @@ def bucket_of(term: str, n: int) -> int:
 
 @dataclass
 class Index:
-    """What a search reads: ``chunks`` to show, ``postings``, and the totals; ``buckets`` by segment for stored postings."""
+    """What a search reads. A stored one has a folder and a manifest; one that isn't has a ``table`` of chunks with terms, whose blocks are made for the terms that are asked."""
 
-    chunks: DataFrame
-    postings: DataFrame
+    spark: SparkSession
     n_chunks: int
     avg_length: float
-    buckets: dict[str, int] = field(default_factory=dict)
+    table: DataFrame | None = None
+    folder: str = ""
+    at: Manifest | None = None
 
     @classmethod
     def of(cls, chunks: DataFrame) -> Index:
-        """An index that isn't stored: the chunks' terms are found again by each query."""
-        terms = lengths(with_terms(with_ids(chunks)))
-        stats = terms.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
-        return cls(terms.select(*SHOWN), postings(terms), stats.n, stats.avg or 0.0)
+        """An index that isn't stored: chunks are cut into terms once, into a table that goes with the driver."""
+        table = write_chunks(chunks, scratch(chunks.sparkSession, "index-chunks"))
+        stats = table.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
+        return cls(chunks.sparkSession, stats.n, stats.avg or 0.0, table)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, at: Manifest | None = None) -> Index:
         at = at or Manifest.latest(spark, folder)
-        parts = list(at.segments)
-        chunks, posted = (None if not parts else segment_rows(spark, folder, at, kind) for kind in ("chunks", "postings"))
-        if chunks is None:
-            chunks, posted = (spark.createDataFrame([], f"{s}, segment string") for s in (CHUNKS, POSTINGS))
-        return cls(chunks.select(*SHOWN), posted, at.n_chunks, at.total_length / at.n_chunks if at.n_chunks else 0.0, {s: x["buckets"] for s, x in at.segments.items()})
-
-    def terms(self, wanted: list[str]) -> DataFrame:
-        """The postings of some terms; a stored index reads their buckets only."""
-        out = self.postings.where(F.col("term").isin(wanted))
-        if self.buckets:
-            own = [(F.col("segment") == s) & F.col("bucket").isin(sorted({bucket_of(t, n) for t in wanted})) for s, n in self.buckets.items()]
-            any_ = own[0]
-            for x in own[1:]:
-                any_ = any_ | x
-            out = out.where(any_)
-        return out
+        return cls(spark, at.n_chunks, at.total_length / at.n_chunks if at.n_chunks else 0.0, None, folder, at)
+
+    def chunks(self) -> DataFrame:
+        """All live chunks (segment, no, ...)."""
+        return self.table.withColumn("segment", F.lit("")).drop("task") if self.at is None else live_chunks(self.spark, self.folder, self.at)
+
+    def terms(self) -> DataFrame:
+        """(segment, term, df, times, blocks): the dictionary, without what is gone."""
+        if self.at is None:
+            words = occurrences(self.table).groupBy("term", "no").agg(F.count("*").alias("times"))
+            by_range = words.groupBy("term", range_of(F.col("no")).alias("range")).agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+            return dictionary(by_range).withColumn("segment", F.lit(""))
+        out = _union(self.spark, self.folder, self.at, "terms", f"{TERMS}, segment string")
+        if not self.at.gone:
+            return out
+        less = self.spark.read.schema(GONE).parquet(f"{self.folder}/{self.at.gone}").select("term", (-F.col("df")).alias("df"), (-F.col("times")).alias("times"), F.lit(0).cast("long").alias("blocks"), "segment")
+        sums = out.select("term", "df", "times", "blocks", "segment").union(less).groupBy("segment", "term").agg(*(F.sum(c).alias(c) for c in ("df", "times", "blocks")))
+        return sums.where("df > 0")
+
+    def look_up(self, wanted: list[str], settings: Settings = DEFAULT) -> tuple[list, DataFrame]:
+        """The dictionary's rows of some terms, and their blocks with the ``segment`` they are of; other buckets aren't read."""
+        schema = f"{BLOCKS}, segment string"
+        if self.at is None:
+            path = scratch(self.spark, "index-blocks")
+            own = self.table.where(F.arrays_overlap(F.concat("path_terms", "body_terms"), F.array(*map(F.lit, wanted)))) if wanted else self.table.limit(0)
+            blocks(occurrences(own).where(F.col("term").isin(wanted)), settings=settings).withColumn("segment", F.lit("")).write.parquet(path)
+            made = self.spark.read.schema(schema).parquet(path)
+            return dictionary(made).withColumn("segment", F.lit("")).collect(), made
+        rows = self.terms().where(F.col("term").isin(wanted)).collect() if wanted and self.at.segments else []
+        out = None
+        for name, about in self.at.segments.items():
+            own = sorted(r.term for r in rows if r.segment == name)
+            if own:
+                paths = [f"{self.folder}/{name}/blocks/bucket={b}" for b in sorted({bucket_of(t, about["buckets"]) for t in own})]
+                one = self.spark.read.schema(BLOCKS).parquet(*paths).where(F.col("term").isin(own)).withColumn("segment", F.lit(name))
+                out = one if out is None else out.unionByName(one)
+        return rows, out if out is not None else self.spark.createDataFrame([], schema)
+
+    def masks(self) -> DataFrame | None:
+        """(segment, range, mask): the chunks that are gone; None if there are none."""
+        return self.spark.read.schema(DEAD).parquet(f"{self.folder}/{self.at.dead}") if self.at and self.at.dead else None
+
+    def fetch(self, numbers: dict[str, list[int]]) -> DataFrame:
+        """Some chunks, by segment and number; only the folders of the tasks that wrote them are read, and of these the pages that have the numbers."""
+        out = None
+        for name, wanted in numbers.items():
+            if self.at is None:
+                one = self.table.where(F.col("task").isin(sorted({n >> TASK_BITS for n in wanted}))).drop("task")
+            else:
+                one = self.spark.read.schema(CHUNKS).parquet(*(f"{self.folder}/{name}/chunks/task={t}" for t in sorted({n >> TASK_BITS for n in wanted})))
+            one = one.where(F.col("no").isin(wanted)).withColumn("segment", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+        return out if out is not None else self.spark.createDataFrame([], f"{CHUNKS}, segment string")
 
     def write(self, folder: str, state: dict | None = None) -> str:
         """A folder's first or next generation, with these chunks and no others."""
-        return replace(self.chunks, folder, state)
+        return replace(self.chunks().drop("segment", "no"), folder, state)
 
 
 # Files of a folder, in any file system that Spark writes to --------------------------------------------------
@@ -127,8 +224,9 @@ def remove(spark: SparkSession, path: str) -> None:
 @dataclass
 class Manifest:
     generation: int = 0
-    segments: dict[str, dict] = field(default_factory=dict)  # name: {"buckets"}
-    dead: str | None = None  # the table of files that are gone from a segment
+    segments: dict[str, dict] = field(default_factory=dict)  # name: {"buckets", "n": chunks written, "gone": those no longer there}
+    dead: str | None = None  # the table of masks of chunks that are gone
+    gone: str | None = None  # what these take from the dictionary
     files: str | None = None  # the table of file metadata
     n_chunks: int = 0
     total_length: int = 0
@@ -162,9 +260,9 @@ class Manifest:
             raise RuntimeError(f"another writer has published generation {self.generation} of {folder}")
         every = names(spark, folder)
         kept = [x for x in every if x.startswith("manifest-")][-2:]
-        used = {t for m in (Manifest.read(spark, f"{folder}/{x}") for x in kept) for t in [*m.segments, m.dead, m.files] if t}
+        used = {t for m in (Manifest.read(spark, f"{folder}/{x}") for x in kept) for t in [*m.segments, m.dead, m.gone, m.files] if t}
         for name in every:
-            if name not in kept and name not in used and name.split("-")[0] in ("manifest", "segment", "dead", "files"):
+            if name not in kept and name not in used and name.split("-")[0] in ("manifest", "segment", "dead", "gone", "files"):
                 remove(spark, f"{folder}/{name}")
 
 
@@ -172,35 +270,47 @@ def has_index(spark: SparkSession, folder: str) -> bool:
     return any(x.startswith("manifest-") for x in names(spark, folder))
 
 
-def segment_rows(spark: SparkSession, folder: str, at: Manifest, kind: str) -> DataFrame:
-    """The chunks or postings of all segments, without files that are gone."""
-    schema = {"chunks": CHUNKS, "postings": POSTINGS}[kind]
+def _union(spark: SparkSession, folder: str, at: Manifest, kind: str, schema: str, only: list[str] | None = None) -> DataFrame:
+    """One table of several segments, with the ``segment`` of each row."""
     out = None
-    for s in at.segments:
-        one = spark.read.schema(schema).parquet(f"{folder}/{s}/{kind}").withColumn("segment", F.lit(s))
+    for s in at.segments if only is None else only:
+        one = spark.read.schema(schema.replace(", segment string", "")).parquet(f"{folder}/{s}/{kind}").withColumn("segment", F.lit(s))
         out = one if out is None else out.unionByName(one)
-    if at.dead:
-        gone = spark.read.schema(DEAD).parquet(f"{folder}/{at.dead}")
-        if kind == "postings":
-            out = out.withColumn("filepath", F.regexp_replace("chunk_id", "#[0-9]{9,}$", "")).join(gone, ["segment", "filepath"], "left_anti").drop("filepath")
-        else:
-            out = out.join(gone, ["segment", "filepath"], "left_anti")
-    return out
+    return out if out is not None else spark.createDataFrame([], schema)
+
 
+def live_chunks(spark: SparkSession, folder: str, at: Manifest, only: list[str] | None = None) -> DataFrame:
+    """The chunks of all segments, or of some, that aren't gone."""
+    out = _union(spark, folder, at, "chunks", f"{CHUNKS}, segment string", only)
+    if not at.dead:
+        return out
+    masks = spark.read.schema(DEAD).parquet(f"{folder}/{at.dead}")
+    held = out.withColumn("range", range_of(F.col("no"))).join(masks, ["segment", "range"], "left")
+    gone = F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(bit(place_of(F.col("no")))) != 0
+    return held.where(~gone).drop("range", "mask")
 
-def write_segment(chunks: DataFrame, folder: str) -> tuple[str, dict, int, int]:
+
+def write_segment(chunks: DataFrame, folder: str, settings: Settings = DEFAULT) -> tuple[str, dict, int, int]:
     """A new segment of chunks, which get terms if they have none: its name, what the manifest says of it, chunks and total length."""
     spark, name = chunks.sparkSession, f"segment-{time.time_ns()}"
-    cut = chunks if "body_terms" in chunks.columns else lengths(with_terms(with_ids(chunks)))
-    cut.select(*(f.split(" ")[0] for f in CHUNKS.split(", "))).write.parquet(f"{folder}/{name}/chunks")
-    stored = spark.read.schema(CHUNKS).parquet(f"{folder}/{name}/chunks")
-    n, total, bodies = stored.agg(F.count("*"), F.sum("dl"), F.sum(F.size("body_terms"))).first()
-    buckets = min(MAX_BUCKETS, max(8, (bodies or 0) // BUCKET_ROWS))
-    salts = 1 + (bodies or 0) // buckets // (4 * BUCKET_ROWS)  # files of a bucket: more where few buckets hold very much
+    stored = write_chunks(chunks, f"{folder}/{name}/chunks")
+    n, total = stored.agg(F.count("*"), F.sum("dl")).first()
+    total = total or 0
+    buckets = min(MAX_BUCKETS, max(8, total // BUCKET_ROWS))
     bucket = F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")
-    dealt = postings(spread(stored)).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
-    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/postings")
-    return name, {"buckets": buckets}, n, total or 0
+    found = occurrences(stored).withColumn("bucket", bucket)
+    salts = F.lit(1)
+    if total > TASK_ROWS:  # one task might get too much; a row for each bucket tells which are to be dealt to several
+        sizes = found.groupBy("bucket").count().where(F.col("count") > TASK_ROWS).collect()
+        large = {r.bucket: -(-r["count"] // TASK_ROWS) for r in sizes}
+        if large:
+            salts = F.coalesce(F.create_map(*(F.lit(x) for kv in large.items() for x in kv))[F.col("bucket")], F.lit(1))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
+    dealt = found.withColumn("salt", F.pmod(range_of(F.col("no")), salts).cast("int")).repartition(tasks, "bucket", "salt")
+    made = blocks(dealt, ("bucket", "salt"), settings).drop("salt").sortWithinPartitions("bucket", "term", "range")
+    made.write.partitionBy("bucket").parquet(f"{folder}/{name}/blocks")
+    dictionary(spark.read.schema(BLOCKS).parquet(f"{folder}/{name}/blocks").select("term", "n", "times")).sort("term").write.parquet(f"{folder}/{name}/terms")
+    return name, {"buckets": buckets, "n": n, "gone": 0, "weights": [settings.path_weight, settings.body_weight]}, n, total
 
 
 def replace(chunks: DataFrame, folder: str, state: dict | None = None, files: DataFrame | None = None) -> str:
@@ -208,7 +318,7 @@ def replace(chunks: DataFrame, folder: str, state: dict | None = None, files: Da
     spark = chunks.sparkSession
     at = Manifest.latest(spark, folder) if has_index(spark, folder) else Manifest()
     name, about, n, total = write_segment(chunks, folder)
-    Manifest(at.generation, {name: about}, None, write_table(files, folder, "files") if files is not None else None, n, total, state or {}).publish(spark, folder)
+    Manifest(at.generation, {name: about}, files=write_table(files, folder, "files") if files is not None else None, n_chunks=n, total_length=total, state=state or {}).publish(spark, folder)
     return name
 
 

@@ -12,7 +12,7 @@ from siftline.functions import text as tx
 from siftline.functions import tokenize as tk
 from siftline.operators import post, rank
 from siftline.operators.chunk import chunks
-from siftline.operators.index import Index, postings, with_ids, with_terms
+from siftline.operators.index import Index, with_ids, with_terms
 from siftline.operators.render import render
 from siftline.serving.service import find
 from siftline.sources.files import name_status, scratch
@@ -178,7 +178,7 @@ def _doc_terms(spark, sf_dir):
 
 @query(f"WITH {_whole('docs')}, {_terms_sql()}, t AS (SELECT DISTINCT filepath, unnest(list_concat(p, b)) AS term FROM terms) SELECT term, count(*) AS df FROM t GROUP BY term")
 def q11_term_df(spark, sf_dir):
-    return postings(_doc_terms(spark, sf_dir)).groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
+    return _index(spark, sf_dir, "docs").terms().select("term", "df")
 
 
 @query(f"WITH {_whole('docs')}, {_terms_sql()} SELECT count(*) AS n_chunks, round(avg(len(p) + len(b)), 6) AS avg_length FROM terms")
@@ -309,7 +309,7 @@ def q34_synced_search(spark, sf_dir):
 
 @query(f"WITH {_SNAP}, {_terms_sql()}, t AS (SELECT filepath, start_line, 0 AS col, unnest(p) AS term FROM terms UNION ALL SELECT filepath, start_line, 1 AS col, unnest(b) AS term FROM terms) SELECT term, count(*) AS times, count(DISTINCT filepath || '#' || start_line) AS df FROM t GROUP BY term")
 def q35_synced_postings(spark, sf_dir):
-    return _synced(spark, sf_dir).index().postings.groupBy("term").agg(F.sum(F.size("positions")).alias("times"), F.countDistinct("chunk_id").alias("df"))
+    return _synced(spark, sf_dir).index().terms().groupBy("term").agg(F.sum("times").alias("times"), F.sum("df").alias("df"))
 
 
 @query(f"""WITH {_SNAP}, {_terms_sql()}, n AS (SELECT filepath, count(*) AS n_chunks, sum(len(p) + len(b))::BIGINT AS total_length FROM terms GROUP BY filepath)

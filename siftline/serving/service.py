@@ -153,6 +153,8 @@ def places(root: str, db: str | None) -> tuple[str, str]:
     """The tree and the index folder that the options mean: a folder without a tree stands in its tree."""
     if db and root == "." and os.path.isdir(parent := os.path.dirname(os.path.abspath(db))):
         root = parent
+    if "://" in root:
+        return root, f"file://{os.path.abspath(db)}" if db and "://" not in db else db or f"{root.rstrip('/')}/.siftline"
     root = os.path.abspath(root)
     return root, f"file://{os.path.abspath(db)}" if db and "://" not in db else db or f"file://{root}/.siftline"
 

@@ -1,10 +1,7 @@
-"""Files as tables. Paths come from git or a directory walk on the driver; contents are read by the executors."""
+"""Files as tables: which ones count, what git tells of them, and their texts."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-import re
 import subprocess
 import tempfile
 import uuid
@@ -16,7 +13,9 @@ from pyspark.sql import functions as F
 from siftline.config import EXTENSIONS
 from siftline.functions.text import decoded, matches_extension
 
-SKIPPED = (".git", "__pycache__", "node_modules")
+from .listing import contents, listing, local_path
+
+FILES = "filepath string, mtime double, file_hash string, text string"
 
 
 _scratch: str | None = None
@@ -62,64 +61,32 @@ def git_files(root: str) -> list[str]:
     return [n for n in names if (Path(root) / n).is_file()]
 
 
-def walked_files(root: str) -> list[str]:
-    out = []
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = [d for d in dirs if d not in SKIPPED]
-        out += [Path(folder, n).relative_to(root).as_posix() for n in names]
-    return sorted(out)
-
-
 def matches(path: str, extensions: tuple[str, ...] | None = None) -> bool:
     name = path.rsplit("/", 1)[-1].lower()
     endings = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in (EXTENSIONS if extensions is None else extensions)]
     return any(name.endswith(e) and len(name) > len(e) for e in endings)
 
 
-def collect_files(root: str, extensions: tuple[str, ...] | None = None) -> list[str]:
-    found = git_files(root) if is_git_repo(root) else walked_files(root)
-    return sorted(p for p in found if matches(p, extensions))
+def tree_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """(filepath, mtime, size) of the files that count: all of a tree, or those that git knows where it is one of git's."""
+    found = listing(spark, root).where(matches_extension(F.col("filepath"), extensions))
+    at = local_path(root)
+    if at is None or not is_git_repo(at):
+        return found
+    known = [(p,) for p in git_files(at) if matches(p, extensions)]  # git's own list, of a clone that the driver has
+    return found.join(spark.createDataFrame(known, "filepath string"), "filepath", "left_semi")
 
 
-def mtime(root: str, path: str) -> float | None:
-    """A file's time in whole milliseconds, as Spark has it; None if it is gone."""
-    try:
-        return (Path(root) / path).stat().st_mtime_ns // 1_000_000 / 1000
-    except OSError:
-        return None
+def collect_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None) -> list[str]:
+    return sorted(r.filepath for r in tree_files(spark, root, extensions).select("filepath").collect())
 
 
-def _plain(path: str) -> str:
-    """A path as a pattern that only it matches."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
-
-
-def read_files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """(filepath, mtime, file_hash, text) of files under ``root``: all indexable ones, or those in ``paths`` that are there.
-
-    A root with a scheme (``hdfs://...``) is listed by Spark, a local one by the driver."""
-    local = "://" not in root
-    base = f"file://{Path(root).resolve().as_posix()}" if local else root.rstrip("/")
-    schema = "filepath string, mtime double, file_hash string, text string"
-    empty: list[tuple] = []
-    if local:
-        paths = [p for p in walked_files(root) if matches(p)] if paths is None else [p for p in paths if (Path(root) / p).is_file()]
-        # Spark gives no rows for files without bytes
-        empty = [(p, mtime(root, p), hashlib.sha256().hexdigest(), "") for p in paths if not (Path(root) / p).stat().st_size]
-        paths = sorted({*paths} - {p for p, *_ in empty})
-    none = spark.createDataFrame(empty, schema)
-    if paths is not None and not paths:
-        return none
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    raw = reader.load([_plain(f"{base}/{p}") for p in paths] if paths else _plain(base))
-    # paths come as URIs; cut by length, as a root may hold any characters
-    uri = F.regexp_replace("path", "^file:/*", "file:///")
-    out = raw.select(uri.substr(F.lit(len(base) + 2), F.length("path") + 2).alias("filepath"), F.unix_millis("modificationTime").cast("double").alias("ms"), "content")
-    if paths is None:
-        skipped = "|".join(s.replace(".", r"\.") for s in SKIPPED)
-        out = out.where(matches_extension(F.col("filepath")) & ~F.col("filepath").rlike(f"(^|/)({skipped})/"))
-    out = out.select("filepath", (F.col("ms") / 1000).alias("mtime"), F.sha2("content", 256).alias("file_hash"), decoded(F.col("content")).alias("text"))
-    return out.union(none) if empty else out
+def read_files(spark: SparkSession, root: str, paths: list[str] | DataFrame | None = None) -> DataFrame:
+    """(filepath, mtime, file_hash, text) of files under ``root``: all indexable ones, or those in ``paths`` that are there."""
+    if isinstance(paths, list):
+        paths = spark.createDataFrame([(p,) for p in paths], "filepath string")
+    raw = contents(tree_files(spark, root) if paths is None else paths, root)
+    return raw.select("filepath", "mtime", F.sha2("content", 256).alias("file_hash"), decoded(F.col("content")).alias("text"))
 
 
 def name_status(lines: DataFrame) -> DataFrame:

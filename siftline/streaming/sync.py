@@ -1,13 +1,16 @@
 """Keeping an index in step with its files: snapshots are compared in one outer join, changed files redone.
 
-A sync compares modification times first and reads only files that are new, touched or named by git. What has
-changed becomes a new segment, the old rows are listed as gone, and the manifest that says so is published last;
-after ``MAX_SEGMENTS`` of them, or when gone chunks outnumber the others, the chunks that are left are written as one.
+A sync lists the tree by tasks, compares modification times first, and reads only files that are new, touched or
+named by git; names and contents stay with the executors. What has changed becomes a new segment, chunks that are
+gone become bits of their ranges' masks and are taken from the dictionary, and the manifest that says so is published
+last. Segments of like size are merged ``FAN_IN`` at a time, so that a chunk is written anew once for each time its
+segment grows by that factor; a segment of which half is gone is written anew, one of which all is gone is dropped.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
+import dataclasses
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +20,10 @@ from siftline.operators import index as ix
 from siftline.operators import rank
 from siftline.operators.chunk import chunks
 from siftline.sources import files as src
+from siftline.sources.listing import local_path
 
-MAX_SEGMENTS = 8
+FAN_IN = 4
+REPORTED = 1000  # paths that a report names; its counts are of all
 HEAD = "last_commit_hash"
 
 
@@ -52,6 +57,15 @@ def resynced(old: DataFrame, diff: DataFrame, current: DataFrame, settings: Sett
     return purged(old, stale).unionByName(chunks(current.join(redo, "filepath", "left_semi"), settings).select(*old.columns))
 
 
+def _named(files: DataFrame) -> list[str]:
+    """The first ``REPORTED`` paths, for a report."""
+    return [r.filepath for r in files.select("filepath").orderBy("filepath").limit(REPORTED).collect()]
+
+
+class EmptyTree(RuntimeError):
+    """A tree that was indexed lists no files."""
+
+
 class Store:
     """An index folder of a file tree.
 
@@ -84,8 +98,7 @@ class Store:
         return rank.search(self.index(), {0: query}, top_k, mode, diversify, self.settings)
 
     def chunks(self) -> DataFrame:
-        at = self.manifest()
-        return ix.segment_rows(self.spark, self.folder, at, "chunks") if at.segments else self.spark.createDataFrame([], f"{ix.CHUNKS}, segment string")
+        return ix.live_chunks(self.spark, self.folder, self.manifest())
 
     def metadata(self) -> DataFrame:
         """(filepath, mtime, file_hash) of the files that are indexed, those without chunks too."""
@@ -106,12 +119,13 @@ class Store:
         return self.manifest().state.get(key)
 
     def head(self) -> str | None:
-        return src.head_commit(self.root)
+        at = local_path(self.root)
+        return src.head_commit(at) if at else None
 
     def tables(self) -> list[str]:
         """The tables of the latest generation."""
         at = self.manifest()
-        return sorted([f"{s}/{kind}" for s in at.segments for kind in ("chunks", "postings")] + [t for t in (at.dead, at.files) if t])
+        return sorted([f"{s}/{kind}" for s in at.segments for kind in ("chunks", "blocks", "terms")] + [t for t in (at.dead, at.gone, at.files) if t])
 
     # changes
 
@@ -145,89 +159,132 @@ class Store:
 
     def index_file(self, filepath: str) -> int:
         """Indexes one file anew; how many chunks it has. A file that is missing is removed."""
-        if not (Path(self.root) / filepath).is_file():
+        now = self._staged(src.read_files(self.spark, self.root, [filepath]), "sync-file")
+        if now.isEmpty():
             self.delete_file(filepath)
             return 0
-        now = src.read_files(self.spark, self.root, [filepath])
         self._change(self.manifest(), chunks(now, self.settings), now.select("filepath"), metadata=now.drop("text"))
         return self.count_chunks(filepath)
 
-    def update(self, files: DataFrame, deleted: DataFrame | None = None) -> None:
+    def update(self, files: DataFrame, deleted: DataFrame | None = None, state: dict | None = None) -> None:
         """Takes over new texts of files (filepath, mtime, file_hash, text) and drops those in ``deleted`` (filepath)."""
         stale = files.select("filepath") if deleted is None else files.select("filepath").union(deleted.select("filepath"))
-        self._change(self.manifest(), chunks(files, self.settings), stale, files.select("filepath", "mtime", "file_hash"), deleted)
+        self._change(self.manifest(), chunks(files, self.settings), stale, files.select("filepath", "mtime", "file_hash"), deleted, state)
+
+    def _staged(self, df: DataFrame, name: str) -> DataFrame:
+        path = src.scratch(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _forget(self, at: ix.Manifest, after: ix.Manifest, stale: DataFrame) -> None:
+        """Take the chunks of ``stale`` files out of ``after``: their bits, their terms and the totals."""
+        spark, folder = self.spark, self.folder
+        live = ix.live_chunks(spark, folder, at).join(stale.select("filepath").distinct(), "filepath", "left_semi")
+        gone = self._staged(live.select("segment", "no", "dl", F.concat("path_terms", "body_terms").alias("terms")), "sync-gone")
+        counts = gone.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()
+        if not counts:
+            return
+        masks = gone.groupBy("segment", ix.range_of(F.col("no")).alias("range")).agg(F.bit_or(ix.bit(ix.place_of(F.col("no")))).alias("mask"))
+        if at.dead:
+            masks = masks.union(spark.read.schema(ix.DEAD).parquet(f"{folder}/{at.dead}")).groupBy("segment", "range").agg(F.bit_or("mask").alias("mask"))
+        each = gone.select("segment", "no", F.explode("terms").alias("term")).groupBy("segment", "term", "no").agg(F.count("*").alias("times"))
+        terms = each.groupBy("segment", "term").agg(F.count("*").alias("df"), F.sum("times").alias("times"))
+        if at.gone:
+            terms = terms.union(spark.read.schema(ix.GONE).parquet(f"{folder}/{at.gone}")).groupBy("segment", "term").agg(F.sum("df").alias("df"), F.sum("times").alias("times"))
+        after.dead, after.gone = ix.write_table(masks, folder, "dead"), ix.write_table(terms.sort("term"), folder, "gone")
+        for r in counts:
+            after.segments[r.segment] = after.segments[r.segment] | {"gone": after.segments[r.segment]["gone"] + r.n}
+            after.n_chunks, after.total_length = after.n_chunks - r.n, after.total_length - r.total
+
+    def _merge(self, after: ix.Manifest) -> None:
+        """Bring the segments of ``after`` to few of each size."""
+        spark, folder = self.spark, self.folder
+        live = {s: x["n"] - x["gone"] for s, x in after.segments.items()}
+        tiers: dict[int, list[str]] = {}
+        for s, n in live.items():
+            tiers.setdefault(int(math.log(max(n, 1), FAN_IN)), []).append(s)
+        once = {s for group in tiers.values() if len(group) >= FAN_IN for s in group} | {s for s, x in after.segments.items() if x["gone"] * 2 > x["n"]}
+        if not once:
+            return
+        if some := [s for s in after.segments if s in once and live[s]]:
+            name, about, *_ = ix.write_segment(ix.live_chunks(spark, folder, after, some).drop("segment", "no"), folder, self.settings)
+            after.segments[name] = about
+        after.segments = {s: x for s, x in after.segments.items() if s not in once}
+        for kind, schema in (("dead", ix.DEAD), ("gone", ix.GONE)):
+            table, left = getattr(after, kind), [s for s, x in after.segments.items() if x["gone"]]
+            if table:
+                rows = spark.read.schema(schema).parquet(f"{folder}/{table}").where(F.col("segment").isin(left)) if left else None
+                setattr(after, kind, None if rows is None else ix.write_table(rows, folder, kind))
 
     def _change(self, at: ix.Manifest, new: DataFrame | None, stale: DataFrame | None, metadata: DataFrame | None = None, forget: DataFrame | None = None, state: dict | None = None) -> None:
         """Publish a generation: ``stale`` files' chunks gone, ``new`` ones there; metadata rows replaced or forgotten."""
-        spark, folder = self.spark, self.folder
-        after = ix.Manifest(at.generation, dict(at.segments), at.dead, at.files, at.n_chunks, at.total_length, dict(at.state) | (state or {}))
+        after = dataclasses.replace(at, segments=dict(at.segments), state=dict(at.state) | (state or {}))
         if stale is not None and at.segments:
-            gone = ix.segment_rows(spark, folder, at, "chunks").join(stale.select("filepath").distinct(), "filepath", "left_semi")
-            by_file = gone.groupBy("segment", "filepath").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-            n, total = by_file.agg(F.sum("n"), F.sum("total")).first()
-            if n:
-                dead = by_file.select("segment", "filepath")
-                after.dead = ix.write_table(dead.union(spark.read.schema(ix.DEAD).parquet(f"{folder}/{at.dead}")) if at.dead else dead, folder, "dead")
-                after.n_chunks, after.total_length = at.n_chunks - n, at.total_length - total
+            self._forget(at, after, stale)
         if new is not None:
-            name, about, n, total = ix.write_segment(new, folder)
+            name, about, n, total = ix.write_segment(new, self.folder, self.settings)
             if n:
-                after.segments[name] = about | {"n": n}
+                after.segments[name] = about
                 after.n_chunks, after.total_length = after.n_chunks + n, after.total_length + total
         if metadata is not None or forget is not None:
-            known = self.metadata()
+            known = self.spark.read.schema(ix.FILES).parquet(f"{self.folder}/{at.files}") if at.files else self.spark.createDataFrame([], ix.FILES)
             for rows in (metadata, forget):
                 known = purged(known, rows) if rows is not None else known
-            after.files = ix.write_table(known.unionByName(metadata.select(*known.columns)) if metadata is not None else known, folder, "files")
-        written = sum(x.get("n", 0) for x in after.segments.values())
-        if len(after.segments) > MAX_SEGMENTS or written > 2 * max(after.n_chunks, 1):
-            live = ix.segment_rows(spark, folder, after, "chunks").drop("segment")
-            name, about, n, _ = ix.write_segment(live, folder)
-            after.segments, after.dead = {name: about | {"n": n}}, None
-        after.publish(spark, folder)
+            after.files = ix.write_table(known.unionByName(metadata.select(*known.columns)) if metadata is not None else known, self.folder, "files")
+        self._merge(after)
+        after.publish(self.spark, self.folder)
+
+    def listing(self) -> DataFrame:
+        """(filepath, mtime, size) of the tree's files that count; the index's own folder is none of them."""
+        found = src.tree_files(self.spark, self.root, self.extensions)
+        place = lambda path: local_path(path) or path.rstrip("/")
+        own = place(self.folder).removeprefix(f"{place(self.root).rstrip('/')}/")
+        return found if own == place(self.folder) else found.where(~F.col("filepath").startswith(f"{own}/"))
 
     def collect_files(self) -> list[str]:
-        return src.collect_files(self.root, self.extensions)
+        return sorted(r.filepath for r in self.listing().select("filepath").collect())
 
     def chunk_file(self, filepath: str) -> DataFrame:
         return chunks(src.read_files(self.spark, self.root, [filepath]), self.settings)
 
     def build(self) -> dict:
         """A generation with all files of the tree and no others."""
-        paths, head = self.collect_files(), self.head()
-        before = self.manifest()
-        now = src.read_files(self.spark, self.root, paths)
-        after = ix.Manifest(before.generation, state=before.state)
-        self._change(after, chunks(now, self.settings), None, state={HEAD: head})
-        after = self.manifest()
-        after.files = ix.write_table(now.drop("text"), self.folder, "files")
-        after.publish(self.spark, self.folder)
-        return {"full_build": True, "files": len(paths), "indexed": len(paths), "chunks": after.n_chunks, "head": head, "deleted": 0, "updated": len(paths), "deleted_files": [], "updated_files": paths, "previous_head": before.state.get(HEAD), "branch_switched": False}
+        head, before = self.head(), self.manifest()
+        now = self._staged(src.read_files(self.spark, self.root, self.listing()), "sync-files")
+        self._change(ix.Manifest(before.generation, state=before.state), chunks(now, self.settings), None, now.drop("text"), state={HEAD: head})
+        n, some = now.count(), _named(now)
+        return {"full_build": True, "files": n, "indexed": n, "chunks": self.manifest().n_chunks, "head": head, "deleted": 0, "updated": n, "deleted_files": [], "updated_files": some, "previous_head": before.state.get(HEAD), "branch_switched": False}
+
+    def sync(self, allow_empty: bool = False) -> dict:
+        """Brings the index up to date and tells what it did; without an index it is built.
 
-    def sync(self) -> dict:
-        """Brings the index up to date and tells what it did; without an index it is built."""
+        A tree without files whose index has some raises EmptyTree, unless that is allowed: more often it isn't there than empty."""
         at = self.manifest()
         if not at.segments and not at.files:
             return self.build()
         spark, head, last = self.spark, self.head(), at.state.get(HEAD)
-        paths = self.collect_files()
-        listed = spark.createDataFrame([(p, t) for p in paths if (t := src.mtime(self.root, p)) is not None], "filepath string, mtime double")
+        known, listed = self.metadata(), self._staged(self.listing(), "sync-listing")
+        n = listed.count()
+        if not n and not allow_empty and not known.isEmpty():
+            raise EmptyTree(f"{self.root} has no files, but its index has")
         switched = bool(head and last and head != last)
-        named = src.git_changes(spark, self.root, last, head).where("action = 'changed'") if switched else spark.createDataFrame([], "filepath string, action string")
-        known = self.metadata()
-        rows = suspects(known, listed, named).collect()  # what has moved since the last sync; paths, as the listing has
-        report = {"full_build": False, "files": len(paths), "head": head, "previous_head": last, "branch_switched": switched}
-        look = sorted(r.filepath for r in rows if r.action != "deleted")
-        read = src.read_files(spark, self.root, look)
-        found = changes(known.join(read.select("filepath"), "filepath", "left_semi"), read.drop("text")).where("action in ('added', 'changed')")
-        updated = sorted(r.filepath for r in found.collect()) if look else []
-        deleted = sorted({r.filepath for r in rows if r.action == "deleted"} | ({*look} - {r.filepath for r in read.select("filepath").collect()} if look else set()))
-        frame = lambda some: spark.createDataFrame([(p,) for p in some], "filepath string")
-        if look or deleted or head != last:
-            now = src.read_files(spark, self.root, updated)
-            touched = read.drop("text") if look else None
-            self._change(at, chunks(now, self.settings) if updated else None, frame([*updated, *deleted]) if updated or deleted else None, touched, frame(deleted) if deleted else None, {HEAD: head})
-        return report | {"deleted": len(deleted), "updated": len(updated), "deleted_files": deleted, "updated_files": updated, "indexed": len(updated), "chunks": self.manifest().n_chunks}
+        named = src.git_changes(spark, local_path(self.root), last, head).where("action = 'changed'") if switched else spark.createDataFrame([], "filepath string, action string")
+        moved = self._staged(suspects(known, listed, named), "sync-moved")
+        report = {"full_build": False, "files": n, "head": head, "previous_head": last, "branch_switched": switched, "deleted": 0, "updated": 0, "deleted_files": [], "updated_files": [], "indexed": 0, "chunks": at.n_chunks}
+        if moved.isEmpty():
+            if head != last:
+                self.set_state(HEAD, head)
+            return report
+        look = moved.where("action != 'deleted'")
+        read = self._staged(src.read_files(spark, self.root, look), "sync-read")
+        differs = changes(known.join(read.select("filepath"), "filepath", "left_semi"), read.drop("text")).where("action in ('added', 'changed')")
+        updated = self._staged(differs.select("filepath"), "sync-updated")
+        vanished = purged(look, read).join(known, "filepath", "left_semi")
+        deleted = self._staged(moved.where("action = 'deleted'").select("filepath").union(vanished.select("filepath")), "sync-deleted")
+        n_updated, n_deleted = updated.count(), deleted.count()
+        now = read.join(updated, "filepath", "left_semi")
+        self._change(at, chunks(now, self.settings) if n_updated else None, updated.union(deleted) if n_updated or n_deleted else None, read.drop("text"), deleted if n_deleted else None, {HEAD: head})
+        return report | {"deleted": n_deleted, "updated": n_updated, "deleted_files": _named(deleted), "updated_files": _named(updated), "indexed": n_updated, "chunks": self.manifest().n_chunks}
 
     # warm start
 

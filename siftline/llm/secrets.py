@@ -1,16 +1,17 @@
 """Secret scans: candidate strings judged by a random forest.
 
-Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more that hold a digit or mix cases. What
-tells secrets from hashes, ids, paths and long words: length, changes between classes of characters, shares
-of digits and capitals, variety, the share covered by dictionary words, path marks in and around the
-candidate, and the words next to it. The forest is grown on labelled findings that are generated from a
-seed (``findings``): keys and tokens of usual shapes in their usual settings, and the usual false
-positives. Findings and texts get their features from the same expressions, and the trees become one SQL
-expression, so texts never leave the JVM.
+Candidates are runs of ``[A-Za-z0-9+/_-]`` of 16 characters or more, with up to two ``=`` at their end, that hold a
+digit or mix cases; so a name and the value behind its ``=`` or ``:`` are two runs. What tells secrets from hashes,
+ids, paths and long words: length, changes between classes of characters, shares of digits and capitals, variety,
+the share covered by dictionary words, path marks in and around the candidate, and the words next to it, to which a
+run right before it belongs. The forest is grown on labelled findings that are generated from a seed
+(``findings``): keys and tokens of usual shapes in their usual settings, and the usual false positives. They are cut
+out of texts by the code that scans (``candidates``), and the trees become one SQL expression, so texts never
+leave the JVM.
 
 Defined cases: null and empty texts have no findings; every occurrence is a finding, numbered by its
-place in the text; rows without an id and repeated rows give rows like others. Only DataFrame functions are
-used on texts; growing the forest works on a fixed number of feature rows on the driver.
+place in the text among all runs; rows without an id and repeated rows give rows like others. Only DataFrame functions
+are used on texts; growing the forest works on a fixed number of feature rows on the driver.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ._common import fresh, table
 
-_CHARS = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_CHARS}])[{_CHARS}]{{16,}}+(?![{_CHARS}])"
+_CHARS = "A-Za-z0-9+/_-"
+CANDIDATE = rf"(?<![{_CHARS}])[{_CHARS}]{{16,}}+(?:={{1,2}}+(?![={_CHARS}]))?+"
 THRESHOLD = 0.5
 TREES, DEPTH, FINDINGS, SEED = 15, 5, 2400, 17
 
@@ -57,14 +58,17 @@ def features(c: Column, before: Column, after: Column) -> list[Column]:
 
 
 def findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
-    """``n`` labelled findings: candidate, text before, text after, label. Rows follow from their number and the seed."""
+    """``n`` labelled findings: candidate, text before, text after, label, kind. Rows follow from their number and the seed."""
     i = F.col("id")
     random = lambda salt: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), i.cast("string")), 256)
     pick = lambda salt, *of: F.element_at(F.array(*map(F.lit, of)), F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(of))).cast("int") + 1)
     hexa, b64 = random("h"), F.regexp_replace(F.base64(F.unhex(random("b"))), "[+/=]", "x")
     words = F.concat_ws("_", pick("w1", *DICTIONARY), pick("w2", *DICTIONARY), pick("w3", *DICTIONARY))
     cut = lambda x, n: F.substring(x, 1, n)
-    asked = F.concat(pick("p", "the ", "set ", "export ", "", "and "), pick("k", "token", "api_key", "secret", "password", "auth_token", "access key", "client_secret", "Bearer", "private key", "TOKEN"), pick("e", " = \"", "=", ": ", ": '", "=\""))
+    asked = F.concat(
+        pick("p", "the ", "set ", "export ", "", "and ", "https://example.org/a?id=3&", "x; "), pick("u", "", "", "", "db_", "my_", "AWS_SECRET_"),
+        pick("k", "token", "api_key", "secret", "password", "auth_token", "access key", "client_secret", "Bearer", "private key", "TOKEN", "access_token", "ACCESS_KEY"), pick("e", " = \"", "=", "=", ": ", ": '", "=\"", ":"),
+    )
     plain = F.concat(pick("p", "see ", "at ", "the ", "", "in "), pick("q", "commit ", "sha256:", "md5 = ", "checksum: ", "uuid: ", "build ", "revision ", "etag=\"", "id=\"", "digest: "))
     prose = pick("r", "and the of ", "with a. ", "for their, ", "https://example.org/", "src/", "href=\"/", "page ", "- ", "")
     uuid = F.concat_ws("-", cut(hexa, 8), F.substring(hexa, 9, 4), F.substring(hexa, 13, 4), F.substring(hexa, 17, 4), F.substring(hexa, 21, 12))
@@ -79,7 +83,7 @@ def findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED) -> DataFr
     ]
     kind = F.pmod(i, F.lit(len(kinds)))
     choose = lambda part: F.element_at(F.array(*[k[part] if isinstance(k[part], Column) else F.lit(k[part]) for k in kinds]), (kind + 1).cast("int"))
-    return spark.range(n).select(choose(0).alias("c"), choose(1).alias("before"), pick("t", "\" and", " the", "'\n", ".", ".html", "\"!!").alias("after"), choose(2).alias("label"))
+    return spark.range(n).select(choose(0).alias("c"), choose(1).alias("before"), pick("t", "\" and", " the", "'\n", ".", ".html", "\"!!").alias("after"), choose(2).alias("label"), kind.cast("int").alias("kind"))
 
 
 def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[tuple]:
@@ -116,9 +120,32 @@ def as_sql(tree: tuple, names: list[str]) -> str:
     return f"CASE WHEN {names[tree[0]]} <= {tree[1]:.9f}D THEN {as_sql(tree[2], names)} ELSE {as_sql(tree[3], names)} END"
 
 
+def candidates(docs: DataFrame, at: str) -> DataFrame:
+    """A row for each candidate: ``docs`` without its text, and in ``at`` its ordinal, the candidate, and the text before and after."""
+    cands, pieces = fresh(docs.withColumn(at, F.lit(0)), "cands", "pieces")
+    keep = [c for c in docs.columns if c != "text"]
+    found = docs.withColumns({cands: F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), pieces: F.split("text", CANDIDATE, -1)}).where(F.size(cands) > 0)
+    part = lambda i: F.struct(
+        (i + 1).alias("ordinal"), F.get(F.col(cands), i).alias("candidate"),
+        F.substring(F.concat(F.substring(F.coalesce(F.get(F.col(cands), i - 1), F.lit("")), -48, 48), F.substring(F.get(F.col(pieces), i), -48, 48)), -48, 48).alias("before"),
+        F.substring(F.get(F.col(pieces), i + 1), 1, 16).alias("after"),
+    )
+    rows = found.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size(cands) - 1), part)).alias(at))
+    c = F.col(at)["candidate"]
+    return rows.where(c.rlike("[0-9]") | (c.rlike("[a-z]") & c.rlike("[A-Z].*[A-Z]")))
+
+
+def labelled(spark: SparkSession, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
+    """(label, kind, at): the findings as the scan sees them; what else it cuts out of their texts, as names, is harmless."""
+    rows = findings(spark, n, seed).select("c", "kind", F.concat("before", "c", "after").alias("text"), "label")
+    cut = candidates(rows, "at")
+    return cut.select(F.when(F.col("at.candidate") == F.col("c"), F.col("label")).otherwise(0).alias("label"), F.when(F.col("at.candidate") == F.col("c"), F.col("kind")).otherwise(-1).alias("kind"), "at")
+
+
 def forest(spark: SparkSession) -> list[tuple]:
-    rows = findings(spark).select("label", *features(F.col("c"), F.col("before"), F.col("after"))).collect()  # FINDINGS rows
-    data = np.array([list(r) for r in rows], float)
+    at = F.col("at")
+    rows = labelled(spark).select("label", *features(at["candidate"], at["before"], at["after"])).collect()  # FINDINGS rows, and names
+    data = np.array(sorted(list(r) for r in rows), float)
     return grow(data[:, 1:], data[:, 0])
 
 
@@ -126,17 +153,10 @@ def scan(docs: DataFrame, trees: list[tuple] | None = None) -> DataFrame:
     """A row for each finding: ``docs`` without its text, and ordinal, candidate, score and ``is_secret`` (in place of columns of these names)."""
     docs = docs.drop("ordinal", "candidate", "score", "is_secret")
     trees = trees or forest(docs.sparkSession)
-    cands, pieces, at, *names = fresh(docs, "cands", "pieces", "at", *(f"f_{n}" for n in NAMES))
+    at, *names = fresh(docs, "at", *(f"f_{n}" for n in NAMES))
     keep = [c for c in docs.columns if c != "text"]
-    found = docs.withColumns({cands: F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), pieces: F.split("text", CANDIDATE, -1)}).where(F.size(cands) > 0)
-    part = lambda i: F.struct(
-        (i + 1).alias("ordinal"), F.get(F.col(cands), i).alias("candidate"),
-        F.substring(F.get(F.col(pieces), i), -48, 48).alias("before"), F.substring(F.get(F.col(pieces), i + 1), 1, 16).alias("after"),
-    )
-    rows = found.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.size(cands) - 1), part)).alias(at))
     c = F.col(at)["candidate"]
-    rows = rows.where(c.rlike("[0-9]") | (c.rlike("[a-z]") & c.rlike("[A-Z].*[A-Z]")))
-    rows = rows.select(*keep, at, *(f.alias(n) for f, n in zip(features(c, F.col(at)["before"], F.col(at)["after"]), names, strict=True)))
+    rows = candidates(docs, at).select(*keep, at, *(f.alias(n) for f, n in zip(features(c, F.col(at)["before"], F.col(at)["after"]), names, strict=True)))
     score = " + ".join(as_sql(t, names) for t in trees)
     rows = rows.withColumn("score", F.round(F.expr(f"({score}) / {len(trees)}D"), 6))
     return rows.select(*keep, F.col(at)["ordinal"].cast("long").alias("ordinal"), c.alias("candidate"), "score", (F.col("score") >= THRESHOLD).alias("is_secret"))

@@ -19,14 +19,17 @@ import time
 import zlib
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from siftline.config import DEFAULT, Settings
 from siftline.functions import tokenize as tk
 from siftline.sources.files import scratch
 
-RANGE = 64  # chunks of a range, and bits of its mask
+RANGE = 32  # chunks of a range, and bits of its mask
 TASK_BITS = 33  # numbers that one writing task may give
 BUCKET_ROWS = 1 << 20  # terms of chunks that a bucket has
 TASK_ROWS = 4 * BUCKET_ROWS  # and those that one task writes
@@ -40,6 +43,13 @@ GONE = "segment string, term string, df long, times long"
 SHOWN = ["chunk_id", "filepath", "start_line", "end_line", "raw_snippet"]
 
 
+def local(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """Rows that the driver has, as a relation of the plan itself: no job makes them."""
+    types = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types), StructType.fromDDL(schema))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores: a single small file is else cut up by one of them."""
     n = df.sparkSession.sparkContext.defaultParallelism
@@ -175,7 +185,7 @@ class Index:
                 paths = [f"{self.folder}/{name}/blocks/bucket={b}" for b in sorted({bucket_of(t, about["buckets"]) for t in own})]
                 one = self.spark.read.schema(BLOCKS).parquet(*paths).where(F.col("term").isin(own)).withColumn("segment", F.lit(name))
                 out = one if out is None else out.unionByName(one)
-        return rows, out if out is not None else self.spark.createDataFrame([], schema)
+        return rows, out if out is not None else local(self.spark, [], schema)
 
     def masks(self) -> DataFrame | None:
         """(segment, range, mask): the chunks that are gone; None if there are none."""
@@ -191,7 +201,7 @@ class Index:
                 one = self.spark.read.schema(CHUNKS).parquet(*(f"{self.folder}/{name}/chunks/task={t}" for t in sorted({n >> TASK_BITS for n in wanted})))
             one = one.where(F.col("no").isin(wanted)).withColumn("segment", F.lit(name))
             out = one if out is None else out.unionByName(one)
-        return out if out is not None else self.spark.createDataFrame([], f"{CHUNKS}, segment string")
+        return out if out is not None else local(self.spark, [], f"{CHUNKS}, segment string")
 
     def write(self, folder: str, state: dict | None = None) -> str:
         """A folder's first or next generation, with these chunks and no others."""
@@ -276,7 +286,7 @@ def _union(spark: SparkSession, folder: str, at: Manifest, kind: str, schema: st
     for s in at.segments if only is None else only:
         one = spark.read.schema(schema.replace(", segment string", "")).parquet(f"{folder}/{s}/{kind}").withColumn("segment", F.lit(s))
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out if out is not None else local(spark, [], schema)
 
 
 def live_chunks(spark: SparkSession, folder: str, at: Manifest, only: list[str] | None = None) -> DataFrame:

@@ -19,9 +19,10 @@ from siftline.config import DEFAULT, Settings
 from siftline.functions.tokenize import query_phrases
 from siftline.sources.files import scratch
 
-from .index import RANGE, Index, bit
+from .index import RANGE, Index, bit, local
 
 MANY = 20_000  # rows, ranges or chunks up to which the driver names what is to be read; beyond, a join does
+FEW = 1000
 PRUNED = 256  # blocks of a query from which bounds are worth a job
 DIGITS = 9  # scores that are equal to so many are ties
 
@@ -55,7 +56,7 @@ def _tf(p: Column, b: Column, settings: Settings) -> Column:
 def phrase_rows(found: DataFrame, phrases: dict[tuple[str, ...], int], settings: Settings = DEFAULT) -> DataFrame:
     """(pid, segment, range, docs): where neighbouring places make a phrase. A range's blocks of all of its terms meet in one row, and places are intersected in it."""
     rows = [(pid, i, t, len(p)) for p, pid in phrases.items() for i, t in enumerate(p)]
-    wanted = F.broadcast(found.sparkSession.createDataFrame(rows, "pid int, i int, term string, n_terms int"))  # the queries' own terms
+    wanted = F.broadcast(local(found.sparkSession, rows, "pid int, i int, term string, n_terms int"))  # the queries' own terms
     both = found.select("segment", "range", "term", "docs", "places").join(wanted, "term")
     met = both.groupBy("pid", "n_terms", "segment", "range").agg(F.sort_array(F.collect_list(F.struct("i", "docs", "places"))).alias("x")).where("size(x) = n_terms")
     first = F.get("x", 0)
@@ -87,7 +88,7 @@ def _living(rows: DataFrame, masks: DataFrame | None) -> DataFrame:
 
 
 def _named(index: Index, ranges: list, columns: str) -> DataFrame:
-    return F.broadcast(index.spark.createDataFrame(ranges, columns))
+    return F.broadcast(local(index.spark, ranges, columns))
 
 
 class Search:
@@ -119,7 +120,7 @@ class Search:
         """(q, pid, wanted, weight): a row for each phrase of a query."""
         df, n, s = F.col("df"), self.index.n_chunks, self.settings
         idf = F.log((n - df + 0.5) / (df + 0.5))
-        rows = self.index.spark.createDataFrame(self.use, "q int, pid int, times int, wanted int, df long")
+        rows = local(self.index.spark, self.use, "q int, pid int, times int, wanted int, df long")
         return F.broadcast(rows.select("q", "pid", "wanted", (F.when(idf <= 0, F.lit(s.min_idf)).otherwise(idf) * F.col("times")).alias("weight")))  # the queries' own phrases
 
     def _numbered(self, columns: list[str]) -> DataFrame:
@@ -145,7 +146,7 @@ class Search:
         if self.phrases is not None:
             rows = self.phrases if rows is None else rows.unionByName(self.phrases)
         if rows is None or not self.use:
-            return self.index.spark.createDataFrame([], "q int, segment string, no long, score double")
+            return local(self.index.spark, [], "q int, segment string, no long, score double")
         each = rows.join(self.weights(), "pid")
         if ranges is not None:
             keep = _named(self.index, [tuple(r[:3]) for r in ranges], "q int, segment string, range long") if isinstance(ranges, list) else ranges.select("q", "segment", "range")
@@ -200,13 +201,14 @@ def top(index: Index, scored: DataFrame, k: int) -> DataFrame:
     """The best ``k`` chunks of each query, with what to show; equal scores go by chunk."""
     score = F.round("score", DIGITS)
     tied = scored.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(score))).where(F.col("r") <= k).drop("r")
-    some = tied.limit(MANY + 1).collect()
+    some = tied.orderBy("q", score).limit(MANY + 1).collect()
     schema = "q int, segment string, no long, score double"
     if len(some) <= MANY:
         numbers: dict[str, list[int]] = {}
         for r in some:
             numbers.setdefault(r.segment, []).append(r.no)
         shown = index.fetch({s: sorted({*x}) for s, x in numbers.items()}).join(_named(index, [tuple(r) for r in some], schema), ["segment", "no"])
+        shown = shown.coalesce(1) if len(some) <= FEW else shown  # so few rows are put in order without an exchange
     else:
         shown = index.chunks().join(tied, ["segment", "no"])
     order = Window.partitionBy("q").orderBy(F.round("score", DIGITS), "chunk_id", "segment", "no")

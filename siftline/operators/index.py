@@ -164,7 +164,7 @@ class Index:
         out = _union(self.spark, self.folder, self.at, "terms", f"{TERMS}, segment string")
         if not self.at.gone:
             return out
-        less = self.spark.read.schema(GONE).parquet(f"{self.folder}/{self.at.gone}").select("term", (-F.col("df")).alias("df"), (-F.col("times")).alias("times"), F.lit(0).cast("long").alias("blocks"), "segment")
+        less = self.spark.read.schema(GONE).parquet(self.at.place(self.folder, self.at.gone)).select("term", (-F.col("df")).alias("df"), (-F.col("times")).alias("times"), F.lit(0).cast("long").alias("blocks"), "segment")
         sums = out.select("term", "df", "times", "blocks", "segment").union(less).groupBy("segment", "term").agg(*(F.sum(c).alias(c) for c in ("df", "times", "blocks")))
         return sums.where("df > 0")
 
@@ -182,14 +182,14 @@ class Index:
         for name, about in self.at.segments.items():
             own = sorted(r.term for r in rows if r.segment == name)
             if own:
-                paths = [f"{self.folder}/{name}/blocks/bucket={b}" for b in sorted({bucket_of(t, about["buckets"]) for t in own})]
+                paths = [f"{self.at.place(self.folder, name)}/blocks/bucket={b}" for b in sorted({bucket_of(t, about["buckets"]) for t in own})]
                 one = self.spark.read.schema(BLOCKS).parquet(*paths).where(F.col("term").isin(own)).withColumn("segment", F.lit(name))
                 out = one if out is None else out.unionByName(one)
         return rows, out if out is not None else local(self.spark, [], schema)
 
     def masks(self) -> DataFrame | None:
         """(segment, range, mask): the chunks that are gone; None if there are none."""
-        return self.spark.read.schema(DEAD).parquet(f"{self.folder}/{self.at.dead}") if self.at and self.at.dead else None
+        return self.spark.read.schema(DEAD).parquet(self.at.place(self.folder, self.at.dead)) if self.at and self.at.dead else None
 
     def fetch(self, numbers: dict[str, list[int]]) -> DataFrame:
         """Some chunks, by segment and number; only the folders of the tasks that wrote them are read, and of these the pages that have the numbers."""
@@ -198,7 +198,7 @@ class Index:
             if self.at is None:
                 one = self.table.where(F.col("task").isin(sorted({n >> TASK_BITS for n in wanted}))).drop("task")
             else:
-                one = self.spark.read.schema(CHUNKS).parquet(*(f"{self.folder}/{name}/chunks/task={t}" for t in sorted({n >> TASK_BITS for n in wanted})))
+                one = self.spark.read.schema(CHUNKS).parquet(*(f"{self.at.place(self.folder, name)}/chunks/task={t}" for t in sorted({n >> TASK_BITS for n in wanted})))
             one = one.where(F.col("no").isin(wanted)).withColumn("segment", F.lit(name))
             out = one if out is None else out.unionByName(one)
         return out if out is not None else local(self.spark, [], f"{CHUNKS}, segment string")
@@ -234,7 +234,7 @@ def remove(spark: SparkSession, path: str) -> None:
 @dataclass
 class Manifest:
     generation: int = 0
-    segments: dict[str, dict] = field(default_factory=dict)  # name: {"buckets", "n": chunks written, "gone": those no longer there}
+    segments: dict[str, dict] = field(default_factory=dict)  # name: {"buckets", "n": chunks written, "gone": those no longer there, "from": the folder, if another's}
     dead: str | None = None  # the table of masks of chunks that are gone
     gone: str | None = None  # what these take from the dictionary
     files: str | None = None  # the table of file metadata
@@ -242,6 +242,17 @@ class Manifest:
     total_length: int = 0
     state: dict = field(default_factory=dict)
 
+    def place(self, folder: str, name: str) -> str:
+        """Where a segment or table stands: in ``folder``, or in another one that lends it."""
+        if "/" in name:
+            return name
+        return f"{self.segments[name].get('from', folder) if name in self.segments else folder}/{name}"
+
+    def lent(self, folder: str, lender: str) -> set[str]:
+        """What this manifest of ``folder`` uses of another folder."""
+        every = [self.place(folder, t) for t in [*self.segments, self.dead, self.gone, self.files] if t]
+        return {t.removeprefix(f"{lender}/") for t in every if t.startswith(f"{lender}/")}
+
     @classmethod
     def latest(cls, spark: SparkSession, folder: str) -> Manifest:
         found = [x for x in names(spark, folder) if x.startswith("manifest-")]
@@ -251,31 +262,66 @@ class Manifest:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Manifest:
-        fs, p = _path(spark, path)
-        stream = fs.open(p)
-        try:
-            return cls(**json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
+        return cls(**json.loads(read_text(spark, path)))
 
     def publish(self, spark: SparkSession, folder: str) -> None:
         """Written whole under another name, then renamed; a writer that comes second fails. Older tables than the last generation's go."""
         self.generation += 1
         fs, draft = _path(spark, f"{folder}/draft-{time.time_ns()}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(self.__dict__).encode()))
-        out.close()
+        write_text(spark, draft.toString(), json.dumps(self.__dict__))
         if not fs.rename(draft, _path(spark, f"{folder}/manifest-{self.generation:012d}.json")[1]):
             fs.delete(draft, True)
             raise RuntimeError(f"another writer has published generation {self.generation} of {folder}")
         every = names(spark, folder)
         kept = [x for x in every if x.startswith("manifest-")][-2:]
-        used = {t for m in (Manifest.read(spark, f"{folder}/{x}") for x in kept) for t in [*m.segments, m.dead, m.gone, m.files] if t}
+        used = {t for x in kept for t in Manifest.read(spark, f"{folder}/{x}").lent(folder, folder)}
+        for x in every:
+            if x.startswith("lent-"):  # to an index that has begun as this one
+                used |= _still_lent(spark, folder, f"{folder}/{x}")
         for name in every:
             if name not in kept and name not in used and name.split("-")[0] in ("manifest", "segment", "dead", "gone", "files"):
                 remove(spark, f"{folder}/{name}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _path(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def lend(spark: SparkSession, folder: str, to: str) -> None:
+    """Publish in ``to`` a generation that has what ``folder`` has, without copying it; ``folder`` keeps it while that is used."""
+    slip = json.dumps({"to": to, "since": time.time()})
+    write_text(spark, f"{folder}/lent-{zlib.crc32(to.encode()):08x}.json", slip)  # first, so that nothing goes meanwhile
+    at = Manifest.latest(spark, folder)
+    for lender in {at.place(folder, t).rpartition("/")[0] for t in [*at.segments, at.dead, at.gone, at.files] if t} - {folder}:  # what this one has from others
+        write_text(spark, f"{lender}/lent-{zlib.crc32(to.encode()):08x}.json", slip)
+    generation = Manifest.latest(spark, to).generation if has_index(spark, to) else 0
+    table = lambda t: t and at.place(folder, t)
+    segments = {s: x | {"from": x.get("from", folder)} for s, x in at.segments.items()}
+    Manifest(generation, segments, table(at.dead), table(at.gone), table(at.files), at.n_chunks, at.total_length, dict(at.state)).publish(spark, to)
+
+
+def _still_lent(spark: SparkSession, folder: str, slip: str) -> set[str]:
+    """What the borrower of a slip still uses; the slip goes where that is nothing."""
+    told = json.loads(read_text(spark, slip))
+    kept = [x for x in names(spark, told["to"]) if x.startswith("manifest-")]
+    used = {t for x in kept for t in Manifest.read(spark, f"{told['to']}/{x}").lent(told["to"], folder)}
+    if not used and (kept or time.time() - told["since"] > 3600):  # a borrower that is just beginning has no manifest yet
+        remove(spark, slip)
+    return used if kept else {t for t in names(spark, folder) if not t.startswith(("manifest-", "lent-"))}
+
+
 def has_index(spark: SparkSession, folder: str) -> bool:
     return any(x.startswith("manifest-") for x in names(spark, folder))
 
@@ -284,7 +330,7 @@ def _union(spark: SparkSession, folder: str, at: Manifest, kind: str, schema: st
     """One table of several segments, with the ``segment`` of each row."""
     out = None
     for s in at.segments if only is None else only:
-        one = spark.read.schema(schema.replace(", segment string", "")).parquet(f"{folder}/{s}/{kind}").withColumn("segment", F.lit(s))
+        one = spark.read.schema(schema.replace(", segment string", "")).parquet(f"{at.place(folder, s)}/{kind}").withColumn("segment", F.lit(s))
         out = one if out is None else out.unionByName(one)
     return out if out is not None else local(spark, [], schema)
 
@@ -294,7 +340,7 @@ def live_chunks(spark: SparkSession, folder: str, at: Manifest, only: list[str]
     out = _union(spark, folder, at, "chunks", f"{CHUNKS}, segment string", only)
     if not at.dead:
         return out
-    masks = spark.read.schema(DEAD).parquet(f"{folder}/{at.dead}")
+    masks = spark.read.schema(DEAD).parquet(at.place(folder, at.dead))
     held = out.withColumn("range", range_of(F.col("no"))).join(masks, ["segment", "range"], "left")
     gone = F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(bit(place_of(F.col("no")))) != 0
     return held.where(~gone).drop("range", "mask")

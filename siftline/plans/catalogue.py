@@ -16,6 +16,7 @@ from siftline.operators.index import Index, with_ids, with_terms
 from siftline.operators.render import render
 from siftline.serving.service import find
 from siftline.sources.files import name_status, scratch
+from siftline.streaming.follow import CHANGES, follow
 from siftline.streaming.sync import Store, changes, resynced
 
 from . import fixtures as fx
@@ -145,6 +146,15 @@ def q05_path_terms(spark, sf_dir):
     return fx.docs(spark, sf_dir).select("filepath", F.array_join(tk.path_terms(F.col("filepath")), " ").alias("terms"))
 
 
+#: The same names with marks as parts of letters and by themselves.
+_MARKED = "CASE WHEN doc_id % 2 = 0 THEN 'École/Übër_ñ' ELSE 'E\u0301cole/U\u0308be\u0308r_n\u0303' END || '/' || source || '_' || doc_id || '.md'"
+
+
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all(lower(strip_accents({_MARKED})), '[a-z0-9]+'), ' ') AS terms FROM documents")
+def q37_path_marks(spark, sf_dir):
+    return fx.read(spark, sf_dir, "documents").select("doc_id", F.array_join(tk.path_terms(F.expr(_MARKED)), " ").alias("terms"))
+
+
 @query(f"WITH corpus AS ({fx.SQL['files']}), lines AS ({_LINES}) SELECT filepath, len(ls)::INT AS n_lines FROM lines")
 def q06_line_counts(spark, sf_dir):
     return fx.files(spark, sf_dir).select("filepath", F.size(tx.lines(F.col("text"))).alias("n_lines"))
@@ -273,12 +283,14 @@ def q24_snapshot_diff(spark, sf_dir):
     return changes(old, new)
 
 
-_STATUS = ["D\told.py", "R100\ta.py\tb.py", "C75\tc.py\td.py", "M\te.py", "A\tf.py", "T\tg.py", "X\th.py", "M i.py"]
+_LINES_OF = "CASE doc_id % 8 WHEN 0 THEN 'D' || t || p WHEN 1 THEN 'R100' || t || 'old/' || p || t || p WHEN 2 THEN 'C75' || t || 'from/' || p || t || p WHEN 3 THEN 'M' || t || p WHEN 4 THEN 'A' || t || p WHEN 5 THEN 'T' || t || p WHEN 6 THEN 'X' || t || p ELSE 'M ' || p END"
 
 
-@query("SELECT * FROM (VALUES ('old.py', 'deleted'), ('a.py', 'deleted'), ('b.py', 'changed'), ('d.py', 'changed'), ('e.py', 'changed'), ('f.py', 'changed'), ('g.py', 'changed'), ('h.py', 'changed'), ('i.py', 'changed')) t(filepath, action)")
+@query("""WITH d AS (SELECT doc_id, 'docs/' || lang || '/' || source || '_' || doc_id || '.md' AS p FROM documents)
+SELECT p AS filepath, CASE WHEN doc_id % 8 = 0 THEN 'deleted' ELSE 'changed' END AS action FROM d UNION ALL SELECT 'old/' || p, 'deleted' FROM d WHERE doc_id % 8 = 1""")
 def q25_name_status(spark, sf_dir):
-    return name_status(spark.createDataFrame([(x,) for x in _STATUS], "line string"))
+    d = fx.read(spark, sf_dir, "documents").select("doc_id", F.format_string("docs/%s/%s_%s.md", "lang", "source", F.col("doc_id").cast("string")).alias("p"), F.lit("\t").alias("t"))
+    return name_status(d.select(F.expr(_LINES_OF).alias("line")))
 
 
 @query(f"WITH corpus AS (SELECT filepath, text FROM ({_NEW})), {_chunk_sql(80, 20, True)} SELECT filepath, start_line, end_line, sha256(raw_snippet) AS sha256 FROM chunks")
@@ -321,6 +333,24 @@ def q36_synced_files(spark, sf_dir):
     return out.select("filepath", "file_hash", "n_chunks", "total_length", F.lit(store.count_chunks()).cast("long").alias("all_chunks"))
 
 
+@query(f"""WITH {_SNAP}, n AS (SELECT filepath, count(*) AS n_chunks FROM chunks GROUP BY filepath)
+SELECT corpus.filepath, sha256(text) AS file_hash, coalesce(n_chunks, 0) AS n_chunks FROM corpus LEFT JOIN n USING (filepath)""")
+def q38_followed_index(spark, sf_dir):
+    """A stream of changes, taken over by an index in two goes."""
+    old, new = _snapshots(spark, sf_dir)
+    diff, folder = changes(old, new), scratch(spark, "followed")
+    store = Store(spark, "", f"{folder}/index")
+    row = lambda df, time: df.select("filepath", F.lit(time).alias("mtime"), "text", F.lit(False).alias("deleted"))
+    gone = diff.where("action = 'deleted'").select("filepath", F.lit(2.0).alias("mtime"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"))
+    later = row(new.join(diff.where("action in ('added', 'changed')"), "filepath", "left_semi"), 2.0)
+    for n, rows in enumerate((row(old, 1.0), later.unionByName(gone))):
+        rows.write.parquet(f"{folder}/changes/n={n}")
+        stream = spark.readStream.schema(CHANGES).parquet(f"{folder}/changes/*")
+        follow(store, stream, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    n = store.chunks().groupBy("filepath").agg(F.count("*").alias("n_chunks"))
+    return store.metadata().join(n, "filepath", "left").na.fill(0, ["n_chunks"]).select("filepath", "file_hash", "n_chunks")
+
+
 @query(f"WITH corpus AS ({fx.SQL['files']}), {_chunk_sql(80, 20, True)} SELECT filepath, count(*) AS n_chunks FROM chunks GROUP BY filepath")
 def q27_chunk_counts(spark, sf_dir):
     return chunks(fx.files(spark, sf_dir)).groupBy("filepath").agg(F.count("*").alias("n_chunks"))

@@ -3,7 +3,8 @@
 ``folders`` is a Spark data source: the driver opens folders only until there is one for each task, and each task
 lists its own folder and all below it, row by row, without contents. Local trees (plain paths and ``file://``) are
 read by the operating system's calls, others by Arrow's file systems (hdfs, s3, gs, abfs); what Arrow can't open is
-left to Spark's own reader, which lists through Hadoop's file systems.
+left to Spark's own reader, which lists through Hadoop's file systems and passes over files without bytes and those
+whose name or folder begins with a dot or an underscore.
 
 Defined cases: links to folders aren't followed; what vanishes while a tree is listed or read has no row; a root
 that isn't there raises FileNotFoundError; a file without bytes has a row.

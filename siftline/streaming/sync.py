@@ -62,6 +62,14 @@ def _named(files: DataFrame) -> list[str]:
     return [r.filepath for r in files.select("filepath").orderBy("filepath").limit(REPORTED).collect()]
 
 
+def due(segments: dict[str, dict]) -> set[str]:
+    """The segments to be written as one: ``FAN_IN`` of like size, or those of which half is gone."""
+    tiers: dict[int, list[str]] = {}
+    for s, x in segments.items():
+        tiers.setdefault(int(math.log(max(x["n"] - x["gone"], 1), FAN_IN)), []).append(s)
+    return {s for group in tiers.values() if len(group) >= FAN_IN for s in group} | {s for s, x in segments.items() if x["gone"] * 2 > x["n"]}
+
+
 class EmptyTree(RuntimeError):
     """A tree that was indexed lists no files."""
 
@@ -103,7 +111,7 @@ class Store:
     def metadata(self) -> DataFrame:
         """(filepath, mtime, file_hash) of the files that are indexed, those without chunks too."""
         at = self.manifest()
-        return self.spark.read.schema(ix.FILES).parquet(f"{self.folder}/{at.files}") if at.files else self.spark.createDataFrame([], ix.FILES)
+        return self.spark.read.schema(ix.FILES).parquet(at.place(self.folder, at.files)) if at.files else self.spark.createDataFrame([], ix.FILES)
 
     def files(self) -> DataFrame:
         return self.chunks().select("filepath").distinct()
@@ -179,18 +187,27 @@ class Store:
     def _forget(self, at: ix.Manifest, after: ix.Manifest, stale: DataFrame) -> None:
         """Take the chunks of ``stale`` files out of ``after``: their bits, their terms and the totals."""
         spark, folder = self.spark, self.folder
-        live = ix.live_chunks(spark, folder, at).join(stale.select("filepath").distinct(), "filepath", "left_semi")
-        gone = self._staged(live.select("segment", "no", "dl", F.concat("path_terms", "body_terms").alias("terms")), "sync-gone")
-        counts = gone.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()
+        live = ix.live_chunks(spark, folder, at)
+        keys = self._staged(live.select("filepath", "segment", "no", "dl").join(stale.select("filepath").distinct(), "filepath", "left_semi").drop("filepath"), "sync-gone")
+        counts = keys.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()
         if not counts:
             return
+        # terms of few chunks are fetched by number, so that the others' aren't read
+        if sum(r.n for r in counts) <= rank.MANY:
+            numbers: dict[str, list[int]] = {}
+            for r in keys.collect():
+                numbers.setdefault(r.segment, []).append(r.no)
+            rows = ix.Index(spark, at.n_chunks, 0.0, folder=folder, at=at).fetch(numbers)
+        else:
+            rows = live.join(keys.select("segment", "no"), ["segment", "no"], "left_semi")
+        gone = self._staged(rows.select("segment", "no", F.concat("path_terms", "body_terms").alias("terms")), "sync-gone-terms")
         masks = gone.groupBy("segment", ix.range_of(F.col("no")).alias("range")).agg(F.bit_or(ix.bit(ix.place_of(F.col("no")))).alias("mask"))
         if at.dead:
-            masks = masks.union(spark.read.schema(ix.DEAD).parquet(f"{folder}/{at.dead}")).groupBy("segment", "range").agg(F.bit_or("mask").alias("mask"))
+            masks = masks.union(spark.read.schema(ix.DEAD).parquet(at.place(folder, at.dead))).groupBy("segment", "range").agg(F.bit_or("mask").alias("mask"))
         each = gone.select("segment", "no", F.explode("terms").alias("term")).groupBy("segment", "term", "no").agg(F.count("*").alias("times"))
         terms = each.groupBy("segment", "term").agg(F.count("*").alias("df"), F.sum("times").alias("times"))
         if at.gone:
-            terms = terms.union(spark.read.schema(ix.GONE).parquet(f"{folder}/{at.gone}")).groupBy("segment", "term").agg(F.sum("df").alias("df"), F.sum("times").alias("times"))
+            terms = terms.union(spark.read.schema(ix.GONE).parquet(at.place(folder, at.gone))).groupBy("segment", "term").agg(F.sum("df").alias("df"), F.sum("times").alias("times"))
         after.dead, after.gone = ix.write_table(masks, folder, "dead"), ix.write_table(terms.sort("term"), folder, "gone")
         for r in counts:
             after.segments[r.segment] = after.segments[r.segment] | {"gone": after.segments[r.segment]["gone"] + r.n}
@@ -199,21 +216,17 @@ class Store:
     def _merge(self, after: ix.Manifest) -> None:
         """Bring the segments of ``after`` to few of each size."""
         spark, folder = self.spark, self.folder
-        live = {s: x["n"] - x["gone"] for s, x in after.segments.items()}
-        tiers: dict[int, list[str]] = {}
-        for s, n in live.items():
-            tiers.setdefault(int(math.log(max(n, 1), FAN_IN)), []).append(s)
-        once = {s for group in tiers.values() if len(group) >= FAN_IN for s in group} | {s for s, x in after.segments.items() if x["gone"] * 2 > x["n"]}
+        once = due(after.segments)
         if not once:
             return
-        if some := [s for s in after.segments if s in once and live[s]]:
+        if some := [s for s in after.segments if s in once and after.segments[s]["n"] > after.segments[s]["gone"]]:
             name, about, *_ = ix.write_segment(ix.live_chunks(spark, folder, after, some).drop("segment", "no"), folder, self.settings)
             after.segments[name] = about
         after.segments = {s: x for s, x in after.segments.items() if s not in once}
+        left = [s for s, x in after.segments.items() if x["gone"]]
         for kind, schema in (("dead", ix.DEAD), ("gone", ix.GONE)):
-            table, left = getattr(after, kind), [s for s, x in after.segments.items() if x["gone"]]
-            if table:
-                rows = spark.read.schema(schema).parquet(f"{folder}/{table}").where(F.col("segment").isin(left)) if left else None
+            if table := getattr(after, kind):
+                rows = spark.read.schema(schema).parquet(after.place(folder, table)).where(F.col("segment").isin(left)) if left else None
                 setattr(after, kind, None if rows is None else ix.write_table(rows, folder, kind))
 
     def _change(self, at: ix.Manifest, new: DataFrame | None, stale: DataFrame | None, metadata: DataFrame | None = None, forget: DataFrame | None = None, state: dict | None = None) -> None:
@@ -227,7 +240,7 @@ class Store:
                 after.segments[name] = about
                 after.n_chunks, after.total_length = after.n_chunks + n, after.total_length + total
         if metadata is not None or forget is not None:
-            known = self.spark.read.schema(ix.FILES).parquet(f"{self.folder}/{at.files}") if at.files else self.spark.createDataFrame([], ix.FILES)
+            known = self.spark.read.schema(ix.FILES).parquet(at.place(self.folder, at.files)) if at.files else self.spark.createDataFrame([], ix.FILES)
             for rows in (metadata, forget):
                 known = purged(known, rows) if rows is not None else known
             after.files = ix.write_table(known.unionByName(metadata.select(*known.columns)) if metadata is not None else known, self.folder, "files")
@@ -289,14 +302,15 @@ class Store:
     # warm start
 
     def copy_to(self, folder: str, overwrite: bool = False) -> bool:
-        """Another folder gets this index; not if there is none, it is the same folder, or has an index that isn't to be overwritten."""
+        """Another folder gets this index, by reference; not if there is none, it is the same folder, or has an index that isn't to be overwritten.
+
+        Both change apart from then on, and what the other one refers to stays here."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (self.folder, folder))
-        fs = b.getFileSystem(conf)
-        if not self.exists() or a.equals(b) or (fs.exists(b) and not overwrite):
+        if not self.exists() or a.equals(b) or (b.getFileSystem(conf).exists(b) and not overwrite):
             return False
-        fs.delete(b, True)
-        return jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, fs, b, False, overwrite, conf)
+        ix.lend(self.spark, self.folder, folder)
+        return True
 
     def warm_start_from(self, folder: str, overwrite: bool = True, sync: bool = True) -> dict:
         """Takes over the index of another tree's folder, then syncs it with this tree."""

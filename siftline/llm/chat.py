@@ -50,7 +50,8 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def rendered(turns: DataFrame) -> DataFrame:
-    """A row for each conversation that is left: its chat text."""
+    """A row for each conversation that is left: its chat text. Other columns of ``turns`` are not read."""
+    turns = turns.select("conv_id", "turn", "role", "text")
     keep = maximal(turns)
     part = F.struct("turn", _turn().alias("th"), F.concat(F.lit(OPEN), _inside("role"), F.lit("\n"), _inside("text"), F.lit(f"{CLOSE}\n")).alias("part"))
     # nulls come first in the order of structs, as in prefixes()

@@ -70,6 +70,11 @@ def test_isotonic_is_monotone():
 CHATS = "conv_id long, turn long, role string, text string"
 
 
+def test_chat_with_other_columns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a", 7, 8, "x"), (2, 0, "user", "a", 7, 8, "y")], f"{CHATS}, n_turns int, n_copies int, chat string")
+    assert [(r.conv_id, r.n_turns, r.n_copies) for r in chat.rendered(turns).collect()] == [(1, 1, 2)]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c"), (5, 0, "user", "x"), (6, 0, "user", "x"), (7, None, None, None), (None, 0, "user", "q"), (8, 0, "u", "t"), (8, 0, "u", "t")]
     turns = spark.createDataFrame(rows, CHATS)
@@ -538,3 +543,15 @@ def test_decontaminate_finds_all_leaks_by_the_rules(spark):
         w = [vocabulary.index(x) for x in t.split()]
         around = lambda x: [w[max(0, p - x.margin) : p + 64 + x.margin] for p in range(0, len(w), 32)]
         assert got[i] == {k for k, x in judged if any(x.score(part)[1] for part in around(x))}
+
+
+def test_mixing_of_several_shards_equals_sql(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.when(F.col("source") > "src5", F.col("source")).otherwise("a").alias("source"))
+    sql = mixing.OP7_SQL.replace(f"{mixing.SHARD_ROWS - 1}) // {mixing.SHARD_ROWS}", "49) // 50")
+    assert sql != mixing.OP7_SQL
+    documents = docs.toPandas()  # noqa: F841
+    want = duckdb.sql(sql).df().sort_values("doc_id")
+    got = mixing.mixed(docs, keep_text=False, shard_rows=50).toPandas().sort_values("doc_id")
+    assert len(got) == len(want) == 1000 and got.groupby("source").size().max() > 300
+    for c in ("doc_id", "size", "source_size", "target", "taken"):
+        assert (got[c].to_numpy() == want[c].to_numpy()).all(), c

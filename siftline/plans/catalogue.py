@@ -69,13 +69,14 @@ def _terms_sql() -> str:
     return f"terms AS (SELECT filepath, start_line, end_line, raw_snippet, {_PATH.format(x='filepath')} AS p, {_FTS.format(x=body)} AS b FROM chunks)"
 
 
-def _score_sql(queries: dict[int, list[tuple[str, ...]]], mode: str = "OR") -> str:
-    """``scored``: (q, filepath, start_line, end_line, raw_snippet, score)."""
-    lists = ", ".join(f"({q}, {i}, [{', '.join(repr(t) for t in p)}])" for q, ps in queries.items() for i, p in enumerate(ps))
+def _score_sql(queries: dict[int, str], mode: str = "OR") -> str:
+    """``scored``: (q, filepath, start_line, end_line, raw_snippet, score). Queries are cut into phrases in SQL too."""
+    texts = ", ".join(f"({q}, '{t}')" for q, t in queries.items())
     count = "CASE WHEN len(ph) = 1 THEN len(list_filter({x}, lambda t: t = ph[1])) ELSE len(list_filter(range(1, len({x}) - len(ph) + 2), lambda i: {x}[i : i + len(ph) - 1] = ph)) END"
     having = "HAVING count(DISTINCT c.ph) = (SELECT count(DISTINCT w.ph) FROM asked w WHERE w.q = c.q)" if mode == "AND" else ""
     return f"""{_terms_sql()}, stats AS (SELECT count(*) AS n, avg(len(p) + len(b)) AS avgdl FROM terms),
-    asked(q, i, ph) AS (VALUES {lists}),
+    asked AS (SELECT q, i, list_filter(string_split(t, '_'), lambda x: x <> '') AS ph FROM (
+      SELECT q, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT q, {_TOK.format(x='text')} AS ts FROM (VALUES {texts}) AS v(q, text)))),
     phrases AS (SELECT DISTINCT ph FROM asked),
     tf AS (SELECT * FROM (SELECT filepath, start_line, ph, len(p) + len(b) AS dl, 3.0::DOUBLE * {count.format(x='p')} + {count.format(x='b')} AS tf
       FROM terms, phrases WHERE list_has_any(list_concat(p, b), ph)) WHERE tf > 0),
@@ -88,10 +89,6 @@ def _score_sql(queries: dict[int, list[tuple[str, ...]]], mode: str = "OR") -> s
     ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9), filepath || '#' || lpad(start_line::VARCHAR, 9, '0')) AS rank FROM scored)"""
 
 
-def _phrases(queries: dict[int, str]) -> dict[int, list[tuple[str, ...]]]:
-    return {q: tk.query_phrases(t) for q, t in queries.items()}
-
-
 def _index(spark: SparkSession, sf_dir: str, corpus: str, settings: Settings | None = None) -> Index:
     text = getattr(fx, corpus)(spark, sf_dir)
     if settings:
@@ -107,7 +104,7 @@ def _searched(name: str, corpus: str, texts: dict[int, str], k: int, mode: str =
         return hits.select("q", "rank", "filepath", F.round("score", 6).alias("score"))
 
     run.__name__ = name
-    query(f"WITH {_whole(corpus)}, {_score_sql(_phrases(texts), mode)} SELECT q, rank::INT AS rank, filepath, round(score, 6) AS score FROM ranked WHERE rank <= {k}")(run)
+    query(f"WITH {_whole(corpus)}, {_score_sql(texts, mode)} SELECT q, rank::INT AS rank, filepath, round(score, 6) AS score FROM ranked WHERE rank <= {k}")(run)
 
 
 # Predicates and tokens -------------------------------------------------------------------------------------
@@ -216,13 +213,13 @@ _searched("q33_bm25_batch", "docs", {i: t for i, t in enumerate(["token", "the a
 _MULTI = {0: "token the", 1: "thand ention", 2: "src7"}
 
 
-@query(f"WITH corpus AS ({fx.SQL['files']}), {_chunk_sql(80, 20, True)}, {_score_sql(_phrases({0: 'token the'}))} SELECT rank::INT AS rank, filepath, start_line, end_line, round(score, 6) AS score, sha256(raw_snippet) AS sha256 FROM ranked WHERE rank <= 20")
+@query(f"WITH corpus AS ({fx.SQL['files']}), {_chunk_sql(80, 20, True)}, {_score_sql({0: 'token the'})} SELECT rank::INT AS rank, filepath, start_line, end_line, round(score, 6) AS score, sha256(raw_snippet) AS sha256 FROM ranked WHERE rank <= 20")
 def q20_chunk_search(spark, sf_dir):
     hits = rank.search(_index(spark, sf_dir, "files", Settings()), {0: "token the"}, 20, diversify=False)
     return hits.select("rank", "filepath", "start_line", "end_line", F.round("score", 6).alias("score"), F.sha2("raw_snippet", 256).alias("sha256"))
 
 
-@query(f"""WITH RECURSIVE corpus AS ({fx.SQL['files']}), {_chunk_sql(10, 3, True)}, {_score_sql(_phrases({0: 'token the'}))},
+@query(f"""WITH RECURSIVE corpus AS ({fx.SQL['files']}), {_chunk_sql(10, 3, True)}, {_score_sql({0: 'token the'})},
 pool AS (SELECT * FROM ranked WHERE rank <= 30),
 walk AS (
   SELECT 0::BIGINT AS step, []::STRUCT(f VARCHAR, s INT, r BIGINT)[] AS kept
@@ -237,7 +234,7 @@ def q21_diversified_search(spark, sf_dir):
     return hits.select("rank", "filepath", "start_line", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_whole('docs')}, {_score_sql(_phrases(_MULTI))}, hits AS (SELECT * FROM ranked WHERE rank <= 20),
+@query(f"""WITH {_whole('docs')}, {_score_sql(_MULTI)}, hits AS (SELECT * FROM ranked WHERE rank <= 20),
 f AS (SELECT filepath, sum(1.0::DOUBLE / (60 + rank)) AS fusion, min(score) AS score, min(q * 1000 + rank) AS place, count(*) AS n_matched FROM hits GROUP BY filepath)
 SELECT row_number() OVER (ORDER BY round(fusion, 12) DESC, place)::INT AS rank, filepath, round(score, 6) AS score, round(fusion, 9) AS fusion_score, n_matched::INT AS n_matched
 FROM f QUALIFY row_number() OVER (ORDER BY round(fusion, 12) DESC, place) <= 5""")
@@ -250,7 +247,7 @@ def q22_fused_search(spark, sf_dir):
 _JUDGED = {0: "token", 1: "idiot loser", 2: "the", 3: "src7 token"}
 
 
-@query(f"""WITH {_whole('docs')}, {_score_sql(_phrases(_JUDGED))},
+@query(f"""WITH {_whole('docs')}, {_score_sql(_JUDGED)},
 t AS (SELECT q, count(*) AS n, max(score) FILTER (rank = 1) AS x, max(score) FILTER (rank = 2) AS y FROM ranked WHERE rank <= 10 GROUP BY q)
 SELECT q::INT AS q, CASE WHEN n = 1 THEN 'single' WHEN abs(x) / abs(y) >= 1.5 THEN 'dominant' ELSE 'close_contest' END AS label,
 round(x, 6) AS top_score, round(y - x, 6) AS score_gap, n < 4 OR x > -1.0 AS hint FROM t""")
@@ -313,7 +310,7 @@ def _synced(spark, sf_dir) -> Store:
 _SNAP = f"corpus AS (SELECT filepath, text FROM ({_NEW})), {_chunk_sql(80, 20, True)}"
 
 
-@query(f"WITH {_SNAP}, {_score_sql(_phrases({0: 'token the', 1: 'src7 changed'}))} SELECT q, rank::INT AS rank, filepath, start_line, round(score, 6) AS score FROM ranked WHERE rank <= 20")
+@query(f"WITH {_SNAP}, {_score_sql({0: 'token the', 1: 'src7 changed'})} SELECT q, rank::INT AS rank, filepath, start_line, round(score, 6) AS score FROM ranked WHERE rank <= 20")
 def q34_synced_search(spark, sf_dir):
     hits = rank.search(_synced(spark, sf_dir).index(), {0: "token the", 1: "src7 changed"}, 20, diversify=False)
     return hits.select("q", "rank", "filepath", "start_line", F.round("score", 6).alias("score"))
@@ -366,7 +363,7 @@ def q28_byte_truncation(spark, sf_dir):
     return fx.read(spark, sf_dir, "documents").select("doc_id", tx.truncated(F.col("text"), 101).alias("cut"))
 
 
-@query(f"""WITH {_whole('docs')}, {_score_sql(_phrases({0: 'token'}))}, hits AS (SELECT * FROM ranked WHERE rank <= 5),
+@query(f"""WITH {_whole('docs')}, {_score_sql({0: 'token'})}, hits AS (SELECT * FROM ranked WHERE rank <= 5),
 judged AS (SELECT count(*) AS n, max(score) FILTER (rank = 1) AS x, max(score) FILTER (rank = 2) AS y FROM hits),
 body AS (SELECT string_agg('## ' || rank || '. ' || filepath || ' (lines ' || start_line || '-' || end_line || ')' || chr(10) || printf('score: %.6f', score) || chr(10) || chr(10)
   || '```' || chr(10) || raw_snippet || chr(10) || '```', chr(10) || chr(10) ORDER BY rank) AS blocks FROM hits)

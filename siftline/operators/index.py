@@ -216,6 +216,12 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path in the one form that its file system gives it."""
+    fs, p = _path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _path(spark, path)
     return fs.exists(p)
@@ -274,10 +280,11 @@ class Manifest:
             raise RuntimeError(f"another writer has published generation {self.generation} of {folder}")
         every = names(spark, folder)
         kept = [x for x in every if x.startswith("manifest-")][-2:]
-        used = {t for x in kept for t in Manifest.read(spark, f"{folder}/{x}").lent(folder, folder)}
+        own = qualified(spark, folder)
+        used = {t for x in kept for t in Manifest.read(spark, f"{folder}/{x}").lent(own, own)}
         for x in every:
             if x.startswith("lent-"):  # to an index that has begun as this one
-                used |= _still_lent(spark, folder, f"{folder}/{x}")
+                used |= _still_lent(spark, own, f"{folder}/{x}")
         for name in every:
             if name not in kept and name not in used and name.split("-")[0] in ("manifest", "segment", "dead", "gone", "files"):
                 remove(spark, f"{folder}/{name}")
@@ -301,6 +308,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def lend(spark: SparkSession, folder: str, to: str) -> None:
     """Publish in ``to`` a generation that has what ``folder`` has, without copying it; ``folder`` keeps it while that is used."""
+    folder, to = qualified(spark, folder), qualified(spark, to)
     slip = json.dumps({"to": to, "since": time.time()})
     write_text(spark, f"{folder}/lent-{zlib.crc32(to.encode()):08x}.json", slip)  # first, so that nothing goes meanwhile
     at = Manifest.latest(spark, folder)

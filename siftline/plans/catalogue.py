@@ -15,7 +15,7 @@ from siftline.operators.chunk import chunks
 from siftline.operators.index import Index, with_ids, with_terms
 from siftline.operators.render import render
 from siftline.serving.service import find
-from siftline.sources.files import name_status, scratch
+from siftline.sources.files import name_status, read_files, scratch
 from siftline.streaming.follow import CHANGES, follow
 from siftline.streaming.sync import Store, changes, resynced
 
@@ -348,6 +348,16 @@ def q38_followed_index(spark, sf_dir):
     return store.metadata().join(n, "filepath", "left").na.fill(0, ["n_chunks"]).select("filepath", "file_hash", "n_chunks")
 
 
+@query("SELECT doc_id, lang, sha256(text) AS sha256 FROM documents")
+def q39_listed_tree(spark, sf_dir):
+    """The documents as files of a tree, listed and read by tasks."""
+    root = scratch(spark, "tree")
+    fx.read(spark, sf_dir, "documents").select("doc_id", "lang", "text").write.partitionBy("lang").json(root)
+    rows = read_files(spark, root).select("filepath", F.explode(F.split("text", "\n")).alias("line")).where("line != ''")
+    doc = rows.select(F.regexp_extract("filepath", "^lang=([^/]*)/", 1).alias("lang"), F.from_json("line", "doc_id long, text string").alias("d"))
+    return doc.select("d.doc_id", "lang", F.sha2("d.text", 256).alias("sha256"))
+
+
 @query(f"WITH corpus AS ({fx.SQL['files']}), {_chunk_sql(80, 20, True)} SELECT filepath, count(*) AS n_chunks FROM chunks GROUP BY filepath")
 def q27_chunk_counts(spark, sf_dir):
     return chunks(fx.files(spark, sf_dir)).groupBy("filepath").agg(F.count("*").alias("n_chunks"))
@@ -363,6 +373,19 @@ def q28_byte_truncation(spark, sf_dir):
     return fx.read(spark, sf_dir, "documents").select("doc_id", tx.truncated(F.col("text"), 101).alias("cut"))
 
 
+@query(f"""WITH {_whole('docs')}, {_score_sql({0: 'token the'})}, hits AS (SELECT * FROM ranked WHERE rank <= 5),
+j AS (SELECT count(*) AS n, max(score) FILTER (rank = 1) AS x, max(score) FILTER (rank = 2) AS y FROM hits)
+SELECT 'ok' AS status, n AS count, CASE WHEN n = 1 THEN 'single' WHEN abs(x) / abs(y) >= 1.5 THEN 'dominant' ELSE 'close_contest' END AS label, n < 2 OR x > -1.0 AS hint,
+rank::INT AS rank, filepath, round(score, 6) AS score, sha256(raw_snippet) AS sha256 FROM hits, j""")
+def q40_json_answer(spark, sf_dir):
+    """A JSON answer, read back."""
+    answer = render(find(_index(spark, sf_dir, "docs"), "token the"), "json", None, "token the", 5)
+    schema = "status string, count long, confidence struct<label string>, low_confidence_hint string, results array<struct<filepath string, score double, raw_snippet string>>"
+    d = spark.createDataFrame([(answer,)], "text string").select(F.from_json("text", schema).alias("a")).select("a.*")
+    rows = d.select("status", "count", "confidence.label", F.col("low_confidence_hint").isNotNull().alias("hint"), F.posexplode("results").alias("pos", "r"))
+    return rows.select("status", "count", "label", "hint", (F.col("pos") + 1).alias("rank"), "r.filepath", F.round("r.score", 6).alias("score"), F.sha2("r.raw_snippet", 256).alias("sha256"))
+
+
 @query(f"""WITH {_whole('docs')}, {_score_sql({0: 'token'})}, hits AS (SELECT * FROM ranked WHERE rank <= 5),
 judged AS (SELECT count(*) AS n, max(score) FILTER (rank = 1) AS x, max(score) FILTER (rank = 2) AS y FROM hits),
 body AS (SELECT string_agg('## ' || rank || '. ' || filepath || ' (lines ' || start_line || '-' || end_line || ')' || chr(10) || printf('score: %.6f', score) || chr(10) || chr(10)

@@ -206,5 +206,5 @@ def contents(paths: DataFrame, root: str) -> DataFrame:
         a, b, c = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.binary())], names=["filepath", "mtime", "content"])
 
-    n = max(spark.sparkContext.defaultParallelism, paths.rdd.getNumPartitions())
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # dealt anew, as one folder may have most
     return paths.select("filepath").repartition(n).mapInArrow(read, READ)

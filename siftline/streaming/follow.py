@@ -32,7 +32,7 @@ def take(store: Store, changes: DataFrame, number: int, stream: str = "changes")
     done = store.get_state(f"batch:{stream}")
     if done is not None and int(done) >= number:
         return False
-    rows = store._staged(latest(changes), "changes")
+    rows = store.staged(latest(changes), "changes")
     state = {f"batch:{stream}": str(number)}
     if rows.isEmpty():
         store.set_state(*next(iter(state.items())))

@@ -167,7 +167,7 @@ class Store:
 
     def index_file(self, filepath: str) -> int:
         """Indexes one file anew; how many chunks it has. A file that is missing is removed."""
-        now = self._staged(src.read_files(self.spark, self.root, [filepath]), "sync-file")
+        now = self.staged(src.read_files(self.spark, self.root, [filepath]), "sync-file")
         if now.isEmpty():
             self.delete_file(filepath)
             return 0
@@ -179,7 +179,8 @@ class Store:
         stale = files.select("filepath") if deleted is None else files.select("filepath").union(deleted.select("filepath"))
         self._change(self.manifest(), chunks(files, self.settings), stale, files.select("filepath", "mtime", "file_hash"), deleted, state)
 
-    def _staged(self, df: DataFrame, name: str) -> DataFrame:
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table in the shared folder, which goes with the driver."""
         path = src.scratch(self.spark, name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -188,7 +189,7 @@ class Store:
         """Take the chunks of ``stale`` files out of ``after``: their bits, their terms and the totals."""
         spark, folder = self.spark, self.folder
         live = ix.live_chunks(spark, folder, at)
-        keys = self._staged(live.select("filepath", "segment", "no", "dl").join(stale.select("filepath").distinct(), "filepath", "left_semi").drop("filepath"), "sync-gone")
+        keys = self.staged(live.select("filepath", "segment", "no", "dl").join(stale.select("filepath").distinct(), "filepath", "left_semi").drop("filepath"), "sync-gone")
         counts = keys.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()
         if not counts:
             return
@@ -200,7 +201,7 @@ class Store:
             rows = ix.Index(spark, at.n_chunks, 0.0, folder=folder, at=at).fetch(numbers)
         else:
             rows = live.join(keys.select("segment", "no"), ["segment", "no"], "left_semi")
-        gone = self._staged(rows.select("segment", "no", F.concat("path_terms", "body_terms").alias("terms")), "sync-gone-terms")
+        gone = self.staged(rows.select("segment", "no", F.concat("path_terms", "body_terms").alias("terms")), "sync-gone-terms")
         masks = gone.groupBy("segment", ix.range_of(F.col("no")).alias("range")).agg(F.bit_or(ix.bit(ix.place_of(F.col("no")))).alias("mask"))
         if at.dead:
             masks = masks.union(spark.read.schema(ix.DEAD).parquet(at.place(folder, at.dead))).groupBy("segment", "range").agg(F.bit_or("mask").alias("mask"))
@@ -263,7 +264,7 @@ class Store:
     def build(self) -> dict:
         """A generation with all files of the tree and no others."""
         head, before = self.head(), self.manifest()
-        now = self._staged(src.read_files(self.spark, self.root, self.listing()), "sync-files")
+        now = self.staged(src.read_files(self.spark, self.root, self.listing()), "sync-files")
         self._change(ix.Manifest(before.generation, state=before.state), chunks(now, self.settings), None, now.drop("text"), state={HEAD: head})
         n, some = now.count(), _named(now)
         return {"full_build": True, "files": n, "indexed": n, "chunks": self.manifest().n_chunks, "head": head, "deleted": 0, "updated": n, "deleted_files": [], "updated_files": some, "previous_head": before.state.get(HEAD), "branch_switched": False}
@@ -276,24 +277,24 @@ class Store:
         if not at.segments and not at.files:
             return self.build()
         spark, head, last = self.spark, self.head(), at.state.get(HEAD)
-        known, listed = self.metadata(), self._staged(self.listing(), "sync-listing")
+        known, listed = self.metadata(), self.staged(self.listing(), "sync-listing")
         n = listed.count()
         if not n and not allow_empty and not known.isEmpty():
             raise EmptyTree(f"{self.root} has no files, but its index has")
         switched = bool(head and last and head != last)
         named = src.git_changes(spark, local_path(self.root), last, head).where("action = 'changed'") if switched else spark.createDataFrame([], "filepath string, action string")
-        moved = self._staged(suspects(known, listed, named), "sync-moved")
+        moved = self.staged(suspects(known, listed, named), "sync-moved")
         report = {"full_build": False, "files": n, "head": head, "previous_head": last, "branch_switched": switched, "deleted": 0, "updated": 0, "deleted_files": [], "updated_files": [], "indexed": 0, "chunks": at.n_chunks}
         if moved.isEmpty():
             if head != last:
                 self.set_state(HEAD, head)
             return report
         look = moved.where("action != 'deleted'")
-        read = self._staged(src.read_files(spark, self.root, look), "sync-read")
+        read = self.staged(src.read_files(spark, self.root, look), "sync-read")
         differs = changes(known.join(read.select("filepath"), "filepath", "left_semi"), read.drop("text")).where("action in ('added', 'changed')")
-        updated = self._staged(differs.select("filepath"), "sync-updated")
+        updated = self.staged(differs.select("filepath"), "sync-updated")
         vanished = purged(look, read).join(known, "filepath", "left_semi")
-        deleted = self._staged(moved.where("action = 'deleted'").select("filepath").union(vanished.select("filepath")), "sync-deleted")
+        deleted = self.staged(moved.where("action = 'deleted'").select("filepath").union(vanished.select("filepath")), "sync-deleted")
         n_updated, n_deleted = updated.count(), deleted.count()
         now = read.join(updated, "filepath", "left_semi")
         self._change(at, chunks(now, self.settings) if n_updated else None, updated.union(deleted) if n_updated or n_deleted else None, read.drop("text"), deleted if n_deleted else None, {HEAD: head})

@@ -12,7 +12,7 @@ from siftline.functions import tokenize as tk
 from siftline.operators import index as ix
 from siftline.operators import rank
 from siftline.operators.chunk import chunks
-from siftline.serving import adapter
+from siftline.serving import adapter, service
 from siftline.sources import files as src
 from siftline.sources import listing
 from siftline.streaming import follow
@@ -255,7 +255,7 @@ def test_follow_a_stream(spark, tmp_path, monkeypatch):
 
 def test_lent_index(spark, tmp_path):
     rows = corpus(30, 7)
-    parent, child, third = (Store(spark, "", f"file://{tmp_path}/{n}") for n in "abc")
+    parent, child, third = (Store(spark, "", f"{scheme}{tmp_path}/{n}") for n, scheme in zip("abc", ("file://", "file:", "file://"), strict=True))
     parent.update(spark.createDataFrame(rows, FILES))
     assert parent.copy_to(child.folder) and child.copy_to(third.folder) and not [n for n in os.listdir(tmp_path / "b") if n.startswith("segment")]
     found = lambda s, q="w11 w12 w13": hits(rank.search(s.index(), {0: q}, 5))
@@ -286,6 +286,10 @@ def test_marks_in_paths(spark):
     assert tk.query_phrases("È") == tk.query_phrases(unicodedata.normalize("NFD", "È")) == [("e",)]
 
 
+def test_places_of_roots_with_a_scheme():
+    assert service.places("hdfs://n/x/", None) == ("hdfs://n/x/", "hdfs://n/x/.siftline") and service.places("s3://b/x", "/tmp/i") == ("s3://b/x", "file:///tmp/i")
+
+
 def test_resident_service(monkeypatch):
     echo = "import sys, json\nfor line in sys.stdin:\n    m = json.loads(line); q = m['params']['arguments']['query']\n    if q == 'end': break\n    if q == 'wait': import time; time.sleep(30)\n    print('noise', flush=True)\n    print(json.dumps({'id': m['id'], 'result': {'structuredContent': {'results': [{'filepath': q, 'start_line': 1, 'end_line': 1, 'raw_snippet': 'x', 'score': -2.0}]}}}), flush=True)"
     start = adapter.subprocess.Popen

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from siftline.llm import decontaminate, line_dedup, mixing
 
-from test_operators import brute_components, words
+from test_operators import brute_components, lines_by_definition, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,10 +59,9 @@ def test_stages_against_brute_force(spark, corpus):
             assert len(gone & toxic) >= 0.95 * len(toxic) and len(gone - toxic) <= 4 and {None, 500, 501} <= {*ids}
         elif name == "line_dedup":
             rows = {r.doc_id: r.text.split("\n") for r in before if r.doc_id is not None and r.text}
+            judged = lines_by_definition(rows, line_dedup.MIN_BLOCK_CHARS)
             for i, b in rows.items():
-                earlier = [a for j, a in rows.items() if j < i]
-                lost = set(range(len(b))) if b in earlier else {q for a in earlier for q in line_dedup.repeated([*map(hash, a)], [*map(hash, b)], [len(x.strip(" ")) for x in b], line_dedup.MIN_BLOCK_CHARS)}
-                kept = "\n".join(x for q, x in enumerate(b) if q not in lost)
+                kept, lost = ("", True) if b in [a for j, a in rows.items() if j < i] else judged[i]
                 assert text.get(i) == (None if lost and not kept.strip(" ") else kept), i
         elif name == "near_duplicates":
             component, _ = brute_components([(r.doc_id, r.text) for r in before if r.doc_id is not None], 5, 80)

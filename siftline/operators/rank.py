@@ -23,7 +23,7 @@ from .index import RANGE, Index, bit, local
 
 MANY = 20_000  # rows, ranges or chunks up to which the driver names what is to be read; beyond, a join does
 FEW = 1000
-PRUNED = 256  # blocks of a query from which bounds are worth a job
+PRUNED = 10_000  # blocks of a query from which bounds are worth their jobs
 DIGITS = 9  # scores that are equal to so many are ties
 
 

@@ -1,16 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into passages of 64 words, 32 apart. Their terms are the benchmark's words, weighed by
-inverse document frequency over all passages; terms in more than ``STOP_SHARE`` of them are left out. Items
-of any length are cut into pieces of a passage's length at most, each of which keeps its eight rarest. A randomised SVD of the passages' normalised TF-IDF rows (a random
-range, one power step and a Rayleigh-Ritz step; the products are summed over all passages on the
-executors) gives ``RANK`` latent directions. Pieces meet the passages of a latent cosine of at least
-``MIN_COSINE``; those that also share half of a piece's terms are checked: the longest common
-subsequence of the whole item's words with the passage and its surroundings must reach ``MIN_LCS`` of the item,
-or a lesser share (``MIN_LCS_ANSWER``) along with nine tenths of its answer, the last quarter of its words.
-No leak by these rules depends on the latent space: whoever has it lacks few of the item's words, so one of
-any few more has to stand there. The item's rarest words that many (``Item.anchors``) lead to all passages
-around them, and those whose surroundings hold enough of the item's words are checked as well.
+Texts are cut into passages of 64 words. Their terms are the benchmark's words, weighed by inverse document
+frequency over all passages; terms in more than ``STOP_SHARE`` of them are left out. Items of any length are cut
+into pieces of a passage's length at most, each of which keeps its eight rarest. A randomised SVD of the
+passages' normalised TF-IDF rows (a random range, one power step and a Rayleigh-Ritz step; the products are summed
+over all passages on the executors) gives ``RANK`` latent directions. Texts are then searched in windows that
+overlap by half, of 64 words for pieces of over 32 words and of 32 for others. Items whose piece has a latent cosine of
+at least ``MIN_COSINE`` with a window are its candidates; only these are checked, against the window and its surroundings:
+
+* the longest common subsequence of the item's words with them reaches ``MIN_LCS`` of the item, or
+* ``MIN_LCS_ANSWER`` of it and nine tenths of its answer, the last quarter of its words, or
+* (paraphrases) ``MIN_LCS_NEAR`` of it and nine tenths of its answer, both within a stretch a quarter longer than the item;
+  for answers of at least ``LEAST_ANSWER`` words.
+
+A leak without a candidate isn't found; ``recall`` counts, over all texts, the leaks by the first two rules and those of them
+that have one. For that it looks for them by words alone: whoever leaks an item lacks few of its words, so one of any few more has to stand there. The
+item's rarest words that many (``Item.anchors``) lead to all passages around them, and those whose surroundings hold
+enough of the item's words are aligned.
 
 Defined cases: null and empty texts are clean; an item without words matches nothing; ASCII letter case
 and spacing don't count; repeated rows get the same result; without items all texts are clean; a column of
@@ -31,17 +37,20 @@ from pyspark.sql import functions as F
 from . import _arrays as A
 from ._common import fresh, small_batches, staged, table
 
-STRIDE = 32  # words; a passage is two strides
-RANK = 48
-STOP_SHARE = 0.02
+STRIDE = 16  # words
+SHORT, LONG = 2, 4  # strides of a window; a passage is a long one
+RANK = 96
+STOP_SHARE = 0.04
 MIN_TERMS = 8
-MIN_COSINE = 0.3
-MIN_SHARED = 0.5
+MIN_COSINE = 0.4
 MIN_LCS = 0.8
 MIN_LCS_ANSWER = 0.6
+MIN_LCS_NEAR = 0.45
 MIN_ANSWER = 0.9
+LEAST_ANSWER = 4
 BLOCK_BYTES = 4 << 20
 CACHED = 256  # passages multiplied at a time
+PIECES = 1024  # compared at a time
 _FILTER = 1 << 20
 
 
@@ -73,69 +82,78 @@ def _batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterato
             yield batch, i, hashes, bounds
 
 
-def _strides(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first stride of each text and the number of strides in all, one empty one after each text."""
-    n = -(-np.diff(bounds) // STRIDE) + 1
+def _strides(bounds: np.ndarray, size: int = STRIDE) -> tuple[np.ndarray, int]:
+    """The first stride of each text and the number of strides in all, of ``size`` words; after each text so many empty ones that no window reaches the next."""
+    n = -(-np.diff(bounds) // size) + LONG
     first = np.concatenate([[0], np.cumsum(n)])
-    return first[:-1], first[-1:]
+    return first[:-1], int(first[-1])
 
 
-def _place(bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
+def _place(bounds: np.ndarray, at: np.ndarray, size: int = STRIDE) -> tuple[np.ndarray, int]:
     """The stride of each word position."""
-    first, total = _strides(bounds)
+    first, total = _strides(bounds, size)
     doc = np.searchsorted(bounds, at, "right") - 1
-    return first[doc] + (at - bounds[doc]) // STRIDE, int(total[0])
+    return first[doc] + (at - bounds[doc]) // size, total
 
 
-def frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
-    """In how many strides each term stands, over all texts, and the number of strides."""
-    n = len(terms.hashes)
+def term_rows(docs: DataFrame, terms: Terms) -> DataFrame:
+    """The terms of all texts as a row for each slice of texts: how many each passage has (``counts``, with empty passages between texts), the terms, and the number of passages with words."""
+    kind = _kind(terms)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, total = np.zeros(n + 1, np.int64), 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, hashes, bounds in _batches(batches):
             at, found = terms.find(hashes)
-            place, _ = _place(bounds, at)
-            df[:n] += np.bincount(np.unique(place * n + found) % max(n, 1), minlength=n)[:n] if len(at) else 0
-            total += int((-(-np.diff(bounds) // STRIDE)).sum())
-        df[n] = total
+            place, total = _place(bounds, at, LONG * STRIDE)
+            counts = np.bincount(place, minlength=total).astype(np.uint8)
+            n = int((-(-np.diff(bounds) // (LONG * STRIDE))).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([n]), *(pa.array([x.tobytes()], pa.binary()) for x in (counts, found.astype(kind)))], ["n", "counts", "term"])
+
+    return docs.select("text").mapInArrow(cut, "n long, counts binary, term binary")
+
+
+def _kind(terms: Terms) -> np.dtype:
+    return np.min_scalar_type(len(terms.hashes))
+
+
+def _unpacked(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Passage and term of each term that stands in a slice."""
+    for c, t in zip(batch.column("counts"), batch.column("term"), strict=True):
+        counts = np.frombuffer(c.as_buffer(), np.uint8)
+        yield np.repeat(np.arange(len(counts)), counts), np.frombuffer(t.as_buffer(), kind).astype(np.int64)
+
+
+def frequencies(rows: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+    """In how many passages each term stands, over all texts, and the number of passages."""
+    n, kind = len(terms.hashes), _kind(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(n + 1, np.int64)
+        for batch in batches:
+            df[n] += sum(batch.column("n").to_pylist())
+            for place, term in _unpacked(batch, kind):
+                df[:n] += np.bincount(np.unique(place * n + term) % n, minlength=n)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term
     out = np.zeros(n + 1, np.int64)
-    for r in rows:
+    for r in rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
         out[r.term] = r.n
     return out[:n], int(out[n])
 
 
-def term_rows(docs: DataFrame, terms: Terms, number: np.ndarray) -> DataFrame:
-    """The weighed terms of all texts with their strides, as a row for each slice of texts."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, hashes, bounds in _batches(batches):
-            at, found = terms.find(hashes)
-            found = number[found]
-            at, found = at[found >= 0], found[found >= 0]
-            place, _ = _place(bounds, at)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (place.astype(np.int32), found.astype(np.int32))], ["place", "term"])
-
-    return docs.select("text").mapInArrow(cut, "place binary, term binary")
-
-
 def _passages(place: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF rows of length 1 as (passage, term, weight); a passage is a stride and the next one."""
+    """TF-IDF rows of length 1 as (passage, term, weight)."""
     n = len(idf)
-    key, tf = np.unique(np.concatenate([place, place - 1]) * n + np.concatenate([term, term]), return_counts=True)
+    key, tf = np.unique(place * n + term, return_counts=True)
     row, col = key // n, key % n
-    weight = (1 + np.log(tf)) * idf[col]
+    weight = tf * idf[col]
     start = np.flatnonzero(np.diff(row, prepend=-9))
     norm = np.sqrt(np.add.reduceat(weight**2, start))
     size = np.diff(np.append(start, len(row)))
     return np.repeat(np.arange(len(start)), size), col, weight / np.repeat(norm, size)
 
 
-def _times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _times(rows: DataFrame, kind: np.dtype, number: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """XᵀX times ``basis``, summed over all passages."""
     n, r = basis.shape
     block = 512
@@ -145,8 +163,9 @@ def _times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, some = np.zeros((n, r)), False
         for batch in batches:
-            for p, t in zip(batch.column("place"), batch.column("term"), strict=True):
-                place, term = np.frombuffer(p.as_buffer(), np.int32).astype(np.int64), np.frombuffer(t.as_buffer(), np.int32).astype(np.int64)
+            for place, term in _unpacked(batch, kind):
+                term = number[term]
+                place, term = place[term >= 0], term[term >= 0]
                 if not len(place):
                     continue
                 rows_, cols, weights = _passages(place, term, idf)
@@ -175,12 +194,12 @@ def _times(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent(rows: DataFrame, kind: np.dtype, number: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """The leading right singular directions of the passages, terms x rank."""
     rank = min(rank, len(idf))
     basis = np.linalg.qr(np.random.default_rng(3).standard_normal((len(idf), rank)))[0]
-    basis = np.linalg.qr(_times(rows, idf, basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ _times(rows, idf, basis))
+    basis = np.linalg.qr(_times(rows, kind, number, idf, basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ _times(rows, kind, number, idf, basis))
     return basis @ turn[:, np.argsort(-values)]
 
 
@@ -197,7 +216,7 @@ def lcs(item: list[int], masks: dict[int, int], words: list[int]) -> int:
 
 def pieces(words: np.ndarray) -> list[np.ndarray]:
     """The words in parts of about equal length, none longer than a passage."""
-    return np.array_split(words, -(-len(words) // (2 * STRIDE)))
+    return np.array_split(words, -(-len(words) // (LONG * STRIDE)))
 
 
 class Item:
@@ -209,12 +228,13 @@ class Item:
             for i, w in enumerate(words_):
                 masks[w] = masks.get(w, 0) | 1 << i
         n = len(self.words)
-        self.least = next(x for x in range(n + 1) if x / n >= min(MIN_LCS, MIN_LCS_ANSWER))
+        self.sure = next(x for x in range(n + 1) if x / n >= min(MIN_LCS, MIN_LCS_ANSWER))
+        self.least = min(self.sure, next(x for x in range(n + 1) if x / n >= MIN_LCS_NEAR)) if len(self.answer) >= LEAST_ANSWER else self.sure
 
     @property
     def margin(self) -> int:
         """How many words on both sides of a passage are aligned."""
-        return max(STRIDE, len(self.words))
+        return max(SHORT * STRIDE, len(self.words))
 
     def anchors(self, often: list[int]) -> set[int]:
         """Places of words of which every leak has one: rare ones, by how ``often`` each stands in the texts."""
@@ -230,6 +250,16 @@ class Item:
         return share, share >= MIN_LCS_ANSWER and lcs(self.answer, self.answer_masks, words) >= MIN_ANSWER * len(self.answer)
 
 
+    def paraphrased(self, words: list[int]) -> bool:
+        """Whether a stretch that is hardly longer than the item has the answer and enough of the rest."""
+        n, m = len(self.words), len(self.answer)
+        if m < LEAST_ANSWER or lcs(self.answer, self.answer_masks, words) < MIN_ANSWER * m:
+            return False
+        step = n // 4
+        parts = (words[i : i + n + step] for i in range(0, max(1, len(words) - n), step))
+        return any(lcs(self.answer, self.answer_masks, x) >= MIN_ANSWER * m and lcs(self.words, self.masks, x) >= MIN_LCS_NEAR * n for x in parts)
+
+
 def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For groups of these sizes, the group of each member and its place there."""
     group = np.repeat(np.arange(len(sizes)), sizes)
@@ -240,39 +270,29 @@ class Searcher:
     """All that a task needs to find items in texts."""
 
     def __init__(self, terms: Terms, number: np.ndarray, idf: np.ndarray, basis: np.ndarray, items: list[tuple[int, np.ndarray]], df: np.ndarray):
-        self.terms, self.number, self.idf, self.basis = terms, number, idf, basis.astype(np.float32)
+        self.terms, self.number = terms, number
+        self.weighed = (basis * idf[:, None]).astype(np.float32)
         self.ids = [i for i, _ in items]
         self.items = [Item(w) for _, w in items]
         cut = [(k, piece) for k, (_, w) in enumerate(items) for piece in pieces(w)]
-        self.item_of = np.array([k for k, _ in cut], np.int64)
-        held = [np.unique(own[own >= 0]) for own in (number[terms.find(w)[1]] for _, w in cut)]
-        sizes = np.array([len(x) for x in held], np.int64)
-        piece, term = np.repeat(np.arange(len(cut)), sizes), np.concatenate(held)
-        self.held = piece * len(idf) + term
-        self.maybe = np.zeros(_FILTER, bool)
-        self.maybe[self._slot(self.held)] = True
-        q = np.zeros((len(cut), basis.shape[1]))
-        np.add.at(q, piece, basis[term] * idf[term, None])
-        self.queries = self._unit(q).astype(np.float32)
-        self.least = MIN_SHARED * sizes
+        short = np.array([len(x) <= SHORT * STRIDE for _, x in cut])
+        vectors = np.stack([self.weighed[own[own >= 0]].sum(0) for own in (number[terms.find(w)[1]] for _, w in cut)])
+        of = np.array([k for k, _ in cut], np.int64)
+        self.queries = [(width, of[some], self._unit(vectors[some])) for width, some in ((SHORT, short), (LONG, ~short)) if some.any()]
         every = [terms.find(w)[1] for _, w in items]
         own = [np.unique(w, return_counts=True) for w in every]
         self.n_own = np.array([len(w) for w, _ in own], np.int64)
         self.own, self.times = (np.concatenate(x) for x in zip(*own, strict=True))
-        self.margins, self.needs = np.array([[x.margin, x.least] for x in self.items], np.int64).T
+        self.margins, self.needs, self.sure_needs = np.array([[x.margin, x.least, x.sure] for x in self.items], np.int64).T
         links = np.unique([(w[i], k) for k, w in enumerate(every) for i in self.items[k].anchors(df[w].tolist())], axis=0)
         self.anchored, self.n_anchored = links[:, 1], np.bincount(links[:, 0], minlength=len(df))
 
-    @staticmethod
-    def _slot(held: np.ndarray) -> np.ndarray:
-        return (held * 0x2545F491 >> 12) & (_FILTER - 1)
-
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def _enough(self, keys: np.ndarray, n: int, items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Whether the words from ``lo`` to ``hi`` hold as many of the item's words as a leak needs, in any order."""
+    def _enough(self, keys: np.ndarray, n: int, items: np.ndarray, lo: np.ndarray, hi: np.ndarray, needs: np.ndarray) -> np.ndarray:
+        """Whether the words from ``lo`` to ``hi`` can hold as many of the item's words as a leak needs: a word that stands there counts as often as the item has it."""
         out = np.zeros(len(items), bool)
         begin = np.cumsum(self.n_own) - self.n_own
         for i in range(0, len(items), 4096):
@@ -280,89 +300,99 @@ class Searcher:
             group, place = _spread(self.n_own[k])
             own = begin[k][group] + place
             base = self.own[own] * n
-            held = np.searchsorted(keys, base + hi[i : i + 4096][group]) - np.searchsorted(keys, base + lo[i : i + 4096][group])
-            out[i : i + 4096] = np.bincount(group, np.minimum(held, self.times[own]), len(k)) >= self.needs[k]
+            held = keys[np.searchsorted(keys, base + lo[i : i + 4096][group])] < base + hi[i : i + 4096][group]
+            out[i : i + 4096] = np.bincount(group, held * self.times[own], len(k)) >= needs[k]
         return out
 
-    def _sure(self, at: np.ndarray, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(passage, item) of all that can be leaks by their words."""
+    def _around(self, begins: np.ndarray, ends: np.ndarray, items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of the windows from ``begins`` to ``ends`` with their surroundings, as far as an item's leak reaches."""
+        first, _ = _strides(bounds)
+        doc = np.searchsorted(first, begins, "right") - 1
+        lo, hi = (bounds[doc] + (x - first[doc]) * STRIDE for x in (begins, ends))
+        return np.maximum(lo - self.margins[items], bounds[doc]), np.minimum(hi + LONG * STRIDE + self.margins[items], bounds[doc + 1])
+
+    def _checked(self, begins: np.ndarray, ends: np.ndarray, items: np.ndarray, at: np.ndarray, found: np.ndarray, bounds: np.ndarray, needs: np.ndarray) -> np.ndarray:
+        """(window, item) of the windows from ``begins`` to ``ends`` that have enough of the item's words around them."""
         n = int(bounds[-1]) + 1
         order = np.argsort(found, kind="stable")
-        keys = found[order] * n + at[order]
+        keys = np.append(found[order] * n + at[order], np.iinfo(np.int64).max)
+        ok = self._enough(keys, n, items, *self._around(begins, ends, items, bounds), needs)
+        begins, ends, items = begins[ok], ends[ok], items[ok]
+        group, nth = _spread(ends - begins + 1)
+        pairs = np.unique((begins[group] + nth) * len(self.items) + items[group])
+        window, items = np.divmod(pairs, len(self.items))
+        ok = self._enough(keys, n, items, *self._around(window, window, items, bounds), needs)
+        return np.stack([window[ok], items[ok]], 1)
+
+    def sure(self, at: np.ndarray, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(window, item) of all long windows that overlap by half and can be leaks by their words, without the latent space."""
         first, total = _strides(bounds)
-        last = np.append(first[1:], total) - 2  # the last stride with words
+        last = np.append(first[1:], total) - LONG - 1  # the last stride with words
         some = np.flatnonzero(self.n_anchored[found])
         place, _ = _place(bounds, at[some])
         group, nth = _spread(self.n_anchored[found[some]])
         begin = np.cumsum(self.n_anchored) - self.n_anchored
         pairs = np.unique(place[group] * len(self.items) + self.anchored[begin[found[some]][group] + nth])
         place, items = np.divmod(pairs, len(self.items))
-
-        def words(begins: np.ndarray, ends: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            doc = np.searchsorted(first, begins, "right") - 1
-            lo, hi = (bounds[doc] + (x - first[doc]) * STRIDE for x in (begins, ends))
-            return doc, np.maximum(lo - self.margins[items], bounds[doc]), np.minimum(hi + 2 * STRIDE + self.margins[items], bounds[doc + 1])
-
         doc = np.searchsorted(first, place, "right") - 1
         reach = -(-self.margins[items] // STRIDE)
-        begins, ends = np.maximum(place - 1 - reach, first[doc]), np.minimum(place + reach, last[doc])  # passages whose surroundings may hold the anchor
-        ok = self._enough(keys, n, items, *words(begins, ends, items)[1:])
-        begins, ends, items = begins[ok], ends[ok], items[ok]
-        group, nth = _spread(ends - begins + 1)
-        pairs = np.unique((begins[group] + nth) * len(self.items) + items[group])
-        passage, items = np.divmod(pairs, len(self.items))
-        ok = self._enough(keys, n, items, *words(passage, passage, items)[1:])
-        return np.stack([passage[ok], items[ok]], 1)
-
-    def _near(self, at: np.ndarray, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(passage, item) of those that meet in the latent space."""
-        none = np.zeros((0, 2), np.int64)
-        found = self.number[found]
-        at, found = at[found >= 0], found[found >= 0]
-        if not len(at):
-            return none
-        place, _ = _place(bounds, at)
-        n = len(self.idf)
-        key, tf = np.unique(np.concatenate([place, place[place > 0] - 1]) * n + np.concatenate([found, found[place > 0]]), return_counts=True)
-        row, col = key // n, key % n
-        start = np.flatnonzero(np.diff(row, prepend=-9))
-        passage, size = row[start], np.diff(np.append(start, len(row)))
-        least = max(1, int(np.ceil(self.least.min())))
-        vectors = np.add.reduceat(self.basis[col] * ((1 + np.log(tf)) * self.idf[col]).astype(np.float32)[:, None], start)
-        some = np.flatnonzero(size >= least)  # fewer terms can't be half of any piece's
-        if not len(some):
-            return none
-        rows, cuts = np.nonzero(self._unit(vectors[some]) @ self.queries.T >= MIN_COSINE)
-        rows = some[rows]
-        ok = size[rows] >= self.least[cuts]
-        rows, cuts = rows[ok], cuts[ok]
-        if not len(rows):
-            return none
-        lengths = size[rows]
-        inside = np.repeat(start[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        wanted = np.repeat(cuts, lengths) * n + col[inside]
-        hit = np.flatnonzero(self.maybe[self._slot(wanted)])
-        at = np.minimum(np.searchsorted(self.held, wanted[hit]), len(self.held) - 1)
-        shared = np.bincount(np.repeat(np.arange(len(rows)), lengths)[hit[self.held[at] == wanted[hit]]], minlength=len(rows))
-        ok = shared >= self.least[cuts]
-        return np.stack([passage[rows[ok]], self.item_of[cuts[ok]]], 1)
-
-    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, tuple[float, bool]]]:
-        """By text, by item: the share of the item found and whether it counts as a leak."""
+        begins, ends = np.maximum(place - LONG + 1 - reach, first[doc]), np.minimum(place + reach, last[doc])  # windows whose surroundings may hold the anchor
+        pairs = self._checked(begins, ends, items, at, found, bounds, self.sure_needs)
+        return pairs[(pairs[:, 0] - first[np.searchsorted(first, pairs[:, 0], "right") - 1]) % SHORT == 0]
+
+    def candidates(self, at: np.ndarray, found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items that meet in the latent space."""
+        windows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        own = self.number[found]
+        at, own = at[own >= 0], own[own >= 0]
+        if len(at):
+            place, total = _place(bounds, at)
+            start = np.flatnonzero(np.diff(place, prepend=-1))
+            strides = np.zeros((total + LONG, self.weighed.shape[1]), np.float32)
+            strides[place[start]] = np.add.reduceat(self.weighed[own], start)
+            first, _ = _strides(bounds)
+            for width, of, queries in self.queries:
+                step = width // 2
+                doc, nth = _spread(-(-np.diff(bounds) // (STRIDE * step)))
+                begins = first[doc] + nth * step
+                vectors = strides[begins]
+                for i in range(1, width):
+                    vectors += strides[begins + i]
+                least = MIN_COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), np.float32(1e-6))[:, None]
+                for i in range(0, len(of), PIECES):
+                    near, piece = np.nonzero(vectors @ queries[i : i + PIECES].T >= least)
+                    windows.append(begins[near])
+                    items.append(of[i + piece])
+        pairs = np.unique(np.concatenate(windows) * len(self.items) + np.concatenate(items))
+        return np.divmod(pairs, len(self.items))
+
+    def near(self, at: np.ndarray, found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(window, item) of the candidates that can be leaks."""
+        windows, items = self.candidates(at, found, bounds)
+        order = np.lexsort((windows, items))
+        windows, items = windows[order], items[order]
+        new = np.ones(len(windows), bool)
+        new[1:] = (np.diff(items) != 0) | (np.diff(windows) > LONG)  # windows in a row are first judged together
+        last = np.append(new[1:], True)[: len(new)]
+        return self._checked(windows[new], windows[last], items[new], at, found, bounds, self.needs)
+
+    def find(self, hashes: np.ndarray, bounds: np.ndarray, by_words: bool = False) -> dict[int, dict[int, tuple[float, bool]]]:
+        """By text, by item: the share of the item found and whether it counts as a leak; ``by_words`` the leaks that can be told without the latent space."""
         at, found = self.terms.find(hashes)
         out: dict[int, dict[int, tuple[float, bool]]] = {}
         if not len(at) or not len(self.items):
             return out
+        pairs = (self.sure if by_words else self.near)(at, found, bounds)
         first, _ = _strides(bounds)
-        for p, k in np.unique(np.concatenate([self._sure(at, found, bounds), self._near(at, found, bounds)]), axis=0).tolist():
-            doc = int(np.searchsorted(first, p, "right")) - 1
-            item, begin = self.items[k], bounds[doc] + (p - first[doc]) * STRIDE
-            words = hashes[max(bounds[doc], begin - item.margin) : min(bounds[doc + 1], begin + 2 * STRIDE + item.margin)].tolist()
+        docs = np.searchsorted(first, pairs[:, 0], "right") - 1
+        lo, hi = self._around(pairs[:, 0], pairs[:, 0], pairs[:, 1], bounds)
+        for doc, k, a, b in zip(docs.tolist(), pairs[:, 1].tolist(), lo.tolist(), hi.tolist(), strict=True):
             best = out.setdefault(doc, {})
             before, leak = best.get(k, (0.0, False))
             if not leak or before < 1:
-                share, now = item.score(words)
-                best[k] = max(before, share), leak or now
+                words = hashes[a:b].tolist()
+                share, now = self.items[k].score(words)
+                best[k] = max(before, share), leak or now or (not by_words and share >= MIN_LCS_NEAR and self.items[k].paraphrased(words))
         return out
 
 
@@ -381,7 +411,8 @@ def searcher(docs: DataFrame, benchmark: DataFrame) -> Searcher | None:
     if not items:
         return None
     terms = Terms(np.unique(hashes))
-    df, total = frequencies(docs, terms)
+    passages = staged(term_rows(docs, terms), "passage-terms")
+    df, total = frequencies(passages, terms)
     keep = df <= max(1, STOP_SHARE * total)
     for _, words in items:
         for piece in pieces(words):
@@ -389,7 +420,7 @@ def searcher(docs: DataFrame, benchmark: DataFrame) -> Searcher | None:
             keep[own[np.argsort(df[own], kind="stable")[:MIN_TERMS]]] = True
     number = np.where(keep, np.cumsum(keep) - 1, -1)
     idf = np.log((1 + total) / (1 + df[keep])) + 1e-6
-    basis = latent(staged(term_rows(docs, terms, number), "passage-terms"), idf)
+    basis = latent(passages, _kind(terms), number, idf)
     return Searcher(terms, number, idf, basis, items, df)
 
 
@@ -427,6 +458,26 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, names: list[str]) -> DataFrame
     return out
 
 
+def recall(docs: DataFrame, benchmark: DataFrame) -> tuple[int, int]:
+    """The leaks by words over all texts, and how many of them the latent search finds."""
+    small_batches(docs.sparkSession)
+    of_all = found = 0
+    for part in blocks(benchmark):
+        if (search := searcher(docs, part)) is None:
+            continue
+
+        def count(batches: Iterator[pa.RecordBatch], search: Searcher = search) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(2, np.int64)
+            for _, _, hashes, bounds in _batches(batches):
+                told, got = ({(d, k) for d, hits in search.find(hashes, bounds, w).items() for k, (_, leak) in hits.items() if leak} for w in (True, False))
+                n += len(told), len(told & got)
+            yield pa.RecordBatch.from_arrays([pa.array(n[:1]), pa.array(n[1:])], ["of_all", "found"])
+
+        row = docs.select("text").mapInArrow(count, "of_all long, found long").agg(F.sum("of_all"), F.sum("found")).first()
+        of_all, found = of_all + (row[0] or 0), found + (row[1] or 0)
+    return of_all, found
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the ids of the items that each text leaks and the largest share of an item found."""
     names = ["leaked_items", "best_share"]

@@ -524,7 +524,7 @@ def test_decontaminate_long_items(spark):
     assert {i: x for i, x in got.items() if x} == {50: [1], 51: [2], 53: [1]}
 
 
-def test_decontaminate_finds_all_leaks_by_the_rules(spark):
+def test_decontaminate_tells_all_leaks_by_words(spark):
     rng = random.Random(9)
     vocabulary = [words(1, 500 + i) for i in range(1500)]
     prose = lambda n: [vocabulary[min(int(rng.paretovariate(0.6)), 1500) - 1] for _ in range(n)]
@@ -537,7 +537,9 @@ def test_decontaminate_finds_all_leaks_by_the_rules(spark):
         other = list(benchmark[rng.randrange(150)][1])
         texts.append((i, " ".join([*prose(rng.randint(0, 90)), *other[: rng.randint(0, 20)], *w, *prose(rng.randint(0, 90))])))
     items = spark.createDataFrame([(k, " ".join(w)) for k, w in benchmark], "item_id long, text string")
-    got = {r.doc_id: set(r.leaked_items) for r in decontaminate.leaks(frame(spark, texts), items).collect()}
+    search = decontaminate.searcher(frame(spark, texts), items)
+    found = search.find(*_arrays.words(*_arrays.flat(pa.array([t for _, t in texts]))), by_words=True)
+    got = [{search.ids[k] for k, (_, leak) in found.get(i, {}).items() if leak} for i in range(len(texts))]
     judged = [(k, decontaminate.Item(np.array([vocabulary.index(x) for x in w], np.uint64))) for k, w in benchmark]
     for i, t in texts:
         w = [vocabulary.index(x) for x in t.split()]
@@ -545,6 +547,34 @@ def test_decontaminate_finds_all_leaks_by_the_rules(spark):
         assert got[i] == {k for k, x in judged if any(x.score(part)[1] for part in around(x))}
 
 
+def test_decontaminate_latent_search_finds_leaks_and_leaves_others(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "benchmark"))
+    of_all, found = decontaminate.recall(docs, items)
+    assert of_all >= 20 and found >= 0.95 * of_all
+    rng = random.Random(4)
+    shuffled = [(r.doc_id, " ".join(rng.sample(w := r.text.split(), len(w)))) for r in docs.where("text is not null").collect()]
+    assert decontaminate.leaks(frame(spark, shuffled), items).where("size(leaked_items) > 0").count() == 0
+
+
+def test_decontaminate_finds_paraphrases_by_meaning_and_answer(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "benchmark"))
+    rng, corpus = random.Random(5), [(r.doc_id, r.text) for r in docs.where("text is not null").collect()]
+    every = [w for _, t in corpus for w in t.split()]
+    planted = []
+    for r in items.collect():
+        w = r.text.split()
+        for j in rng.sample(range(len(w) - max(1, len(w) // 4)), len(w) // 2):
+            w[j] = rng.choice(every)
+        at = rng.randrange(len(every) - 300)
+        planted.append((1_000_000 + r.item_id, " ".join([*every[at : at + rng.randint(0, 150)], *w, *every[at + 150 : at + rng.randint(150, 300)]])))
+    got = {r.doc_id: r.leaked_items for r in decontaminate.leaks(frame(spark, corpus + planted), items).where("doc_id >= 1000000").collect()}
+    search = decontaminate.searcher(frame(spark, corpus + planted), items)
+    by_words = search.find(*_arrays.words(*_arrays.flat(pa.array([t for _, t in planted]))), by_words=True)
+    told = sum(any(leak and search.ids[k] == planted[i][0] - 1_000_000 for k, (_, leak) in hits.items()) for i, hits in by_words.items())
+    assert told < 0.3 * len(planted)
+    assert sum(i - 1_000_000 in x for i, x in got.items()) >= 0.75 * len(planted)
+
+
 def test_mixing_of_several_shards_equals_sql(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.when(F.col("source") > "src5", F.col("source")).otherwise("a").alias("source"))
     sql = mixing.OP7_SQL.replace(f"{mixing.SHARD_ROWS - 1}) // {mixing.SHARD_ROWS}", "49) // 50")

@@ -4,6 +4,7 @@ import math
 import sqlite3
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,3 +282,19 @@ def test_undecodable_text(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"ok \xff\xfe caf\xc3\xa9 \xe2\x82")
     row = src.read_files(spark, str(tmp_path)).first()
     assert row.text == b"ok \xff\xfe caf\xc3\xa9 \xe2\x82".decode(errors="replace") and row.filepath == "a.md"
+
+
+def test_terms_cut_together_are_those_cut_one_by_one(spark):
+    texts = ["", " ", "plain words only", "getUserName and user_name", "_x __ a_ _", "HTTPServer2Go x", "認証設定a期限 b", "漢", "漢 字", "x\ny_z\n\nABC", "İK straße É", "a1b2 3c 44", "wordаword", "getUser", "a_b c_d e", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in d.select("t", tk.text_terms(F.col("t")).alias("a"), tk.body_terms(tk.tokens(F.col("t"))).alias("b")).collect():
+        assert r.a == r.b, r.t
+
+
+def test_bounds_of_a_long_file_take_time_by_its_lines(spark):
+    n = 20000
+    d = spark.createDataFrame([("x\n" * n,)], "text string").select(tx.lines(F.col("text")).alias("ls"))
+    begun = time.monotonic()
+    got = d.select(F.explode(bounds(F.col("ls"), 10, 3)).alias("c")).select("c.*").collect()
+    assert time.monotonic() - begun < 20
+    assert [r[:] for r in got] == [(s + 1, min(s + 10, n)) for s in range(0, n, 7) if s == 0 or s + 3 < n]

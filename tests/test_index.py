@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sys
 import unicodedata
 
@@ -306,3 +307,16 @@ def test_resident_service(monkeypatch):
     assert late["isError"] and "timeout" in late["content"][0]["text"]
     adapter.resident("/i").close()
     adapter._service.cache_clear()
+
+
+def test_fetch_compares_pages_with_each_number(spark):
+    rows = [(f"f{i:03d}", 1, 1, f"same t{i}") for i in range(200)]
+    index = ix.Index.of(spark.createDataFrame(rows, "filepath string, start_line int, end_line int, raw_snippet string").repartition(4))
+    numbers = [r.no for r in index.chunks().collect()][::9]
+    got = index.fetch({"": numbers})
+    assert sorted(r.no for r in got.collect()) == sorted(numbers)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    lists = re.findall(r"no#\d+L (?:IN|INSET) \(?([\d, ]*)", plan)
+    assert lists and all(len(x.split(",")) <= 10 for x in lists)  # longer ones become a span from the least to the largest
+    hits = rank.best(index, {0: "same"}, 20)
+    assert hits.count() == 20 and "Coalesce 1" not in hits._jdf.queryExecution().toString()

@@ -9,6 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from siftline.config import Settings
 from siftline.functions import tokenize as tk
 from siftline.operators import index as ix
 from siftline.operators import rank
@@ -309,6 +310,32 @@ def test_resident_service(monkeypatch):
     adapter._service.cache_clear()
 
 
+def test_range_blocks_are_those_of_occurrences(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "SLICE_ROWS", 300)  # many slices, and ranges longer than one
+    text = lambda i: " ".join(f"w{(i * j) % 17}" for j in range(i % 23)) + (" getUserName a_b 認証設定" if i % 5 == 0 else "")
+    rows = [(f"d{i % 3}/w1_{i}.md", 1, 1, text(i)) for i in range(300)] + [("", 1, 1, "")]
+    made = spark.createDataFrame(rows, "filepath string, start_line int, end_line int, raw_snippet string").repartition(3)
+    table = ix.write_chunks(made, f"file://{tmp_path}/chunks")
+    for settings in (ix.DEFAULT, Settings(path_weight=0.1, body_weight=0.3)):
+        want = {(r.term, r.range): r for r in ix.blocks(ix.occurrences(table), settings=settings).collect()}
+        got = {(r.term, r.range): r for r in ix.range_blocks(table, settings).collect()}
+        assert got == want
+    words = {r.term: r[:] for r in ix.dictionary(ix.range_blocks(table, postings=False)).collect()}
+    assert words == {r.term: r[:] for r in ix.dictionary(ix.blocks(ix.occurrences(table))).collect()}
+
+
+def test_index_moves_no_occurrences(spark, monkeypatch, tmp_path):
+    """A segment and a dictionary are made of chunks and blocks; occurrences are rows only for the terms that are asked."""
+    monkeypatch.setattr(ix, "occurrences", None)
+    monkeypatch.setattr(ix, "TASK_ROWS", 50)  # buckets dealt to several tasks
+    rows = [(f"w{i}", 1, 1, " ".join(["same"] * 20 + [f"x{i % 7}"])) for i in range(200)]
+    made = spark.createDataFrame(rows, "filepath string, start_line int, end_line int, raw_snippet string")
+    ix.replace(made, f"file://{tmp_path}/index")
+    got = {r.term: (r.df, r.times) for r in ix.Index.open(spark, f"file://{tmp_path}/index").terms().collect()}
+    assert got == {r.term: (r.df, r.times) for r in ix.Index.of(made).terms().collect()}
+    assert got["same"] == (200, 4000)
+
+
 def test_fetch_compares_pages_with_each_number(spark):
     rows = [(f"f{i:03d}", 1, 1, f"same t{i}") for i in range(200)]
     index = ix.Index.of(spark.createDataFrame(rows, "filepath string, start_line int, end_line int, raw_snippet string").repartition(4))

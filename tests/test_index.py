@@ -347,3 +347,71 @@ def test_fetch_compares_pages_with_each_number(spark):
     assert lists and all(len(x.split(",")) <= 10 for x in lists)  # longer ones become a span from the least to the largest
     hits = rank.best(index, {0: "same"}, 20)
     assert hits.count() == 20 and "Coalesce 1" not in hits._jdf.queryExecution().toString()
+
+
+CHUNK = "filepath string, start_line int, end_line int, raw_snippet string"
+
+
+def test_blocks_are_made_once(spark, monkeypatch, tmp_path):
+    """A segment's blocks go from the tasks that make them to the buckets, which are dealt to several tasks where they are large; no table of them stands between."""
+    monkeypatch.setattr(ix, "scratch", None)
+    monkeypatch.setattr(ix, "TASK_ROWS", 500)
+    monkeypatch.setattr(ix, "TASK_BYTES", 2000)
+    before = spark.conf.get(ix.TASK_SIZE)
+    chunks_ = spark.createDataFrame([(f"w{i}", 1, 1, " ".join(["same"] * 20 + [f"x{i % 7}"])) for i in range(2000)], CHUNK)
+    ix.replace(chunks_, f"file://{tmp_path}/index")
+    assert spark.conf.get(ix.TASK_SIZE) == before
+    index = ix.Index.open(spark, f"file://{tmp_path}/index")
+    made, want = index.look_up(["same", "x3"])[1].drop("segment"), ix.blocks(ix.occurrences(index.chunks()).where("term in ('same', 'x3')"))
+    assert {(r.term, r.range): r for r in made.collect()} == {(r.term, r.range): r for r in want.select(made.columns).collect()}
+    assert any(len(files) > 4 for folder, _, files in os.walk(f"{tmp_path}/index") if "/bucket=" in folder)  # each with a checksum
+
+
+def test_many_numbers_are_a_relation(spark, monkeypatch):
+    monkeypatch.setattr(ix, "EXACT", 20)
+    index = ix.Index.of(spark.createDataFrame([(f"f{i:03d}", 1, 1, f"same t{i}") for i in range(200)], CHUNK).repartition(4))
+    numbers = [r.no for r in index.chunks().collect()][::5]
+    got = index.fetch({"": numbers})
+    assert sorted(r.no for r in got.collect()) == sorted(numbers)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and not re.search(r"no#\d+L (IN|INSET)", plan)
+
+
+def test_gone_terms_are_counted_in_tasks(spark, stores, monkeypatch):
+    """Where more chunks are gone than the driver names, too; no row is an occurrence."""
+    store = stores[0]
+    live = store.chunks()
+    want = live.select("segment", "no", F.explode(F.concat("path_terms", "body_terms")).alias("term")).groupBy("segment", "term").agg(F.countDistinct("no").alias("df"), F.count("*").alias("times"))
+    monkeypatch.setattr(ix, "COUNTED", 7)
+    got = ix.term_counts(live)
+    assert {r[:] for r in got.collect()} == {r[:] for r in want.collect()}
+    assert "Explode" not in got._jdf.queryExecution().toString() and "Generate" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("many", [0, 20_000])
+def test_forgetting_more_than_once(spark, monkeypatch, tmp_path, many):
+    monkeypatch.setattr(rank, "MANY", many)
+    store = Store(spark, "", f"file://{tmp_path}/a")
+    rows = {r[0]: r for r in corpus(300, 3)}
+    store.update(spark.createDataFrame([*rows.values()], FILES))
+    for part in (2, 5):
+        store.update(spark.createDataFrame([], FILES), spark.createDataFrame([(p,) for p in list(rows)[part::9]], "filepath string"))
+    left = {p: r for i, (p, r) in enumerate(rows.items()) if i % 9 not in (2, 5)}
+    whole = Store(spark, "", f"file://{tmp_path}/b")
+    whole.update(spark.createDataFrame([*left.values()], FILES))
+    words = lambda s: {(r.term, r.df, r.times) for r in s.index().terms().groupBy("term").agg(F.sum("df").alias("df"), F.sum("times").alias("times")).collect()}
+    assert words(store) == words(whole) and store.count_chunks() == whole.count_chunks()
+
+
+def test_texts_of_plain_words_are_cut_as_others(spark):
+    odd = ["", None, "Plain Words 7up src7", "\u0130stanbul \u212aelvin na\u00efve", "getUserName", "a_b _ __", "認証 word", "ABC Abc aB", "A1b2 3c\nD"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", tk.text_terms(F.col("x")).alias("a"), tk.body_terms(tk.tokens(F.col("x"))).alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
+
+
+def test_snapshots_read_documents_as_they_are(spark):
+    """A table joined with itself moves all texts, each time a snapshot is read."""
+    from siftline.plans import catalogue
+
+    for df in catalogue._snapshots(spark, "/root/testdata/sf0.001"):
+        assert "Join" not in df._jdf.queryExecution().toString()

@@ -135,9 +135,9 @@ class Batch:
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted buckets."""
+    """(bucket, from, to) of sorted buckets; none where there are none, as in a batch of short texts or of texts that share nothing."""
     start = np.flatnonzero(np.diff(bucket, prepend=-1))
-    yield from zip(bucket[start].tolist(), start.tolist(), np.append(start[1:], len(bucket)).tolist(), strict=True)
+    yield from zip(bucket[start].tolist(), start.tolist(), np.append(start[1:], len(bucket))[: len(start)].tolist(), strict=True)
 
 
 def _gaps(tags: np.ndarray) -> bytes:

@@ -208,6 +208,20 @@ def test_suffix_dedup_across_batches(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == brute_spans(texts)
 
 
+@pytest.mark.parametrize("texts", [
+    [(1, "x")],
+    [(1, None), (2, ""), (3, BASE[:49])],
+    [(i, words(40, 40 + i)) for i in range(9)],  # nothing is shared
+    [(1, BASE)],
+    [(1, BASE), (2, BASE)],
+    [(i, None) for i in range(3000)] + [(3000, BASE), (3001, words(40, 41) + BASE), (3002, words(40, 42))],  # whole batches of short texts
+    [(1, words(8, 43)[:30] + BASE[:49] + "q"), (2, words(8, 44)[:30] + BASE[:49] + "w")],  # one name, and no equal window
+])
+def test_suffix_dedup_of_batches_that_leave_nothing(spark, texts):
+    out = suffix_dedup.removed(frame(spark, texts), False)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()} == brute_spans(texts)
+
+
 def test_longest_previous_factor():
     rng = np.random.default_rng(6)
     data = np.concatenate([rng.integers(97, 99, 400), np.full(200, 97), rng.integers(97, 99, 400)]).astype(np.uint8)

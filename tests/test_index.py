@@ -433,3 +433,61 @@ def test_snapshots_are_compared_once(spark, monkeypatch):
     with pytest.raises(StopIteration):
         catalogue.q38_followed_index(spark, "/root/testdata/sf0.001")
     assert [x for x in names if x.endswith("-diff")] == ["catalogue-diff", "followed-diff"]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def shuffle_files(spark):
+    every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in every.mkString("\n").split("\n") if "/shuffle_" in name}
+
+
+@pytest.mark.parametrize("words", [[""], ["a", "", "認証"], []])
+def test_packed_arrays_are_what_they_were(words):
+    sizes, letters = ix._letters(ix.pa.array(["before", *words], ix.pa.string()).slice(1))
+    numbers = ix.np.array([0, -1, 2**40, 7])
+    got = ix._unpacked(ix._pack(numbers, sizes, letters, ix.np.empty(0, ix.np.int32)), (ix.np.int64, ix.np.int32, ix.np.uint8, ix.np.int32))
+    assert got[0].tolist() == numbers.tolist() and ix._words(got[1], got[2]).to_pylist() == words and not len(got[3])
+    assert [len(x) for x in ix._unpacked(ix._pack(sizes[:0], letters[:0]), (ix.np.int32, ix.np.uint8))] == [0, 0]
+
+
+def test_a_segment_moves_little_and_leaves_nothing(spark, tmp_path):
+    """What is shuffled stays on the disks until all of it has moved: postings move packed, and go when the table is written."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(1000)]
+    rows = [(f"d/f{i}.md", 1, 1, " ".join(rng.choices(vocabulary, k=300))) for i in range(1500)]
+    files, moved = shuffle_files(spark), shuffled(spark)
+    ix.replace(spark.createDataFrame(rows, CHUNK), f"file://{tmp_path}/index")
+    assert 0 < shuffled(spark) - moved < 2 * sum(len(r[3]) for r in rows)
+    assert not [x for x in shuffle_files(spark) - files if os.path.getsize(x) > 100_000]
+
+
+@pytest.mark.parametrize("held", [-1, 1 << 18])
+def test_masks_go_to_the_chunks(spark, monkeypatch, tmp_path, held):
+    """Chunks that are gone are found without moving the others, while masks are few."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(rank, "MANY", 0)
+    monkeypatch.setattr(ix, "HELD", held)
+    joined, term_counts = [], ix.term_counts
+    monkeypatch.setattr(ix, "term_counts", lambda rows: joined.append(rows._jdf.queryExecution().optimizedPlan().toString()) or term_counts(rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store, rows = Store(spark, "", f"file://{tmp_path}/a"), {r[0]: r for r in corpus(300, 5)}
+        store.update(spark.createDataFrame([*rows.values()], FILES))
+        for part in (1, 4):
+            store.update(spark.createDataFrame([], FILES), spark.createDataFrame([(p,) for p in list(rows)[part::8]], "filepath string"))
+        left = [r for i, r in enumerate(rows.values()) if i % 8 not in (1, 4)]
+        whole = Store(spark, "", f"file://{tmp_path}/b")
+        whole.update(spark.createDataFrame(left, FILES))
+        words = lambda s: {(r.term, r.df, r.times) for r in s.index().terms().groupBy("term").agg(F.sum("df").alias("df"), F.sum("times").alias("times")).collect()}
+        assert words(store) == words(whole) and {r.filepath for r in store.files().collect()} == {r[0] for r in left}
+        assert len(joined) == 2 and all(("strategy=broadcast" in x) == (held > 0) for x in joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

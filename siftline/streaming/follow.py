@@ -20,9 +20,14 @@ from .sync import Store
 CHANGES = "filepath string, mtime double, text string, deleted boolean"
 
 
+def whole(changes: DataFrame) -> DataFrame:
+    """The rows that count, without nulls but in ``mtime``."""
+    return changes.where("filepath is not null").select("filepath", "mtime", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+
+
 def latest(changes: DataFrame) -> DataFrame:
     """One row (filepath, mtime, text, deleted) for each file."""
-    rows = changes.where("filepath is not null").select("filepath", "mtime", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    rows = whole(changes)
     last = rows.groupBy("filepath").agg(F.max(F.struct("mtime", "deleted", "text")).alias("x"))
     return last.select("filepath", "x.mtime", "x.text", "x.deleted")
 
@@ -32,13 +37,20 @@ def take(store: Store, changes: DataFrame, number: int, stream: str = "changes")
     done = store.get_state(f"batch:{stream}")
     if done is not None and int(done) >= number:
         return False
-    rows = store.staged(latest(changes), "changes")
+    tables = [store.staged(whole(changes), "changes")]
+    rows = tables[0]
+    # texts move only if some file has several rows, which paths alone tell
+    if not rows.groupBy("filepath").count().where("count > 1").isEmpty():
+        rows = store.staged(latest(rows), "changes")
+        tables.append(rows)
     state = {f"batch:{stream}": str(number)}
     if rows.isEmpty():
         store.set_state(*next(iter(state.items())))
-        return True
-    files = rows.where("not deleted").select("filepath", "mtime", F.sha2("text", 256).alias("file_hash"), "text")
-    store.update(files, rows.where("deleted").select("filepath"), state)
+    else:
+        files = rows.where("not deleted").select("filepath", "mtime", F.sha2("text", 256).alias("file_hash"), "text")
+        store.update(files, rows.where("deleted").select("filepath"), state)
+    for table in tables:
+        store.drop(table)
     return True
 
 

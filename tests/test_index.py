@@ -491,3 +491,20 @@ def test_masks_go_to_the_chunks(spark, monkeypatch, tmp_path, held):
         assert len(joined) == 2 and all(("strategy=broadcast" in x) == (held > 0) for x in joined)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_batch_is_kept_no_longer_than_it_is_taken(spark, monkeypatch, tmp_path):
+    """Texts are grouped by file only where a file has several rows, and the batch's tables go when the index has it."""
+    made, scratch = [], src.scratch
+    monkeypatch.setattr(src, "scratch", lambda spark, name: made.append(scratch(spark, name)) or made[-1])
+    store, latest = Store(spark, "", f"file://{tmp_path}/index"), follow.latest
+    monkeypatch.setattr(follow, "latest", None)
+    rows = [(f"f{i}.md", 1.0, f"text w{i}", False) for i in range(9)]
+    assert follow.take(store, spark.createDataFrame([*rows, (None, 2.0, "x", None)], follow.CHANGES), 0)
+    monkeypatch.setattr(follow, "latest", latest)
+    again = [("f1.md", 2.0, "older", False), ("f1.md", 3.0, "newer", False), ("f2.md", 4.0, None, True), ("f2.md", 4.0, "kept", False), ("f9.md", 1.0, None, None)]
+    assert follow.take(store, spark.createDataFrame(again, follow.CHANGES), 1) and follow.take(store, spark.createDataFrame([], follow.CHANGES), 2)
+    assert {r.filepath: r.raw_snippet for r in store.chunks().collect()} == {f"f{i}.md": f"text w{i}" for i in range(9) if i not in (1, 2)} | {"f1.md": "newer"}
+    assert {r.filepath for r in store.metadata().collect()} == {f"f{i}.md" for i in range(10) if i != 2}
+    tables = [x for x in made if "/changes-" in x]
+    assert len(tables) == 4 and not any(ix.exists(spark, x) for x in tables)
